@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_bytes
 from .hilbert import hilbert_shards
+from .kdtree import top_k
 from .line_dedup import line_report
+from .ngram_join import similar_groups
 from .quality import quality_report
 
 
@@ -46,6 +48,25 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op2_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP2_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert_shards(table(spark, sf_dir, "documents"), dims=["source", "lang", "n_chars"], n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -57,15 +78,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_kdtree_top_k": op2_kdtree_top_k,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL}
