@@ -10,6 +10,7 @@ from .hilbert import hilbert_shards
 from .kdtree import top_k
 from .line_dedup import line_report
 from .ngram_join import similar_groups
+from .pii import find_pii
 from .quality import quality_report
 
 
@@ -78,6 +79,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -91,6 +100,7 @@ QUERIES = {
     "op2_kdtree_top_k": op2_kdtree_top_k,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_pii": op5_pii,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
 }
