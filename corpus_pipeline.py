@@ -1,9 +1,56 @@
-"""The corpus pipeline (stages follow as their operators do)."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing of sources, byte-level BPE.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridsift.llm.bpe import with_tokens
+from gridsift.llm.common import stored
+from gridsift.llm.line_dedup import drop_shared_lines
+from gridsift.llm.mixing import sample_mixture
+from gridsift.llm.ngram_join import keep_one
+from gridsift.llm.quality import keep_good
+from gridsift.llm.queries import ranks_and_pattern
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_shared_lines(docs, min_chars=40, min_docs=5)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs, size=5, num=80, den=100)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sample_mixture(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks, pattern = ranks_and_pattern()
+    return with_tokens(docs, ranks=ranks, pattern=pattern)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_join),
+    ("mixing sources to target weights", mixing),
+    ("byte-level BPE", byte_bpe),
+]
+
+#: SQL has no byte-level BPE; tests hold the pipeline against a plain Python version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,9 +9,12 @@ from .bpe import encode_bytes
 from .hilbert import hilbert_shards
 from .kdtree import top_k
 from .line_dedup import line_report
+from .mixing import ROUNDS, mixture
 from .ngram_join import similar_groups
 from .pii import find_pii
 from .quality import quality_report
+from .token_counts import section_tokens
+from .warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +90,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = ranks_and_pattern()
+    out = section_tokens(table(spark, sf_dir, "documents"), fields=["source", "lang", "text"], by_line={"text"}, ranks=ranks, pattern=pattern, rule="start")
+    return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -95,14 +104,77 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture(table(spark, sf_dir, "documents"))
+    return out.withColumn("probability", F.round("probability", 6))
+
+
+def _op9_sql(rounds: int, power: float, seed: int) -> str:
+    dims = ("source", "lang", "topic")
+    steps, last = [], "f0"
+    for k in range(rounds * 3):
+        d, name = dims[k % 3], f"f{k + 1}"
+        has = f"sum(tokens * factor) OVER (PARTITION BY {d})"
+        steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {has} > 0 THEN factor * target_{d} / {has} ELSE factor END AS factor) FROM {last})")
+        last = name
+    shares = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {d}), {power}) AS raw_{d}" for d in dims)
+    sums = ", ".join(f"(SELECT sum(x) FROM (SELECT any_value(raw_{d}) AS x FROM shares GROUP BY {d})) AS all_{d}" for d in dims)
+    targets = ", ".join(f"raw_{d} * (total / all_{d}) AS target_{d}" for d in dims)
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+         CASE WHEN contains(coalesce(text, ''), '|') THEN 'table'
+              WHEN contains(coalesce(text, ''), 'http') OR contains(coalesce(text, ''), '@') THEN 'contact'
+              WHEN length(coalesce(text, '')) < 500 THEN 'note' WHEN length(coalesce(text, '')) < 4000 THEN 'article' ELSE 'book' END AS topic,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
+  FROM documents),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+shares AS (SELECT *, (SELECT sum(tokens) FROM cells) AS total, {shares} FROM cells),
+f0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {targets}, 1.0::DOUBLE AS factor FROM (SELECT *, {sums} FROM shares)),
+{", ".join(steps)},
+p AS (SELECT source, lang, topic,
+             CASE WHEN tokens > 0 THEN factor / (SELECT max(factor) FROM {last} WHERE tokens > 0) ELSE 1.0 END AS probability FROM {last})
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability,
+       CAST(concat('0x', substr(md5(concat(doc_id, ':{seed}')), 1, 13)) AS BIGINT) / 4503599627370496.0 < probability AS selected
+FROM docs JOIN p USING (source, lang, topic)
+"""
+
+
+OP9_SQL = _op9_sql(ROUNDS, 0.9, 17)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = round_trip(table(spark, sf_dir, "pages"))
+    return out.select(
+        F.col("main.page_id").alias("page_id"),
+        F.coalesce("main.bytes", "referred.bytes").alias("payload_bytes"),
+        F.coalesce(F.when(F.col("main.kind") == "revisit", F.col("referred.digest")), F.col("main.digest")).alias("payload_digest"),
+        F.col("main.kind").alias("record_type"),
+        F.col("referred.page_id").alias("refers_to"),
+    )
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kdtree_top_k": op2_kdtree_top_k,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pii": op5_pii,
+    "op6_token_counts": op6_token_counts,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
