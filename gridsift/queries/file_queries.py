@@ -1,0 +1,2 @@
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
