@@ -24,3 +24,12 @@ def session(app: str = "gridsift", master: str | None = None, **settings: str) -
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate files that all of a cluster's machines see: spark.checkpoint.dir, or one of our own where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file:///tmp/checkpoints/gridsift"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
