@@ -9,10 +9,11 @@ count of all documents' shingles in 2**22 counters (bounded, whatever the corpus
 
 Links. A signature's sets are not paired with each other. First each set meets the smallest and the largest set of its
 signatures, one such pair is verified, and the links give first components, which hold the large groups of near copies. Then only
-pairs across components are left: each set outside its signature's main component meets the rest. Candidates
-must pass bounds by size and by parity bitmaps of 512 bits (which differ in at most as many bits as the sets do in
-shingles), and what passes is verified on the whole sets. So every link is found or joins two sets that are in one component
-already.
+pairs across components are left: each set outside its signature's main component meets the rest. Of the pairs
+between two components the nearest is verified first, and the others only where that does not join the two. Candidates
+must pass bounds by size and by parity bitmaps (which differ in at most as many bits as the sets do in shingles): of 512 bits
+inside the joins, then of about a bit for each shingle. What passes is verified on the whole sets. So every link is found or
+joins two sets that are in one component already.
 """
 
 from __future__ import annotations
@@ -98,10 +99,22 @@ class Signatures:
         return np.concatenate(out)
 
 
-def parity(s: np.ndarray) -> list[int]:
-    """BITMAP_WORDS signed 64-bit integers; each shingle turns one of their bits over."""
-    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+def parity(s: np.ndarray, bits: int) -> bytes:
+    """So many bits, a power of two; each shingle turns one of them over."""
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(wide: bytes, size: int) -> int:
+    """A bitmap as a number, folded to so many bytes: what parity() gives for as many bits."""
+    while len(wide) > size:
+        half = len(wide) // 2
+        wide = (int.from_bytes(wide[:half]) ^ int.from_bytes(wide[half:])).to_bytes(half)
+    return int.from_bytes(wide)
+
+
+def wide_bits(n: int) -> int:
+    return max(64 * BITMAP_WORDS, 1 << (n - 1).bit_length() if n else 0)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -153,55 +166,66 @@ def _sets(src: DataFrame, size: int, num: int, den: int, frequent: bytes, share:
     """src (id, text) as id, t (hash of the text), n, node (hash of the set; null if empty), sigs, b0...: stored."""
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     long = T.LongType()
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("t", long), T.StructField("n", long), T.StructField("node", long), T.StructField("sigs", T.ArrayType(long)), *[T.StructField(b, long) for b in bits]])
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("t", long), T.StructField("n", long), T.StructField("node", long), T.StructField("sigs", T.ArrayType(long)), T.StructField("wide", T.BinaryType()), *[T.StructField(b, long) for b in bits]])
     shared = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, signatures = WordHashes(), Signatures(num, den, shared.value, share)
         for batch in batches:
-            n, node, sigs, maps = [], [], [], []
+            n, node, sigs, wide, maps = [], [], [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), size, hashes)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 sigs.append(signatures.of(s).view(np.int64) if len(s) else None)
-                maps.append(parity(s))
-            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), *[pa.array(m, pa.int64()) for m in zip(*maps)]]
+                wide.append(parity(s, wide_bits(len(s))))
+                maps.append(np.frombuffer(folded(wide[-1], 8 * BITMAP_WORDS).to_bytes(8 * BITMAP_WORDS), "<i8").tolist())
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(wide, pa.binary()), *[pa.array(m, pa.int64()) for m in zip(*maps)]]
             if n:
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return stored(src.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema), "sets")
 
 
+def _turned(a: str, b: str):
+    """In how many bits of their bitmaps a and b differ."""
+    return sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+
+
 def _may_link(a: str, b: str, num: int, den: int):
     """The bounds by size and by bitmap, for columns n and b0... of a and b."""
     an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
-    turned = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
-    return (F.least(an, bn) * den >= F.greatest(an, bn) * num) & (turned * (den + num) <= (an + bn) * (den - num))
+    return (F.least(an, bn) * den >= F.greatest(an, bn) * num) & (_turned(a, b) * (den + num) <= (an + bn) * (den - num))
+
 
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (u, v) that link: by the wide bitmaps, then by whole sets. These are made anew from the texts (t, text), of the nodes in question alone."""
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (u, v: stored) that link. Whole sets are made anew from the texts, of the nodes in question alone, and joined to the pairs."""
-    word = (F.pmod("node", F.lit(FILTER_BITS)) / 64).cast("int")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-    found = nodes.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(node, 64) as int)))").alias("bits")).collect()  # FILTER_BITS at most
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*[batch.column(k).to_pylist() for k in range(2, 6)]):
+                least = min(len(x), len(y))
+                keep.append((folded(x, least) ^ folded(y, least)).bit_count() * (den + num) <= (n + m) * (den - num))
+            yield batch.select(["u", "v", "tu", "tv"]).filter(pa.array(keep, pa.bool_()))
+
+    one = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}"), F.col("t").alias(f"t{end}"))
+    both = pairs.select("u", "v").join(one("u"), "u").join(one("v"), "v").select("u", "v", "nu", "nv", "wu", "wv", "tu", "tv")
+    pairs = stored(both.mapInArrow(near, "u long, v long, tu long, tv long"), "near-pairs")
+    found = pairs.select(F.explode(F.array("tu", "tv")).alias("t")).groupBy((F.pmod("t", F.lit(FILTER_BITS)) / 64).cast("int").alias("w"))
     flags = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in found:
+    for row in found.agg(F.expr("bit_or(shiftleft(1L, cast(pmod(t, 64) as int)))").alias("bits")).collect():  # FILTER_BITS at most
         flags[row.w] = row.bits
     shared = pairs.sparkSession.sparkContext.broadcast(flags.view(np.uint64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, flags = WordHashes(), shared.value
         for batch in batches:
-            nodes, rows = [], []
-            for text in batch.column(0):
-                s = shingles(text.as_py(), size, hashes)
-                if len(s):
-                    at = (node := node_of(s)) % FILTER_BITS
-                    if int(flags[at >> 6]) >> (at & 63) & 1:
-                        nodes.append(node)
-                        rows.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.binary())], names=["node", "s"])
+            at = batch.column(0).to_numpy() % FILTER_BITS
+            took = np.flatnonzero((flags[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            made = [shingles(batch.column(1)[int(i)].as_py(), size, hashes) for i in took]
+            made = [s for s in made if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,8 +249,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
     share = 4 if 100 * num >= 90 * den else 2
     sets = _sets(src, size, num, den, _frequent(src.select("text"), size, share), share)
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
+    texts = src.select(F.xxhash64("text").alias("t"), "text")
     # Equal sets are one node from here on.
-    nodes = stored(sets.filter(F.col("node").isNotNull()).select("node", "n", "sigs", *bits).dropDuplicates(["node"]), "nodes")
+    nodes = stored(sets.filter(F.col("node").isNotNull()).select("node", "n", "t", "sigs", "wide", *bits).dropDuplicates(["node"]), "nodes")
     facts = nodes.select("node", "n", *bits)
     postings = nodes.select(F.explode("sigs").alias("sig"), "node")
     ends = postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
@@ -234,11 +259,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
     # Of each set's pairs with the ends of its signatures, the one that the bitmaps put nearest.
     first = shared.select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end").distinct()
     a, b = facts.alias("a"), facts.alias("b")
-    turned = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
     near = first.join(a, F.col("a.node") == first["node"]).join(b, F.col("b.node") == first["end"]).filter(_may_link("a", "b", num, den))
-    nearest = near.groupBy(F.col("a.node").alias("u")).agg(F.min_by("b.node", F.struct(turned, F.col("b.node"))).alias("v"))
+    nearest = near.groupBy(F.col("a.node").alias("u")).agg(F.min_by("b.node", F.struct(_turned("a", "b"), F.col("b.node"))).alias("v"))
     once = nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = _verified(stored(once, "pairs"), src.select("text"), size, num, den)
+    links = _verified(once, nodes, texts, size, num, den)
     # What is left: pairs of different components that share a signature.
     labels = connected_components(links)
     labelled = shared.select("sig", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -248,10 +272,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
     a, b = left.filter("component <> main").alias("a"), left.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     across = a.join(b, (F.col("a.sig") == F.col("b.sig")) & apart & _may_link("a", "b", num, den))
-    across = stored(across.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "pairs")
+    swap = F.col("a.component") > F.col("b.component")
+    ends = [F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")).alias(n) for n, x, y, c in (("u", "a", "b", "node"), ("v", "b", "a", "node"), ("cu", "a", "b", "component"), ("cv", "b", "a", "component"))]
+    across = stored(across.select(*ends, _turned("a", "b").alias("turned")).distinct(), "pairs")
     if not across.isEmpty():
-        links = links.union(_verified(across, src.select("text"), size, num, den))
+        best = stored(across.groupBy("cu", "cv").agg(F.min_by(F.struct("u", "v"), F.struct("turned", "u", "v")).alias("p")).select("p.*"), "pairs")
+        links = links.union(_verified(best, nodes, texts, size, num, den))
         labels = connected_components(links)
+        now = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"l{end}"))
+        rest = across.join(best, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
+        rest = stored(rest.filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"), "pairs")
+        if not rest.isEmpty():
+            links = links.union(_verified(rest, nodes, texts, size, num, den))
+            labels = connected_components(links)
     named = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
     placed = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("id").alias("least"))
