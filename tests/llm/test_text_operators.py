@@ -1,0 +1,182 @@
+"""Line dedup, quality rules, BPE, token counts and personal data against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridsift.llm.bpe import byte_bpe, decode_bytes, encode_bytes, with_tokens
+from gridsift.llm.line_dedup import drop_shared_lines, line_report
+from gridsift.llm.pii import find_pii, redact
+from gridsift.llm.quality import FIELDS, keep_good, quality_report
+from gridsift.llm.queries import ranks_and_pattern
+from gridsift.llm.token_counts import section_tokens
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def brute_lines(rows, min_chars, min_docs):
+    holders = defaultdict(set)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(d)
+    gone = {k: max((x for x in s if x is not None), default=None) for k, s in holders.items() if len(s - {None}) >= min_docs}
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in gone or d == gone[key(x)]]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup(spark, monkeypatch, hot):
+    if hot:  # the way for very many shared lines
+        monkeypatch.setattr("gridsift.llm.line_dedup.BROADCAST_ROWS", 0)
+        monkeypatch.setattr("gridsift.llm.line_dedup.HOT_KEYS", 2)
+    r = random.Random(3)
+    lines = ["shared line number one here", "  Shared LINE number one here\r", "éÉ shared in another alphabet", "short", "", "\t", "the third one that is shared"]
+    rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.8 else f"own line of {i} {k}" for k in range(r.randrange(8)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (7, "shared line number one here\n\nshared line number one here"), (None, "shared line number one here"), (59, rows[59][1])]
+    got = line_report(docs_of(spark, rows), min_chars=10, min_docs=3).collect()
+    assert sorted(((x.doc_id, x.n_lines, x.n_dropped, x.kept) for x in got), key=repr) == brute_lines(rows, 10, 3)
+
+
+def test_line_dedup_keeps_columns(spark):
+    rows = [(i, "x" * 50 + "\nown", 54, f"s{i}") for i in range(6)] + [(9, None, None, None)]
+    out = drop_shared_lines(docs_of(spark, rows, "doc_id long, text string, n_chars int, keeper string"))
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "n_chars", "keeper"] and got[0] == (0, "own", 3, "s0") and got[5] == (5, "x" * 50 + "\nown", 54, "s5") and got[9] == (9, None, None, None)
+    assert line_report(docs_of(spark, [])).count() == 0
+
+
+def brute_quality(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    dup, before = 0, set()
+    for line in text.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in before
+            before.add(line)
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed
+
+
+def test_quality(spark):
+    r = random.Random(5)
+    vocabulary = ["a", "b", "c d", "é", "x y", "#", "|<", "\n", "\r\n"]
+    rows = [(i, " ".join(r.choice(vocabulary[: r.choice([2, 9])]) for _ in range(r.randrange(120)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "word " * 5000), (203, rows[0][1]), (0, rows[0][1])]
+    rows += [(300, " ".join(f"w{r.randrange(10**9)}" for _ in range(400))), (301, "".join(r.choice("0123456789abcdef") for _ in range(3000)) + " x" * 30)]
+    got = quality_report(docs_of(spark, rows)).collect()
+    assert sorted(tuple(x)[:7] for x in got) == sorted((d, *brute_quality(t)) for d, t in rows)
+    kept = {x.doc_id: x.kept for x in got}
+    assert kept[300] and not kept[202] and not kept[200] and all(not (x.base_failed and x.kept) for x in got)
+    wide = docs_of(spark, [(1, rows[-2][1], True, 5), (2, "no", False, 6)], "doc_id long, text string, kept boolean, n_words int")
+    assert [tuple(x)[2:] for x in keep_good(wide).collect()] == [(True, 5)]
+    assert quality_report(docs_of(spark, [])).columns == ["doc_id", *[n for n, _ in FIELDS]]
+
+
+TEXTS = ["", "Hello world's  best\n\n day", " lead", "trail ", "\n", "a\nb\n c", "é字💥 naïve", "x" * 3000, "  ", "don't 123abc!!! ...", "　wide space", "<|endoftext|>", "tab\tand\r\nline", "a \n b"]
+
+
+def test_bpe_is_the_rank_files(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = ranks_and_pattern()
+    bpe = byte_bpe(ranks, pattern)
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(bpe.tokens)}, special_tokens={})
+    r = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "a", "é", "1", "'s", "word", "　", "\xa0", "\x1c", "💥", "字", "\r\n", "!", ",", "Ünit"]
+    texts = TEXTS + ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(1500)]
+    rows = list(enumerate(texts)) + [(9998, None), (9999, "again"), (9999, "again")]
+    out = encode_bytes(docs_of(spark, rows), ranks=ranks, pattern=pattern, offsets=True)
+    got = out.collect()
+    assert len(got) == len(rows)
+    by_id = dict(rows)
+    for x in got:
+        text = by_id[x.doc_id] or ""
+        ids = np.frombuffer(x.ids, "<u4").tolist()
+        assert ids == plain.encode_ordinary(text) and x.n_tokens == len(ids) and bytes(x.decoded) == text.encode()
+        assert list(zip(np.frombuffer(x.starts, "<u4").tolist(), np.frombuffer(x.ends, "<u4").tolist())) == bpe.tokenizer.encode(text, add_special_tokens=False).offsets
+    back = decode_bytes(out, ranks=ranks, pattern=pattern).collect()
+    assert all(x.text == (by_id[x.doc_id] or "") for x in back)
+    half = spark.createDataFrame([(1, np.array(plain.encode_ordinary("💥")[:1], "<u4").tobytes()), (2, None)], "doc_id int, ids binary")
+    assert {x.doc_id: x.text for x in decode_bytes(half, ranks=ranks, pattern=pattern).collect()} == {1: "�", 2: None}
+    wide = docs_of(spark, [(1, "two words", 5)], "doc_id long, text string, N_TOKENS long")
+    assert tuple(with_tokens(wide, ranks=ranks, pattern=pattern).first()) == (1, "two words", plain.encode_ordinary("two words"), 2)
+
+
+@pytest.mark.parametrize("rule", ["start", "most", "split"])
+def test_token_counts(spark, rule):
+    ranks, pattern = ranks_and_pattern()
+    bpe = byte_bpe(ranks, pattern)
+    rows = [(i, f"s{i % 3}", t) for i, t in enumerate(TEXTS)] + [(99, None, None), (98, "\n", "\n\n x")]
+    out = section_tokens(docs_of(spark, rows, "doc_id long, source string, text string"), fields=["source", "text"], by_line={"text"}, ranks=ranks, pattern=pattern, rule=rule)
+    got = defaultdict(list)
+    for x in out.collect():
+        got[x.doc_id].append(x)
+    for d, source, text in rows:
+        whole = (source or "") + "\n" + (text or "")
+        bounds = sorted((x.start, x.end) for x in got[d])
+        lines = [source or "", *(text or "").split("\n")]
+        assert [whole[a:b] for a, b in bounds] == lines
+        want = Counter()
+        for a, b in bpe.tokenizer.encode(whole, add_special_tokens=False).offsets:
+            owner = lambda p: max(i for i, (s, _) in enumerate(bounds) if s <= p)
+            owners = [owner(p) for p in range(a, b)]
+            if rule == "start":
+                want[owners[0]] += 1
+            elif rule == "most":
+                want[max(sorted(set(owners)), key=owners.count)] += 1
+            else:
+                for o in owners:
+                    want[o] += 1 / len(owners)
+        found = {i: x.n_tokens for i, x in enumerate(sorted(got[d], key=lambda x: x.start))}
+        assert all(abs(found[i] - want[i]) < 1e-9 for i in found) and sum(found.values()) == pytest.approx(len(bpe.tokenizer.encode(whole).ids))
+
+
+def luhn(digits):
+    total = sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))))
+    return total % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def test_pii(spark):
+    r = random.Random(5)
+    parts = ["a@b.c", "@", "..", "x.y", "1.2.3.4", "255.", "256.1.1.1", "+1 (555) 123-4567", "+", "4111 1111 1111 1111", "4111111111111111", "9", " ", "-", "é", "💥", "\n", "00000000000000000001.1.1.1", "foo_bar@x-y.z", "5500-0000-0000-0004 ", "(", ")", "1", "22", "a"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(40)))) for i in range(1500)]
+    rows += [(9000, None), (9001, ""), (9001, ""), (9002, "me@x.org"), (9002, "me@x.org")]
+    got = find_pii(docs_of(spark, rows)).collect()
+    want = sorted((d, [(k, m.start(), m.end()) for k, (p, ok) in BASE.items() for m in re.finditer(p, t or "") if ok(m.group())]) for d, t in rows)
+    assert sorted((x.doc_id, [(s.kind, s.start, s.end) for s in x.spans if s.base]) for x in got) == want
+
+
+def test_pii_context_and_long_texts(spark):
+    long = ["1" * 50_000, "1." * 20_000, "a@" + "b." * 20_000 + "c", "+1" * 10_000, "4111111111111111 " * 3000]
+    rows = [(1, "IBAN: DE89 3704 0044 0532 0130 00, thanks"), (2, "my amex card 378282246310005 ok"), (3, "ref 378282246310005"), (4, "SSN 123-45-6789"), (5, "code 123-45-6789"), (6, "IBAN DE88 3704 0044 0532 0130 00"), *enumerate(long, 10)]
+    got = {x.doc_id: [s.kind for s in x.spans] for x in find_pii(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(1, 7)] == [["iban"], ["shortcard"], [], ["ssn"], [], []] and got[12] == ["email"]
+    assert {x.doc_id: x.text for x in redact(docs_of(spark, [(1, "to me@x.org or 1.2.3.4."), (2, "no"), (3, None)])).collect()} == {1: "to [email] or [ip].", 2: "no", 3: None}
+    assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
