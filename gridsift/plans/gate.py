@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +70,8 @@ def run_sql(spark: SparkSession, sql: str, limit: int | None = None, relations:
     else:
         text = rewritten(text, relations)
         check_read_only(spark, text)
-        out = spark.sql(text)
+        try:
+            out = spark.sql(text)
+        except AnalysisException as e:
+            raise ValueError(str(e).splitlines()[0]) from e
     return out if limit is None else out.limit(limit)

@@ -15,6 +15,8 @@ from ..functions.names import column_names
 from ..model import ROW, Table
 
 HEAD_BYTES = 1 << 16
+# Encodings of Spark's reader.
+CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
 #: Smaller files are read by one task, and their quoted cells may hold line ends.
 WHOLE_BYTES = 64 << 20
 
@@ -41,6 +43,12 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> tuple[bytes,
         stream.close()
 
 
+def spark_reads(spark: SparkSession, path: str) -> bool:
+    """Whether a file's encoding is one that Spark's reader has. Others are parsed as documents are."""
+    start, length = head(spark, path)
+    return encoding_of(start.removeprefix(b"\xef\xbb\xbf"), len(start) == length).lower() in CHARSETS
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df (a scan of one file, in its own order) with row numbers from 0: each block's rows are counted, then each row adds those of the blocks before. No sort of rows."""
     at = df.withColumns({"_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
