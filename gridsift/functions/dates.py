@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parts of column names that tell a date.
-DATE_WORDS = ("date", "time", "datetime", "timestamp", "日期", "时间", "生日", "日付", "fecha", "data", "datum", "dob", "birth", "created", "updated", "modified")
+DATE_WORDS = ("date", "time", "datetime", "timestamp", "日期", "时间", "生日", "日付", "fecha", "data", "datum", "dob", "birth", "created", "updated", "modified", "begin", "start", "end", "deadline")
 
 EPOCH = dt.datetime(1899, 12, 30)
 
