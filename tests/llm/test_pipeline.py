@@ -79,5 +79,12 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == [d for d, _, _ in want]
 
 
+def test_stored_tables_can_be_deleted(spark):
+    from gridsift.llm.common import release, stored
+
+    path = stored(spark.range(3), "t").inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert os.path.isdir(path) and release(spark) > 0 and not os.path.isdir(path)
+
+
 def test_every_operator_has_a_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
