@@ -35,6 +35,17 @@ def cell_matches(cell: Column, query: SearchQuery) -> Column:
     return F.contains(F.lower(text), F.lower(F.lit(query.text)))
 
 
+#: All the characters that cells of a type can have as text. A longer query than they can spell needs no look at the column.
+SPELLING = {"tinyint": "0123456789-", "smallint": "0123456789-", "int": "0123456789-", "bigint": "0123456789-", "date": "0123456789-+", "timestamp": "0123456789-+:. ", "timestamp_ntz": "0123456789-+:. ", "float": "0123456789-+.einfinitynan", "double": "0123456789-+.einfinitynan", "boolean": "truefals"}
+
+
+def can_match(kind: str, query: SearchQuery) -> bool:
+    """Whether a cell of this type can match at all, as far as the characters of the query tell."""
+    if query.mode not in ("fulltext", "exact") or kind not in SPELLING:
+        return True
+    return set(query.text.lower()) <= set(SPELLING[kind])
+
+
 def condition_holds(condition: Condition) -> Column:
     """Comparisons are of numbers where both sides are numbers, else of text."""
     text, op = text_of(F.col(f"`{condition.column}`")), condition.operator.upper()
@@ -64,7 +75,8 @@ def predicate(df: DataFrame, query: SearchQuery) -> tuple[Column, list[tuple[str
         check_regex(df, query.text)
     names = data_columns(df)
     targets = [c for c in names if query.column is None or c == query.column]
-    cells = [(c, cell_matches(F.col(f"`{c}`"), query)) for c in targets]
+    kinds = dict(df.dtypes)
+    cells = [(c, cell_matches(F.col(f"`{c}`"), query)) for c in targets if can_match(kinds[c], query)]
     found = reduce(Column.__or__, [m for _, m in cells], F.lit(False))
     if query.invert:
         found = ~found

@@ -42,6 +42,13 @@ def test_invert_and_conditions(spark):
         Condition("b", "~", "1")
 
 
+def test_types_that_cannot_match_are_not_read(spark):
+    df = spark.range(30).selectExpr(f"id AS {ROW}", "id AS n", "id % 2 = 0 AS even", "id / 4 AS q", "'x' AS s")
+    plan = search_table(df, SearchQuery("x7"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(n" not in plan and "cast(id" not in plan
+    assert found(df, text="RUE") == list(range(0, 30, 2)) and found(df, text="29") == [29] and found(df, text="7.25") == [29]
+
+
 def test_context_limit_stats_and_spans(spark):
     df = made(spark, [(c, str(i)) for i, c in enumerate("abcadaa")])
     out = {r[ROW]: r for r in with_context(df, search_table(df, SearchQuery("c")), 2).collect()}
