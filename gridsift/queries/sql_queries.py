@@ -76,8 +76,8 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "cte_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t",
     "from_first": "FROM nation",
     "select_exclude": "SELECT * EXCLUDE (n_nationkey) FROM nation",
-    "fn_string": "SELECT o_orderkey, upper(o_orderpriority) AS u, lower(o_orderpriority) AS l, substr(o_orderpriority, 3) AS s, length(o_orderpriority) AS n, replace(o_orderpriority, '-', '_') AS r, trim(concat(' ', o_orderstatus)) AS t FROM orders",
-    "fn_date": ("SELECT o_orderkey, date_trunc('month', o_orderdate) AS m, year(o_orderdate) AS y, strftime(o_orderdate, '%Y/%m') AS f FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(year(o_orderdate) AS INTEGER) AS y, strftime(o_orderdate, '%Y/%m') AS f FROM orders"),
+    "fn_string": "SELECT o_orderkey, upper(o_orderpriority) AS u, lower(o_orderpriority) AS l, substr(o_orderpriority, 3) AS s, CAST(length(o_orderpriority) AS BIGINT) AS n, replace(o_orderpriority, '-', '_') AS r, trim(concat(' ', o_orderstatus)) AS t FROM orders",
+    "fn_date": ("SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, year(o_orderdate) AS y, strftime(o_orderdate, '%Y/%m') AS f FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(year(o_orderdate) AS INTEGER) AS y, strftime(o_orderdate, '%Y/%m') AS f FROM orders"),
     "fn_math": ("SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, round(sqrt(p_size), 6) AS s, CAST(floor(p_retailprice) AS BIGINT) AS f, try_divide(p_size, p_size - p_size) AS z FROM part", "SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, round(sqrt(p_size), 6) AS s, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(NULL AS DOUBLE) AS z FROM part"),
     "fn_list": ("SELECT n_nationkey, list_contains([1, 2, 3], n_regionkey) AS c, array_join(transform([1, 2], x -> x + n_nationkey), ',') AS t FROM nation", "SELECT n_nationkey, list_contains([1, 2, 3], n_regionkey) AS c, array_to_string(list_transform([1, 2], lambda x: x + n_nationkey), ',') AS t FROM nation"),
     "fn_unnest": "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS x FROM nation",
@@ -86,7 +86,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "fn_regexp": "SELECT p_partkey, regexp_matches(p_type, '^S.*L$') AS m FROM part",
     "fn_cast": "SELECT o_orderkey, o_orderkey::VARCHAR AS s, CAST('12' AS INTEGER) AS i, TRY_CAST('x' AS INTEGER) AS n FROM orders",
     "fn_coalesce": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s FROM customer",
-    "fn_levenshtein": "SELECT n_name, levenshtein(n_name, 'NATION_1') AS d FROM nation",
+    "fn_levenshtein": "SELECT n_name, CAST(levenshtein(n_name, 'NATION_1') AS BIGINT) AS d FROM nation",
     "fn_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%BRASS%' OR p_brand ILIKE 'BRAND#1_'",
     "fn_range": ("SELECT id AS i FROM range(3, 9)", "SELECT range AS i FROM range(3, 9)"),
     "fn_generate_series": ("SELECT id AS i FROM generate_series(3, 9)", "SELECT generate_series AS i FROM generate_series(3, 9)"),
