@@ -62,7 +62,8 @@ def _calibrated(src: DataFrame, doc_id: Column, text: Column, dims: dict[str, Co
     """src with dims, n_tokens, probability and selected."""
     src = src.withColumns({d: F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()} | {"n_tokens": tokens})
     names = list(dims)
-    cells = raked(src.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), names, power, rounds).select(*names, "tokens", "factor")
+    sums = stored(src.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    cells = raked(sums, names, power, rounds).select(*names, "tokens", "factor")
     most = cells.agg(F.max(F.when(F.col("tokens") > 0, F.col("factor")))).first()[0] or 1.0
     cells = cells.select(*names, F.when(F.col("tokens") > 0, F.col("factor") / most).otherwise(1.0).alias("probability"))
     # As many cells as combinations occur. Beyond the bound the join is shuffled, and skewed cells are split by AQE.
