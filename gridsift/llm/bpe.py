@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import utf8
 
 #: So many distinct words keep their tokens, in a worker's memory.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 
 #: A space or none, and letters of the Latin blocks: one match of the usual patterns.
 LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
@@ -64,7 +64,7 @@ class ByteBpe:
             for k in range(1, len(t))
             if t[:k] in rank and t[k:] in rank
         ]
-        self.tokenizer = Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(as_text)}, merges=merges, ignore_merges=True, cache_capacity=100_000))
+        self.tokenizer = Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(as_text)}, merges=merges, ignore_merges=True, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -212,12 +212,18 @@ def with_tokens(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in batches:
-            ids = []
-            for text in batch.column(at).to_pylist():
-                ids.append(None if text is None else np.frombuffer(bpe.encode(text)[0], "<u4").tolist())
-                if text is not None and bpe.decode(ids[-1]) != utf8(text):
+            packed, missing = [], []
+            for cell in batch.column(at):
+                text = cell.as_py()
+                missing.append(text is None)
+                packed.append(bpe.encode(text or "")[0])
+                if bpe.decode(np.frombuffer(packed[-1], "<u4").tolist()) != utf8(text):
                     raise ValueError("the tokens do not give the text back")
-            more = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x or []) for x in ids], pa.int64())]
+            counts = np.array([len(x) // 4 for x in packed], np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            # From packed bytes at once: as Python numbers a batch's tokens would take ten times the memory.
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")), mask=pa.array(missing, pa.bool_()))
+            more = [ids, pa.array(counts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
     return docs.select(*kept).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: So many distinct words keep their hash, in a worker's memory.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
