@@ -7,6 +7,7 @@ Arrow batches: nothing is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,30 @@ from .wordhash import WordHashes, windows
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Bytes of characters outside ASCII.
+OUTSIDE = bytes(range(128, 256))
+
+
+#: Points (bytes, ratio) of a lower limit: in between it is linear in the logarithm of the bytes, below the first point it is 0.
+Points = tuple[tuple[int, float], ...]
 
 
 @dataclass(frozen=True)
 class Bands:
-    """A text or chunk of fewer than `below` bytes must have a ratio from low to high. Chunks: share that may be out of their band."""
+    """A text or chunk must have a ratio from its lower to its upper limit. Chunks: share that may be out of their band.
 
-    whole: tuple[tuple[float, float, float], ...] = ((64, 0.0, 3.0), (256, 0.0, 3.2), (1024, 1.05, 4.0), (4096, 1.1, 5.0), (16384, 1.15, 6.5), (float("inf"), 1.15, 8.0))
-    chunk: tuple[float, float] = (1.1, 6.0)
+    Lower limits lie between noise (random words of printable ASCII, base64, letters, hex; random CJK) and prose of the same length. Where the
+    two overlap prose stays, and such noise with it: random letters below about 2 KB, hex below about 6 KB.
+    """
+
+    #: A whole text of fewer than `below` bytes: (below, upper limit).
+    whole: tuple[tuple[float, float], ...] = ((64, 3.0), (256, 3.2), (1024, 4.0), (4096, 5.0), (16384, 6.5), (float("inf"), 8.0))
+    low: Points = ((256, 1.09), (512, 1.24), (1024, 1.48), (2048, 1.69), (4096, 1.9), (8192, 1.97), (16384, 2.05))
+    chunk: float = 6.0
+    chunk_low: Points = ((1024, 1.48), (2048, 1.69), (4096, 1.94))
+    #: Lower limits of texts and chunks more than wide_share of whose bytes are outside ASCII: letters of several bytes (CJK above all).
+    wide: Points = ((1024, 1.2), (2048, 1.4), (4096, 1.58), (8192, 1.7), (16384, 1.75))
+    wide_share: float = 0.25
     chunk_bytes: int = 4096
     #: A last chunk of fewer bytes is not judged.
     chunk_least: int = 1024
@@ -37,6 +54,15 @@ class Bands:
     level: int = 3
 
 
+def lower_limit(size: int, points: Points) -> float:
+    if size < points[0][0]:
+        return 0.0
+    for (a, low), (b, high) in zip(points, points[1:]):
+        if size < b:
+            return low + (high - low) * math.log(size / a) / math.log(b / a)
+    return points[-1][1]
+
+
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     """How many words stand in windows of so many words that occur twice or more. ids: one number for each word."""
     if len(ids) <= window:
@@ -66,16 +92,23 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def _is_wide(data: bytes, share: float) -> bool:
+    return not data.isascii() and len(data) - len(data.translate(None, OUTSIDE)) > share * len(data)
+
+
 def in_bands(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> bool:
     if not data:
         return True
-    ratio = len(data) / len(packer.compress(data))
-    low, high = next((low, high) for below, low, high in bands.whole if len(data) < below)
-    if not low <= ratio <= high:
+
+    def inside(part: bytes, points: Points, high: float) -> bool:
+        low = lower_limit(len(part), bands.wide if _is_wide(part, bands.wide_share) else points)
+        return low <= len(part) / len(packer.compress(part)) <= high
+
+    if not inside(data, bands.low, next(high for below, high in bands.whole if len(data) < below)):
         return False
     parts = [data[i : i + bands.chunk_bytes] for i in range(0, len(data), bands.chunk_bytes)]
     parts = [p for p in parts if len(p) >= bands.chunk_least] if len(parts) > 1 else []
-    out = sum(not bands.chunk[0] <= len(p) / len(packer.compress(p)) <= bands.chunk[1] for p in parts)
+    out = sum(not inside(p, bands.chunk_low, bands.chunk) for p in parts)
     return out <= bands.chunk_share * len(parts)
 
 

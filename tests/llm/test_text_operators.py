@@ -92,6 +92,34 @@ def test_quality(spark):
     assert quality_report(docs_of(spark, [])).columns == ["doc_id", *[n for n, _ in FIELDS]]
 
 
+def noise(letters, size, seed=1):
+    """Random words of 4 to 10 letters."""
+    r, out = random.Random(seed), ""
+    while len(out.encode()) < size:
+        out += "".join(r.choice(letters) for _ in range(r.randint(4, 10))) + " "
+    return out.encode()[:size].decode("utf-8", "ignore")
+
+
+def test_quality_of_noise(spark):
+    ascii_, lower, hexa, cjk = "".join(map(chr, range(33, 127))), "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "".join(map(chr, range(0x4E00, 0x9FA5)))
+    base64 = lower + lower.upper() + "0123456789+/"
+    texts = [(ascii_, n) for n in (300, 600, 2000, 50_000)] + [(base64, n) for n in (400, 600, 1000, 2000, 5000, 50_000)] + [(lower, n) for n in (2200, 5000, 50_000)]
+    noisy = [noise(a, n) for a, n in texts + [(hexa, n) for n in (6000, 10_000, 50_000)] + [(cjk, n) for n in (2200, 5000, 50_000)]]
+    prose = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if x.text and len(x.text.split()) >= 20]
+    failed = {x.doc_id: x.base_failed for x in quality_report(docs_of(spark, list(enumerate(prose)))).collect()}
+    prose = [t for i, t in enumerate(prose) if not failed[i]]
+    long = max(prose, key=len).encode()[:16384].decode("utf-8", "ignore")
+    assert len(long) > 10_000
+    # Three chunks of noise in seven.
+    noisy += [long + noise(a, 12288) for a in (ascii_, base64, lower, hexa)]
+    table = "".join(f"{k},{k * 7919 % 1000},item {k * 31 % 17},2024-{1 + k % 12:02}-{1 + k % 28:02}\n" for k in range(300)).replace(",", ", ")
+    chinese = "数据处理系统需要在每一个阶段检查输入的内容，删除重复的文件，并且保存处理的结果。 用户可以选择需要的字段，然后把它们写到新的表格里面； 如果某一行没有标题，程序就会使用默认的名称。 这样做的好处是，以后查找问题的时候，我们知道每个数字从哪里来，也知道为什么有些记录没有留下来。 "
+    fine = [*prose, table, " ".join(chinese), long]
+    kept = {x.doc_id: x.kept for x in quality_report(docs_of(spark, list(enumerate(noisy + fine)))).collect()}
+    assert [i for i in range(len(noisy)) if kept[i]] == []
+    assert [fine[i - len(noisy)][:80] for i in range(len(noisy), len(kept)) if not kept[i]] == []
+
+
 TEXTS = ["", "Hello world's  best\n\n day", " lead", "trail ", "\n", "a\nb\n c", "é字💥 naïve", "x" * 3000, "  ", "don't 123abc!!! ...", "　wide space", "<|endoftext|>", "tab\tand\r\nline", "a \n b"]
 
 
