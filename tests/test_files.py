@@ -101,6 +101,39 @@ def test_row_numbers_over_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_delimited_rows_do_not_depend_on_size(spark, tmp_path, monkeypatch):
+    from gridsift.sources import delimited
+
+    texts = {
+        "quoted": "i,t\n" + "".join(f'{k},"first\nsecond ""{k}"", x"\n' if k % 7 == 0 else f"{k},plain\n" for k in range(3000)),
+        "stray": 'i,t,u\n1,5" pipe,"open\nshut",7" pipe\n2,a,b\n',
+        "even": 'i,t\n1,5" x,"open\n2,shut",7" y\n3,z\n',
+        "blanks": "i,t\n1,a\n  \n2,b\n",
+        "returns": "i,t\n1,a\rb\n2,b\n",
+        "mixed": "i,t\n1,a\r\n2,b\r\n3,c\r\n",
+        "plain": "i,t\r\n" + "".join(f'{k},"a ""b"", c"\r\n{k},""\r\n' for k in range(3000)),
+    }
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for name, text in texts.items():
+            path = str(tmp_path / f"{name}.csv")
+            with open(path, "wb") as f:
+                f.write(text.encode())
+            rows = []
+            for bound in (1 << 30, 0):
+                monkeypatch.setattr(delimited, "WHOLE_BYTES", bound)
+                df = delimited.read_delimited(spark, path)
+                rows.append(sorted(tuple(r) for r in df.collect()))
+            assert rows[0] == rows[1], name
+            assert name != "quoted" or (len(rows[1]) == 3000 and rows[1][7] == (7, "7", 'first\nsecond "7", x'))
+            assert name != "plain" or df.rdd.getNumPartitions() > 1 and delimited.lines_are_records(spark, path, ",", text[:100].encode())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
 def test_temp_tables_and_edits(catalog):
     catalog.register("data.csv", [Table("Sheet1", ["name", "value"], [["Alice", "100"], ["Bob", "200"], ["Charlie", "300"]])])
     assert catalog.materialize_query("Big", "SELECT * FROM sheet_1_0 WHERE value::int > 150;") == 2
