@@ -8,9 +8,9 @@ lengths, so nothing in a payload can be taken for a record. Records meet again b
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,7 +99,7 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame:
-    """One row per record (RECORDS). Responses: bytes, digest (SHA-256) and, if asked for, payload, all from the payload itself."""
+    """One row per record (RECORDS). Files are plain or gzip, with any number of gzip members. Responses: bytes, digest (SHA-256) and, if asked for, payload, all from the payload itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +107,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = False) ->
                 names = [x.split()[0] for x in RECORDS.split(", ")]
                 out: dict[str, list] = {n: [] for n in names}
                 data = content.as_py()
-                for headers, block in parsed(zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data):
+                for headers, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind, size, digest, payload, fields = headers["warc-type"], None, headers.get("warc-payload-digest", "").removeprefix("sha256:") or None, None, None
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]

@@ -1,5 +1,6 @@
 """Search, sharding, joins, mixing, archives and the pipeline against plain Python."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -189,3 +190,18 @@ def test_warc(spark, tmp_path):
     with pytest.raises(ValueError):
         list(parsed(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
     assert round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_of_a_gzip_member_per_record(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", f"<html>{k}</html>") for k in range(3)], "page_id long, url string, html string").coalesce(1)
+    write_archives(pages, str(tmp_path / "one"))
+    plain = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "one").glob("*.gz"))
+    records, at = [b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"], 0
+    for end in [*(m.start() for m in re.finditer(rb"(?<=\r\n\r\n)WARC/1.1\r\n", plain)), len(plain)]:
+        records += [plain[at:end]] * (end > at)
+        at = end
+    assert len(records) == 10
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    found = read_archives(spark, str(tmp_path / "many.warc.gz"))
+    assert Counter(r.kind for r in found.collect()) == {"warcinfo": 1, "request": 3, "response": 3, "metadata": 3}
+    assert sorted((r.main.page_id, r.main.bytes, r.request is not None, r.metadata is not None) for r in captures(found).collect()) == [(k, 14, True, True) for k in range(3)]
