@@ -82,7 +82,8 @@ def _confirmed(kind: Column, match: Column) -> Column:
 
 
 def _proposed(text: Column, kind: Kind) -> Column:
-    """An array of the kind's matches in a text: kind, k, skipped (code points since the last match), match, before, after."""
+    """An array of the kind's matches in a text: kind, k, skipped (code points since the last match), match; and by what context is put together:
+    before and after (the ends of the parts beside the match), tail (of part and match), head (of match and next part)."""
     parts, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     zipped = F.arrays_zip(matches.alias("m"), parts.alias("p"), F.slice(parts, F.lit(2), F.size(parts)).alias("q"))
     found = F.transform(
@@ -94,6 +95,8 @@ def _proposed(text: Column, kind: Kind) -> Column:
             x["m"].alias("match"),
             F.right(x["p"], F.lit(BEFORE)).alias("before"),
             F.left(x["q"], F.lit(AFTER)).alias("after"),
+            F.right(F.concat(F.right(x["p"], F.lit(BEFORE)), F.right(x["m"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"),
+            F.left(F.concat(F.left(x["m"], F.lit(AFTER)), F.left(x["q"], F.lit(AFTER))), F.lit(AFTER)).alias("head"),
         ),
     )
     may = F.contains(text, F.lit("@")) if kind.may == "@" else text.rlike(kind.may)
@@ -112,7 +115,12 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     items = src.select("row", "id", F.explode_outer(F.concat(*[_proposed(F.col("text"), k) for k in kinds])).alias("x")).select("row", "id", "x.*")
     order = W.Window.partitionBy("row", "kind").orderBy("k").rowsBetween(W.Window.unboundedPreceding, 0)
     end = F.sum(F.col("skipped") + F.char_length("match")).over(order)
-    near = F.concat(F.col("before"), F.lit(" "), F.col("after"))
+    # Context runs on over neighbouring matches. None is empty, so those of so many rows fill it.
+    rows = W.Window.partitionBy("row", "kind").orderBy("k")
+    joined = lambda piece, a, b: F.array_join(F.collect_list(F.coalesce(F.col(piece), F.lit(""))).over(rows.rowsBetween(a, b)), "")
+    before = F.right(F.concat(joined("tail", -BEFORE, -1), F.col("before")), F.lit(BEFORE))
+    after = F.left(F.concat(F.col("after"), joined("head", 1, AFTER)), F.lit(AFTER))
+    near = F.concat(F.col("near_before"), F.lit(" "), F.col("near_after"))
     score, number, base = F.lit(None), F.lit(None), F.lit(None)
     for i, k in enumerate(kinds):
         is_kind = F.col("kind") == k.name
@@ -120,7 +128,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         number, base = F.when(is_kind, i).otherwise(number), F.when(is_kind, k.base).otherwise(base)
     spans = (
         items.repartition("row")
-        .withColumn("end", end)
+        .withColumns({"end": end, "near_before": before, "near_after": after})
         .withColumn("stays", F.col("match").isNotNull() & _confirmed(F.col("kind"), F.col("match")))
         .withColumns({"score": score, "kind_no": number, "base": base})
         .withColumn("stays", F.col("stays") & (F.col("base") | (F.col("score") >= KEEP)))

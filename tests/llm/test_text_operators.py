@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridsift.llm.bpe import byte_bpe, decode_bytes, encode_bytes, with_tokens
 from gridsift.llm.line_dedup import drop_shared_lines, line_report
-from gridsift.llm.pii import find_pii, redact
+from gridsift.llm.pii import CARD, SSN, find_pii, redact
 from gridsift.llm.quality import FIELDS, keep_good, quality_report
 from gridsift.llm.queries import ranks_and_pattern
 from gridsift.llm.token_counts import section_tokens
@@ -208,3 +208,29 @@ def test_pii_context_and_long_texts(spark):
     assert [got[i] for i in range(1, 7)] == [["iban"], ["shortcard"], [], ["ssn"], [], []] and got[12] == ["email"]
     assert {x.doc_id: x.text for x in redact(docs_of(spark, [(1, "to me@x.org or 1.2.3.4."), (2, "no"), (3, None)])).collect()} == {1: "to [email] or [ip].", 2: "no", 3: None}
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_personal_data_in_lists(spark):
+    texts = [
+        "SSN 123-45-6789, 234-56-7890",
+        "SSN 123-45-6789, 234-56-7890 345-67-8901",
+        "123-45-6789, 234-56-7890, 345-67-8901 ssn",
+        "ssn 000-45-6789 123-45-6789",
+        "ssn " + "x" * 30 + " 123-45-6789 234-56-7890",
+        "amex 378282246310005, 371449635398431; 30569309025904",
+        "378282246310005, 30569309025904 (amex)",
+        "amex 12345678901234567890123 378282246310005",
+        "123-45-6789 ssn" + " y" * 40 + " 234-56-7890, 345-67-8901",
+        "ssn",
+    ]
+    got = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.spans if s.kind in ("ssn", "shortcard")] for x in find_pii(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        label, pattern = (r"\b(?:ssn)\b", SSN) if "ssn" in text.lower() else (r"\b(?:amex)\b", CARD)
+        want = []
+        for m in re.finditer(pattern, text):
+            near = (text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 20]).lower()
+            fits = not m[0].startswith("000") if pattern == SSN else len(m[0]) in (13, 14, 15)
+            want += [m[0]] * bool(fits and re.search(label, near))
+        assert got[i] == want, text
+    assert [len(got[i]) for i in (0, 1, 3, 5)] == [2, 3, 1, 3]
+    assert {x.text for x in redact(docs_of(spark, [(1, texts[0])])).collect()} == {"SSN [ssn], [ssn]"}
