@@ -85,8 +85,8 @@ class Catalog:
         found = kind or detect(base)
         stem = base.rpartition(".")[0] or base
         if not (archives.archive_kind(base) and not kind):
-            if found in ("csv", "tsv") and delimited.spark_reads(self.spark, path):
-                df = delimited.read_delimited(self.spark, path, "\t" if found == "tsv" else ",")
+            if found in ("csv", "tsv") and (encoding := delimited.file_encoding(self.spark, path)).lower() in delimited.CHARSETS:
+                df = delimited.read_delimited(self.spark, path, "\t" if found == "tsv" else ",", encoding=encoding)
                 return self._put(base, path, [(stem, df, ())] if df is not None else [], False)
             if found == "parquet":
                 df = self.spark.read.parquet(path)

@@ -10,17 +10,23 @@ FALLBACKS = ("gbk", "gb18030", "big5", "shift_jis", "euc-jp", "euc-kr", "windows
 _DECLARED = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 
 
-def encoding_of(data: bytes, whole: bool = True) -> str:
-    """The first encoding that reads data. whole: false if data is only the beginning, whose last character may be cut."""
+def candidates(data: bytes) -> list[str]:
+    """Encodings to try, in order, for a file that begins with data."""
     declared = _DECLARED.search(data[:4096])
-    for name in ("utf-8", *([declared[1].decode("ascii")] if declared else []), *FALLBACKS):
-        for cut in range(1 if whole else 4):
-            try:
-                data[: len(data) - cut].decode(name)
-                return name
-            except (UnicodeDecodeError, LookupError):
-                pass
-    return "utf-8"
+    return ["utf-8", *([declared[1].decode("ascii")] if declared else []), *FALLBACKS]
+
+
+def readable(data: bytes, name: str) -> bool:
+    try:
+        data.decode(name)
+        return True
+    except (UnicodeDecodeError, LookupError):
+        return False
+
+
+def encoding_of(data: bytes) -> str:
+    """The first encoding that reads data."""
+    return next((n for n in candidates(data) if readable(data, n)), "utf-8")
 
 
 def decoded(data: bytes) -> str:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..functions.encoding import encoding_of
+from ..functions.encoding import candidates, encoding_of, readable
 from ..functions.names import column_names
 from ..model import ROW, Table
 
@@ -43,10 +45,33 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> tuple[bytes,
         stream.close()
 
 
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding that reads the whole file. Files beyond HEAD_BYTES are tested by their lines, on executors: no line feed byte is part of a longer character."""
+    start, length = head(spark, path)
+    all_read, start = len(start) == length, start.removeprefix(b"\xef\xbb\xbf")
+    if all_read:
+        return encoding_of(start)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if not lines.filter(~F.is_valid_utf8("value")).limit(1).count():
+        return "utf-8"
+    names = candidates(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = list(names)
+        for batch in batches:
+            data = b"\n".join(x for x in batch.column(0).to_pylist() if not x.isascii())
+            left = [n for n in left if readable(data, n)]
+        yield pa.RecordBatch.from_pydict({"names": [left]}, pa.schema([("names", pa.list_(pa.string()))]))
+
+    left = set(names)
+    for r in lines.select(F.col("value").cast("binary")).mapInArrow(run, "names array<string>").distinct().collect():  # few: sets of candidates
+        left &= set(r.names)
+    return next((n for n in names if n in left), "utf-8")
+
+
 def spark_reads(spark: SparkSession, path: str) -> bool:
     """Whether a file's encoding is one that Spark's reader has. Others are parsed as documents are."""
-    start, length = head(spark, path)
-    return encoding_of(start.removeprefix(b"\xef\xbb\xbf"), len(start) == length).lower() in CHARSETS
+    return file_encoding(spark, path).lower() in CHARSETS
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -77,10 +102,10 @@ def lines_are_records(spark: SparkSession, path: str, sep: str, start: bytes) ->
     return not seen.strange and one_end
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", *, whole: bool | None = None) -> DataFrame | None:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", *, whole: bool | None = None, encoding: str | None = None) -> DataFrame | None:
     """The file as text columns and row numbers, or None if it is empty. Short rows are filled up, long ones cut, empty cells are empty strings."""
     start, length = head(spark, path)
-    encoding = encoding_of(start.removeprefix(b"\xef\xbb\xbf"), len(start) == length)
+    encoding = encoding or file_encoding(spark, path)
     first = next(csv.reader(io.StringIO(start.removeprefix(b"\xef\xbb\xbf").decode(encoding, "replace")), delimiter=sep), None)
     if not first:
         return None

@@ -134,6 +134,17 @@ def test_delimited_rows_do_not_depend_on_size(spark, tmp_path, monkeypatch):
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
+def test_encoding_of_late_bytes(catalog, tmp_path):
+    plain = "k,v\n" + "".join(f"{k},plain text\n" for k in range(6000))
+    for name, text in {"gbk": "北京数据", "shift_jis": "データの表ｱｲｳ", "windows-1252": "naïve “quote” €", "utf-8": "é北"}.items():
+        data = (plain + f"6000,{text}\n").encode(name)
+        assert len(data) > 1 << 16 and not data[: 1 << 16].count(b"\xe5")
+        (tmp_path / f"late_{name}.csv").write_bytes(data)
+        catalog.load(str(tmp_path / f"late_{name}.csv"))
+        assert catalog.one(f"late_{name}.csv").df.filter("k = '6000'").first()["v"] == decoded(data).rpartition(",")[2].strip(), name
+    assert catalog.one("late_gbk.csv").df.filter("v = '北京数据'").count() == 1
+
+
 def test_temp_tables_and_edits(catalog):
     catalog.register("data.csv", [Table("Sheet1", ["name", "value"], [["Alice", "100"], ["Bob", "200"], ["Charlie", "300"]])])
     assert catalog.materialize_query("Big", "SELECT * FROM sheet_1_0 WHERE value::int > 150;") == 2
