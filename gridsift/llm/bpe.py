@@ -1,8 +1,12 @@
 """Byte-level BPE over Arrow batches with the tokenizers library, from a file of byte ranks.
 
-Bytes are written as the 256 printable characters of the byte-level alphabet; the vocabulary, the merges and the decoder are
-built on that table. Offsets come as code points of the text; where a character is split between tokens, each of its tokens
-has the whole character's span, and decoding joins the bytes before any text is made of them.
+Bytes are written as the 256 printable characters of the byte-level alphabet; the vocabulary and the merges are built on that table,
+and decoding takes each token's characters back through the inverted table. Offsets come from the tokens' bytes: a table from
+each byte to the character it belongs to turns them into code points, so a character that is split between tokens gives each of them the whole
+character's span, and decoding joins the bytes before any text is made of them.
+
+With the pattern that most byte-level vocabularies use, texts are cut where no match can cross, each distinct piece is encoded once and kept
+(PIECES at most, the most used ones stay), and a batch's tokens are gathered by numpy. With any other pattern whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import CHUNK_BYTES, chunks
 
-#: So many distinct words keep their tokens, in a worker's memory.
-MEMO_WORDS = 150_000
+#: So many distinct pieces keep their tokens, in a worker's memory.
+PIECES = 200_000
+#: New pieces are encoded so many at a time.
+JOINED = 2000
 
-#: A space or none, and letters of the Latin blocks: one match of the usual patterns.
-LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: The places to cut a text with other white space.
+# Fixed value: the pattern for which the cuts below are proved.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Space or newline or neither, then letters of the Latin blocks, digits, marks but the apostrophe: what is there of these is one match each.
+SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]*)([0-9]*)([!-&(-/:-@\[-`{-~]*)")
+#: The places to cut a text with other white space: a match can begin at a single space between other characters, but not go over it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -46,106 +53,204 @@ def read_ranks(path: str) -> list[bytes]:
     return [tokens[i] for i in range(len(tokens))]
 
 
+def _model(tokens: list[bytes]):
+    from tokenizers import models
+
+    alphabet = byte_alphabet()
+    rank = {t: i for i, t in enumerate(tokens)}
+    as_text = ["".join([alphabet[b] for b in t]) for t in tokens]
+    # Every way to put a token together from two others is a merge with that token's rank.
+    merges = [
+        (as_text[rank[t[:k]]], as_text[rank[t[k:]]])
+        for t in tokens
+        for k in range(1, len(t))
+        if t[:k] in rank and t[k:] in rank
+    ]
+    return models.BPE(vocab={t: i for i, t in enumerate(as_text)}, merges=merges, ignore_merges=True, cache_capacity=0)
+
+
+class _Pieces(dict):
+    """Numbers of distinct pieces. A word stands for the piece of it and the space before it (a word that begins with a newline for itself), a tuple of one
+    text for that text. 0: a word that cannot be cut out so. New pieces wait in `fresh`."""
+
+    def __init__(self):
+        self.fresh: list[str | tuple[str]] = []
+        self.used = 1
+
+    def __missing__(self, key) -> int:
+        number = self.used + len(self.fresh)
+        if key.__class__ is str:
+            body = key[1:] if key[:1] == "\n" else key
+            if not body or body[0].isspace() or body[-1].isspace():
+                self[key] = 0
+                return 0
+        self.fresh.append(key)
+        self[key] = number
+        return number
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of them, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokens = read_ranks(path)
-        alphabet = byte_alphabet()
-        rank = {t: i for i, t in enumerate(self.tokens)}
-        as_text = ["".join([alphabet[b] for b in t]) for t in self.tokens]
-        # Every way to put a token together from two others is a merge with that token's rank.
-        merges = [
-            (as_text[rank[t[:k]]], as_text[rank[t[k:]]])
-            for t in self.tokens
-            for k in range(1, len(t))
-            if t[:k] in rank and t[k:] in rank
-        ]
-        self.tokenizer = Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(as_text)}, merges=merges, ignore_merges=True, cache_capacity=0))
+        model = _model(read_ranks(path))
+        self.known = pattern == PATTERN
+        self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-
-        self.model = self.tokenizer.model
-        self.to_alphabet = dict(enumerate(alphabet))
-        self.length = [len(t) for t in self.tokens]
-        self.single = {chr(b): rank[bytes([b])] for b in b".,;:!?"}
-        self.newline = rank[b"\n"]
-        self.memos: dict[tuple[bool, bool], dict] = {(o, w): {} for o in (False, True) for w in (False, True)}
-
-    def _piece(self, text: str, offsets: bool) -> tuple[list[int], list[tuple[int, int]]]:
-        """ids and spans of a text that is cut nowhere else."""
-        letters, mark = (text[:-1], text[-1]) if text[-1:] in self.single else (text, "")
-        if not LETTERS.fullmatch(letters):
-            got = self.tokenizer.encode(text, add_special_tokens=False)
-            return got.ids, got.offsets if offsets else []
-        # One match of the pattern, and perhaps a mark after it: straight to the merges.
-        raw = letters.encode()
-        ids = [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.to_alphabet))]
-        spans = []
-        if offsets:
-            char, end = [i for i, c in enumerate(letters) for _ in c.encode()], 0  # the character of each byte
-            for i in ids:
-                begin, end = end, end + self.length[i]
-                spans.append((char[begin], char[end - 1] + 1))
-        if mark:
-            ids.append(self.single[mark])
-            spans.append((len(letters), len(text)))
-        return ids, spans
-
-    def _word(self, word: str, offsets: bool, whole: bool):
-        """A memo's entry: ids as bytes, or with offsets (ids, starts, ends, number of ids); None if the text must be cut another way."""
-        if not whole:
-            body = word[1:] if word[:1] == "\n" else word
-            if not body or body[0].isspace() or body[-1].isspace():
-                return None
-            ids, spans = self._piece(" " + word if body is word else body, offsets)
-            if body is not word:
-                ids, spans = [self.newline, *ids], [(0, 1), *[(a + 1, b + 1) for a, b in spans]]
-        else:
-            ids, spans = self._piece(word, offsets)
-        packed = array("I", ids).tobytes()
-        return (packed, array("I", [a for a, _ in spans]).tobytes(), array("I", [b for _, b in spans]).tobytes(), len(ids)) if offsets else packed
-
-    def _entries(self, words: list[str], offsets: bool, whole: bool) -> list:
-        memo = self.memos[offsets, whole]
-        out = []
-        for word in words:
-            got = memo.get(word, memo)
-            if got is memo:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                got = memo[word] = self._word(word, offsets, whole)
-            out.append(got)
-        return out
-
-    def encode(self, text: str, offsets: bool = False) -> tuple[bytes, bytes, bytes]:
-        """(ids, starts, ends), as little-endian unsigned 32-bit integers; starts and ends only where offsets is true.
-
-        No match of the pattern goes over a single space between characters that are no space: it can only begin there. Nor
-        over a single newline there: that is a match by itself. So texts are cut at those, and each distinct
-        piece is encoded once.
+        # For matches that are already cut and written in the alphabet, with spaces between them.
+        self.matches = Tokenizer(model)
+        self.matches.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        alphabet = byte_alphabet()
+        self.to_alphabet = dict(enumerate(alphabet)) | {ord("\t"): " "}
+        # The byte table, inverted.
+        back = {c: b for b, c in enumerate(alphabet)}
+        tokens = [bytes([back[c] for c in self.tokenizer.id_to_token(i)]) for i in range(self.tokenizer.get_vocab_size())]
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self._forget()
+
+    # Pieces
+
+    def _forget(self) -> None:
+        self.pieces = _Pieces()
+        self.first, self.count, self.uses = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _keep_most_used(self) -> None:
+        """Half of PIECES, by use."""
+        old, first, count, ids = self.pieces, self.first, self.count, self.ids
+        least = np.partition(self.uses, -PIECES // 2)[-PIECES // 2]
+        stay = [(k, n) for k, n in old.items() if n and self.uses[n] > least]
+        took = np.array([n for _, n in stay], np.int64)
+        self._forget()
+        self.pieces.update({k: i for i, (k, _) in enumerate(stay, 1)})
+        self.pieces.used += len(stay)
+        self.count = np.concatenate([[0], count[took]])
+        self.first = np.cumsum(self.count) - self.count
+        self.ids = ids[_spread(first[took], count[took])]
+        self.uses = np.zeros(len(self.count), np.int64)
+
+    def _learn(self) -> None:
+        """Encodes the fresh pieces."""
+        fresh, self.pieces.fresh = self.pieces.fresh, []
+        if not fresh:
+            return
+        self.pieces.used += len(fresh)
+        first, count = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        ids, held = [self.ids], len(self.ids)
+        simple: tuple[list, list, list] = [], [], []
+        odd: tuple[list, list, list] = [], [], []
+        alone: tuple[list, list, list] = [], [], []
+        for i, key in enumerate(fresh):
+            text = key[0] if key.__class__ is tuple else key if key[0] == "\n" else " " + key
+            if key.isalpha() and key.isascii() if key.__class__ is str else False:
+                group, form = simple, text
+            elif (m := SIMPLE.fullmatch(text)) and (parts := [p for p in m.groups()[1:] if p]):
+                group, form = simple, ("\n\t" if m[1] == "\n" else m[1]) + "\t".join(parts)
+            else:
+                group, form = alone if key.__class__ is tuple else odd, text
+            group[0].append(i)
+            group[1].append(len(text) if text.isascii() else len(text.encode()))
+            group[2].append(form)
+        matches = lambda x: self.matches.encode("\t".join(x).encode().decode("latin-1").translate(self.to_alphabet), add_special_tokens=False).ids
+        pieces = lambda x: self.tokenizer.encode("".join(x), add_special_tokens=False).ids
+        for (which, sizes, forms), encode, many in ((simple, matches, JOINED), (odd, pieces, JOINED), (alone, pieces, 1)):
+            for at in range(0, len(which), many):
+                got = np.array(encode(forms[at : at + many]), np.uint32)
+                upto = np.searchsorted(np.cumsum(self.length[got]), np.cumsum(sizes[at : at + many]), "right")
+                place = np.array(which[at : at + many])
+                count[place] = np.diff(upto, prepend=0)
+                first[place] = held + upto - count[place]
+                ids.append(got)
+                held += len(got)
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.ids = np.concatenate(ids)
+
+    def _numbers(self, text: str) -> np.ndarray:
+        """The pieces of a text.
+
+        No match of PATTERN goes over a single space between characters that are no space: it can only begin there. Nor
+        over a single newline there: that is a match by itself.
         """
+        numbers = self.pieces.__getitem__
         words = text.replace("\n", " \n").split(" ")
         first = words[0]
-        odd = first[:1].isspace() or first[-1:].isspace() or (not first and len(words) > 1)
-        parts = [] if odd else self._entries(words[:1], offsets, True) + self._entries(words[1:], offsets, False)
-        if odd or None in parts:
-            words, odd = CUT.split(text), True
-            parts = self._entries(words, offsets, True)
-        if not offsets:
-            return b"".join(parts), b"", b""
-        lengths = np.array([len(w) + (i > 0 and not odd and w[:1] != "\n") for i, w in enumerate(words)])
-        begin = np.repeat(np.cumsum(lengths) - lengths, [x[3] for x in parts]).astype("<u4")
-        at = [(np.frombuffer(b"".join([x[k] for x in parts]), "<u4") + begin).tobytes() for k in (1, 2)]
-        return b"".join([x[0] for x in parts]), *at
+        if not (first[:1].isspace() or first[-1:].isspace() or (not first and len(words) > 1)):
+            words[0] = (first,)
+            got = np.fromiter(map(numbers, words), np.int64, len(words))
+            if got.all():
+                return got
+        words = CUT.split(text)
+        return np.fromiter(map(numbers, zip(words)), np.int64, len(words))
+
+    # Texts
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens, and how many of them are each text's."""
+        if not self.known:
+            found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        if len(self.pieces) > PIECES:
+            self._keep_most_used()
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            for piece in slices(text):
+                parts.append(self._numbers(piece))
+                owner.append(i)
+        self._learn()
+        numbers = np.concatenate([np.zeros(0, np.int64), *parts])
+        counts = self.count[numbers]
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        ids = self.ids[_spread(self.first[numbers], counts)]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        edges = np.cumsum([0, *map(len, parts)])
+        of_part = upto[edges[1:]] - upto[edges[:-1]]
+        return ids, np.bincount(np.array(owner, np.int64), of_part, len(texts)).astype(np.int64)
+
+    def spans(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's first and last code point (exclusive) in its text, by the table from bytes to characters."""
+        data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+        to_char = np.cumsum((data & 0xC0) != 0x80) - 1
+        lengths = self.length[ids]
+        ends = np.cumsum(lengths)
+        chars = np.array([len(t) for t in texts], np.int64)
+        base = np.repeat(np.cumsum(chars) - chars, counts)
+        return to_char[ends - lengths] - base, to_char[ends - 1] + 1 - base
+
+    def decode_all(self, ids: np.ndarray) -> bytes:
+        """The bytes of all tokens, one after the other."""
+        return self.bytes[_spread(self.begin[ids], self.length[ids])].tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_texts([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length)):
+            raise ValueError("a token is not in the vocabulary")
+        return self.decode_all(ids)
+
+
+def slices(text: str, size: int = CHUNK_BYTES) -> Iterator[str]:
+    """A text in parts of about so many characters, cut where no match of PATTERN can cross."""
+    at = 0
+    while len(text) - at > 2 * size and (m := CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 @lru_cache(2)
@@ -153,12 +258,17 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def cut(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def encode_bytes(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = True) -> DataFrame:
     """id, n_tokens, ids (binary: little-endian unsigned 32-bit), and if asked for: starts, ends (binary likewise: each token's code points
     in the text, end exclusive), decoded (binary: the bytes that the ids give back).
 
-    Each match of pattern is encoded by itself, without special tokens. Null text: no tokens, as empty text. Repeated rows each
-    give a row; an empty table gives an empty result; other columns are not read.
+    Each match of pattern is encoded by itself, without special tokens. Null text: no tokens, as empty text. Very long texts are
+    worked on in slices. Repeated rows each give a row; an empty table gives an empty result; other columns are not read.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     if offsets:
@@ -169,18 +279,17 @@ def encode_bytes(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in batches:
-            out: dict[str, list] = {"n_tokens": [], "ids": [], "starts": [], "ends": [], "decoded": []}
-            for text in batch.column(1):
-                ids, starts, ends = bpe.encode(text.as_py() or "", offsets)
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids"].append(ids)
+            for part in chunks(batch, [1]):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids, counts = bpe.encode_texts(texts)
+                arrays = [part.column(0), pa.array(counts), pa.array(cut(ids.astype("<u4").tobytes(), 4 * counts), pa.binary())]
                 if offsets:
-                    out["starts"].append(starts)
-                    out["ends"].append(ends)
+                    arrays += [pa.array(cut(x.astype("<u4").tobytes(), 4 * counts), pa.binary()) for x in bpe.spans(texts, ids, counts)]
                 if decoded:
-                    out["decoded"].append(bpe.decode(np.frombuffer(ids, "<u4").tolist()))
-            arrays = [batch.column(0), pa.array(out["n_tokens"], pa.int64()), *[pa.array(out[f.name], pa.binary()) for f in schema.fields[2:]]]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                    upto = np.concatenate([[0], np.cumsum(bpe.length[ids])])
+                    ends = upto[np.cumsum(counts)]
+                    arrays.append(pa.array(cut(bpe.decode_all(ids), np.diff(ends, prepend=0)), pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     out = docs.select(id_col, text_col).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
@@ -189,22 +298,26 @@ def encode_bytes(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "do
 def decode_bytes(df: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, decoded (binary), text (the bytes as UTF-8; what is not UTF-8, as where ids end inside a character, becomes U+FFFD).
 
-    Null ids give null; ids outside the vocabulary raise an error.
+    Null ids give null; ids outside the vocabulary raise an error. Repeated rows each give a row; an empty table gives an empty result.
     """
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("decoded", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in batches:
-            got = [None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(1).to_pylist()]
-            text = [None if x is None else x.decode("utf-8", "replace") for x in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary()), pa.array(text, pa.string())], names=schema.names)
+            for part in chunks(batch, [1]):
+                got = [None if x is None else bpe.decode(np.frombuffer(x, "<u4")) for x in part.column(1).to_pylist()]
+                text = [None if x is None else x.decode("utf-8", "replace") for x in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), pa.array(text, pa.string())], names=schema.names)
 
     return df.select(id_col, ids_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def with_tokens(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with two more columns: token_ids (array of int; null for a null text) and n_tokens. Columns of these names are replaced."""
+    """docs with two more columns: token_ids (array of int; null for a null text) and n_tokens. Columns of these names are replaced.
+
+    The tokens are decoded again and must give the text. Rows stay as they are, repeated ones too; an empty table gives an empty result.
+    """
     kept = [c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")]
     schema = T.StructType([docs.schema[c] for c in kept]).add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType())
     at = kept.index(next(c for c in kept if c.lower() == text_col.lower()))
@@ -212,18 +325,15 @@ def with_tokens(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in batches:
-            packed, missing = [], []
-            for cell in batch.column(at):
-                text = cell.as_py()
-                missing.append(text is None)
-                packed.append(bpe.encode(text or "")[0])
-                if bpe.decode(np.frombuffer(packed[-1], "<u4").tolist()) != utf8(text):
+            for part in chunks(batch, [at]):
+                texts = part.column(at).to_pylist()
+                missing = [t is None for t in texts]
+                texts = [t or "" for t in texts]
+                ids, counts = bpe.encode_texts(texts)
+                if bpe.decode_all(ids) != "".join(texts).encode("utf-8", "surrogatepass"):
                     raise ValueError("the tokens do not give the text back")
-            counts = np.array([len(x) // 4 for x in packed], np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            # From packed bytes at once: as Python numbers a batch's tokens would take ten times the memory.
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")), mask=pa.array(missing, pa.bool_()))
-            more = [ids, pa.array(counts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32)), mask=pa.array(missing, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(counts)], names=schema.names)
 
     return docs.select(*kept).mapInArrow(run, schema)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: A table of at most this many rows may be broadcast; callers count it first and have a shuffle join beyond it.
 BROADCAST_ROWS = 50_000
 
+#: About so many bytes of text are worked on, and given back, at a time by functions over Arrow batches.
+CHUNK_BYTES = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
@@ -70,3 +77,14 @@ def ascii_lower(col):
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def chunks(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about CHUNK_BYTES in the given text columns, one row at least: what a worker holds does not depend on the batch's rows."""
+    if not batch.num_rows:
+        return
+    size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in columns)
+    part = np.cumsum(size) // CHUNK_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)

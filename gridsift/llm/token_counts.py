@@ -7,6 +7,7 @@ one's start, so the newline between them belongs to the earlier. Tokens that go
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import byte_bpe
+from .common import chunks
 
 RULES = ("start", "most", "split")
 
@@ -47,8 +49,8 @@ def allocated(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: st
 def section_tokens(docs: DataFrame, *, fields: list[str], by_line: set[str], ranks: str, pattern: str, id_col: str = "doc_id", rule: str = "start") -> DataFrame:
     """One row per section: id, field, section (from 0 within the field), start, end (code points of the joined document), n_tokens (double), n_crossing (long).
 
-    The counts of a document's sections add up to its tokens. A null field counts as empty, an empty field is an empty section;
-    repeated rows each give their sections; an empty table gives an empty result; other columns are not read.
+    The counts of a document's sections add up to its tokens. A null field counts as empty, an empty field is an empty section, very long
+    fields are encoded in slices; repeated rows each give their sections; an empty table gives an empty result; other columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -59,27 +61,28 @@ def section_tokens(docs: DataFrame, *, fields: list[str], by_line: set[str], ran
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in batches:
-            took, field, section, start, end, tokens, crossing = [], [], [], [], [], [], []
-            for row in range(batch.num_rows):
-                texts = [batch.column(k + 1)[row].as_py() or "" for k in range(len(fields))]
-                bounds, at = [], 0
-                for name, text in zip(fields, texts):
-                    begin = at
-                    for k, line in enumerate(text.split("\n") if name in by_line else [text]):
-                        field.append(name)
-                        section.append(k)
-                        bounds.append(begin)
-                        end.append(begin + len(line))
-                        begin += len(line) + 1
-                    at += len(text) + 1
-                _, starts, ends = (np.frombuffer(x, "<u4").astype(np.int64) for x in bpe.encode("\n".join(texts), True))
-                counts, over = allocated(starts, ends, np.array(bounds, np.int64), rule)
-                took += [row] * len(bounds)
-                start += bounds
-                tokens.append(counts)
-                crossing.append(over)
-            if took:
-                arrays = [batch.column(0).take(pa.array(took, pa.int32())), pa.array(field), *[pa.array(x, pa.int64()) for x in (section, start, end)], pa.array(np.concatenate(tokens)), pa.array(np.concatenate(crossing), pa.int64())]
+            for part in chunks(batch, list(range(1, len(fields) + 1))):
+                took, field, section, start, end, whole = [], [], [], [], [], []
+                for row, texts in enumerate(zip(*[part.column(k + 1).to_pylist() for k in range(len(fields))])):
+                    texts, at = [t or "" for t in texts], 0
+                    for name, text in zip(fields, texts):
+                        lines = text.split("\n") if name in by_line else [text]
+                        upto = list(accumulate([len(x) + 1 for x in lines], initial=at))
+                        took += [row] * len(lines)
+                        field += [name] * len(lines)
+                        section += range(len(lines))
+                        start += upto[:-1]
+                        end += [x - 1 for x in upto[1:]]
+                        at = upto[-1]
+                    whole.append("\n".join(texts))
+                ids, counts = bpe.encode_texts(whole)
+                starts, ends = bpe.spans(whole, ids, counts)
+                # All documents of the part on one axis, each a place apart from the next.
+                base = np.cumsum([0, *[len(x) + 1 for x in whole]])[:-1]
+                shift = np.repeat(base, counts)
+                bounds = np.array(start, np.int64) + base[np.array(took, np.int64)]
+                tokens, crossing = allocated(starts + shift, ends + shift, bounds, rule)
+                arrays = [part.column(0).take(pa.array(took, pa.int32())), pa.array(field), *[pa.array(x, pa.int64()) for x in (section, start, end)], pa.array(tokens), pa.array(crossing, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select(id_col, *fields).mapInArrow(run, schema).withColumnRenamed("id", id_col)
