@@ -5,7 +5,9 @@ similar set; a prefix of its shingles in that order is taken that no t losses ca
 signature by itself. Frequent shingles are dealt into small classes and every pair of a class within the prefix is a
 signature; as a pair survives unless all but one of the class are lost, a class of c counts c - 1, and the prefix is
 extended until the counts exceed t. Two similar sets then have a signature in common. Which shingles are frequent comes from a
-count of all documents' shingles in 2**22 counters (bounded, whatever the corpus); it steers cost only, never results.
+count of all shingles of all documents in hashed counters, as many as the corpus's bytes ask for (MOST_COUNTERS at most); it steers cost
+only, never results. As every shingle is counted, documents that share a template but have enough words of their own get signatures of
+their own words alone, and never meet.
 
 Links. A signature's sets are not paired with each other. First each set meets the smallest and the largest set of its
 signatures, one such pair is verified, and the links give first components, which hold the large groups of near copies. Then only
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, hidden, position, restored, stored, utf8
+from .common import BROADCAST_ROWS, chunks, hidden, position, restored, stored, utf8
 from .components import connected_components
 from .wordhash import WordHashes, mixed, windows
 
-#: Counters of shingles, and their parts that tasks exchange.
-WIDTH, PART = 1 << 22, 1 << 18
+#: Counters of shingles: one for so many bytes of text, within these bounds, and their parts that tasks exchange.
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, PART = 256, 1 << 20, 1 << 25, 1 << 18
 #: Sets of fewer shingles have single-shingle signatures alone.
 PAIRS_FROM = 16
 BITMAP_WORDS = 8
@@ -46,56 +48,60 @@ def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(windows(hashes.of(utf8(text).lower().split()), size))
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) & (WIDTH - 1)
+def _counter(h: np.ndarray, width: int) -> np.ndarray:
+    return (h >> np.uint64(34)).astype(np.int64) & (width - 1)
+
+
+def counters_for(size: int) -> int:
+    """How many counters so many bytes of text get: a power of two."""
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, size // BYTES_PER_COUNTER - 1).bit_length()))
 
 
 class Signatures:
-    """The signatures of a set. frequent: which counters are (a bit each, packed). share: one in so many shingles is counted and goes first."""
+    """The signatures of a set. frequent: which counters are (a bit each, packed)."""
 
-    def __init__(self, num: int, den: int, frequent: bytes, share: int):
-        self.num, self.den, self.share = num, den, np.uint64(share)
+    def __init__(self, num: int, den: int, frequent: bytes):
+        self.num, self.den = num, den
         self.frequent = np.frombuffer(frequent, np.uint8)
 
     def of(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
         need = n + -(-self.num * n // self.den) * -1 + 1
-        counted = s % self.share == 0
-        at = _counter(s)
-        often = counted & ((self.frequent[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-        rare, common, others = s[counted & ~often], s[often], s[~counted]
+        at = _counter(s, 8 * len(self.frequent))
+        often = ((self.frequent[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        rare, common = s[~often], s[often]
         octave = n.bit_length() - 1
         # Sets that may have a partner in the next octave stand in both.
         octaves = [octave, *[octave + 1] * (n * self.den // self.num >= 2 << octave)]
-        return np.unique(np.concatenate([self._in(o, need, rare, common, others) for o in octaves]))
+        return np.unique(np.concatenate([self._in(o, need, rare, common) for o in octaves]))
 
-    def _in(self, octave: int, need: int, rare: np.ndarray, common: np.ndarray, others: np.ndarray) -> np.ndarray:
+    def _in(self, octave: int, need: int, rare: np.ndarray, common: np.ndarray) -> np.ndarray:
         salt = mixed(np.array([octave + 1], np.uint64))
         if 1 << octave < PAIRS_FROM:
             rare, common = np.concatenate([rare, common]), common[:0]
-            # One order for all: counted before the others, either by hash.
+            # One order for all, by hash.
             rare.sort()
         if len(rare) >= need:
             return mixed(rare[:need] ^ salt)
         need -= len(rare)
         out = [mixed(rare ^ salt)]
-        if len(common):
-            kind = (mixed(common + salt) % np.uint64(max(1, (1 << octave) // 16))).astype(np.int64)
-            worth = np.ones(len(common), np.int64)
-            worth[np.unique(kind, return_index=True)[1]] = 0
-            gained = np.cumsum(worth)
-            took = min(int(np.searchsorted(gained, need)) + 1, len(common))
-            need -= int(gained[took - 1])
-            kind, common = kind[:took], common[:took]
-            order = np.argsort(kind, kind="stable")
-            kind, common = kind[order], common[order]
-            for gap in range(1, took):
-                same = kind[gap:] == kind[:-gap]
-                if not same.any():
-                    break
-                out.append(mixed(mixed(common[:-gap][same] ^ salt) * np.uint64(3) + common[gap:][same]))
+        kind = (mixed(common + salt) % np.uint64(max(1, (1 << octave) // 16))).astype(np.int64)
+        worth = np.ones(len(common), np.int64)
+        worth[np.unique(kind, return_index=True)[1]] = 0
+        gained = np.cumsum(worth)
+        took = min(int(np.searchsorted(gained, need)) + 1, len(common))
+        need -= int(gained[took - 1]) if took else 0
+        kind, common, left = kind[:took], common[:took], common[took:]
+        order = np.argsort(kind, kind="stable")
+        kind, paired = kind[order], common[order]
+        for gap in range(1, took):
+            same = kind[gap:] == kind[:-gap]
+            if not same.any():
+                break
+            out.append(mixed(mixed(paired[:-gap][same] ^ salt) * np.uint64(3) + paired[gap:][same]))
         if need > 0:
-            out.append(mixed(others[:need] ^ salt))
+            # Classes of one: too few pairs in all the set, so frequent shingles stand by themselves as well.
+            out.append(mixed(np.concatenate([common, left]) ^ salt))
         return np.concatenate(out)
 
 
@@ -121,30 +127,23 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
-def _frequent(texts: DataFrame, size: int, share: int) -> bytes:
-    """Which counters are frequent, a bit each: far above what chance gives a counter at the corpus's number of shingles."""
-    schema = "part int, counts binary"
+def _frequent(texts: DataFrame, size: int) -> bytes:
+    """Which counters are frequent, a bit each: far above what chance gives a counter at the corpus's number of shingles.
+
+    A task's counts are mostly zeros where counters are many, and are exchanged compressed: by the bytes of its texts, not by the counters.
+    """
+    width = counters_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(WIDTH, np.int64)
-        held, n = [], 0
+        hashes, total = WordHashes(), np.zeros(width, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                s = shingles(text.as_py(), size, hashes)
-                held.append(_counter(s[s % np.uint64(share) == 0]))
-                n += len(held[-1])
-                if n > WIDTH:
-                    total += np.bincount(np.concatenate(held), minlength=WIDTH)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=WIDTH)
-        if total.any():
-            yield packed(total, range(WIDTH // PART))
-
-    def packed(total: np.ndarray, parts: range | list[int]) -> pa.RecordBatch:
+                at = _counter(shingles(text.as_py(), size, hashes), width)
+                np.add.at(total, at, np.uint32(1))
         packer = zstandard.ZstdCompressor(level=1)
-        rows = [packer.compress(total[i * PART : (i + 1) * PART].astype(np.uint32).tobytes()) for i in range(len(parts))]
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+        for i in range(width // PART):
+            if (part := total[i * PART : (i + 1) * PART]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -152,17 +151,20 @@ def _frequent(texts: DataFrame, size: int, share: int) -> bytes:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 got = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), np.uint32)
                 sums[part] = sums.get(part, 0) + got.astype(np.int64)
-        if sums:
-            yield packed(np.minimum(np.concatenate(list(sums.values())), 2**32 - 1), list(sums))
+        for part, total in sums.items():
+            # A part's mean is the corpus's, as hashes deal the shingles out.
+            mean = total.mean()
+            bits = np.packbits(total > mean + 8 * mean**0.5 + 16, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
 
-    total = np.zeros(WIDTH, np.int64)
-    for row in texts.mapInArrow(count, schema).repartition(WIDTH // PART, "part").mapInArrow(add, schema).collect():  # WIDTH counters in all
-        total[row.part * PART : (row.part + 1) * PART] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), np.uint32)
-    mean = total.mean()
-    return np.packbits(total > mean + 8 * mean**0.5 + 16, bitorder="little").tobytes()
+    parts = width // PART
+    flags = bytearray(width // 8)
+    for row in texts.mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, bits binary").collect():  # MOST_COUNTERS bits at most
+        flags[row.part * PART // 8 : (row.part + 1) * PART // 8] = row.bits
+    return bytes(flags)
 
 
-def _sets(src: DataFrame, size: int, num: int, den: int, frequent: bytes, share: int) -> DataFrame:
+def _sets(src: DataFrame, size: int, num: int, den: int, frequent: bytes) -> DataFrame:
     """src (id, text) as id, t (hash of the text), n, node (hash of the set; null if empty), sigs, b0...: stored."""
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     long = T.LongType()
@@ -170,8 +172,8 @@ def _sets(src: DataFrame, size: int, num: int, den: int, frequent: bytes, share:
     shared = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, signatures = WordHashes(), Signatures(num, den, shared.value, share)
-        for batch in batches:
+        hashes, signatures = WordHashes(), Signatures(num, den, shared.value)
+        for batch in (part for whole in batches for part in chunks(whole, [2])):
             n, node, sigs, wide, maps = [], [], [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), size, hashes)
@@ -220,34 +222,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, n
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, flags = WordHashes(), shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, [1])):
             at = batch.column(0).to_numpy() % FILTER_BITS
             took = np.flatnonzero((flags[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
             made = [shingles(batch.column(1)[int(i)].as_py(), size, hashes) for i in took]
             made = [s for s in made if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], pa.int64()), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["node", "s"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = [], []
-            for a, b, x, y in zip(*[batch.column(k).to_pylist() for k in range(2)], batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    u.append(a)
-                    v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    whole = texts.mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
+    whole = texts.mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
     x, y = whole.select(F.col("node").alias("u"), F.col("s").alias("x")), whole.select(F.col("node").alias("v"), F.col("s").alias("y"))
-    return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(check, "u long, v long"), "verified")
+    both = F.size(F.array_intersect("x", "y"))
+    return stored(pairs.join(x, "u").join(y, "v").filter(both * den >= (F.size("x") + F.size("y") - both) * num).select("u", "v"), "verified")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """id, t, n, node of every row of docs, and component: the smallest id that links reach."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    share = 4 if 100 * num >= 90 * den else 2
-    sets = _sets(src, size, num, den, _frequent(src.select("text"), size, share), share)
+    sets = _sets(src, size, num, den, _frequent(src.select("text"), size))
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     texts = src.select(F.xxhash64("text").alias("t"), "text")
     # Equal sets are one node from here on.
