@@ -1,4 +1,4 @@
-"""Personal data: regular expressions propose spans, checksums confirm them, words nearby move their score.
+"""Personal data and secrets: regular expressions propose spans, checksums and entropy confirm them, words nearby move their score.
 
 All of it is SQL functions. A text is split at a pattern and the pattern's matches are extracted; the lengths of both, summed in
 order, are the spans. The sums run over rows of (document, kind), so a text with very many matches costs no more for each. Only
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import ascii_lower
+from .common import BROADCAST_ROWS, ascii_lower, hidden, position, restored, stored
 
 #: Code points before and after a match in which context words count.
 BEFORE, AFTER = 40, 20
@@ -27,6 +27,13 @@ CARD = r"[0-9](?:[ -]?[0-9]){12,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+#: Opaque words: a run of the letters of hex, base64 and identifiers, from 16 to 512 of them; longer runs are data, not keys.
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}+={0,2}(?![A-Za-z0-9+/_-])"
+# Forms of keys that issuers mark.
+MARKED = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+PASSWORD = r"(?i)(?<![a-z0-9])(?:password|passwd|passphrase|passwort|kennwort|contraseña)[\"']?[ ]?[:=][ ]?[\"']?[^\s\"',;<>]{6,64}"
+#: Bits for each sign that a secret has at least.
+ENTROPY = 3.0
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,9 @@ KINDS = (
     Kind("iban", IBAN, False, 0.9, 0.1, r"\b(?:iban|account|konto|compte|cuenta)\b", r"[A-Z]{2}[0-9]{2}"),
     Kind("shortcard", CARD, False, 0.3, 0.4, r"\b(?:card|amex|diners|maestro|credit|carte|tarjeta|karte)\b", r"[0-9](?:[ -]?[0-9]){12}"),
     Kind("ssn", SSN, False, 0.4, 0.4, r"\b(?:ssn|social security)\b", r"[0-9]-[0-9]{2}-[0-9]"),
+    Kind("secret", OPAQUE, False, 0.3, 0.5, r"(?:\b|_)(?:token|secret|key|apikey|api_key|auth|authorization|bearer|credential|credentials|password|jwt|sig|signature|schlüssel|clave|clé)\b", r"[A-Za-z0-9+/_-]{16}"),
+    Kind("apikey", MARKED, False, 0.9, 0.1, r"\b(?:token|secret|key|auth)\b", r"AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|-----BEGIN "),
+    Kind("password", PASSWORD, False, 0.8, 0.2, r"\b(?:login|user|account|konto)\b", r"(?i)pass|kennwort|contrase"),
 )
 
 
@@ -65,6 +75,13 @@ def mod97(code: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda s, c: (s * F.when(c < "A", 10).otherwise(100) + value(c)) % 97) == 1
 
 
+def entropy(text: Column) -> Column:
+    """Bits for each character of a text, by how often each of its characters occurs."""
+    n = F.char_length(text)
+    share = lambda c: (n - F.char_length(F.replace(text, c, F.lit("")))) / n
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda s, c: s - F.coalesce(share(c) * F.log2(share(c)), F.lit(0.0)))
+
+
 def _confirmed(kind: Column, match: Column) -> Column:
     digits = F.translate(match, "+ ().-", "")
     n = F.char_length(digits)
@@ -77,6 +94,8 @@ def _confirmed(kind: Column, match: Column) -> Column:
         .when(kind == "phone", n.between(8, 15))
         .when(kind == "iban", F.char_length(code).between(15, 34) & mod97(code))
         .when(kind == "shortcard", n.between(13, 15) & luhn(digits))
+        .when(kind == "secret", match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (entropy(match) >= ENTROPY))
+        .when(kind.isin("apikey", "password"), True)
         .otherwise(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"))
     )
 
@@ -103,15 +122,8 @@ def _proposed(text: Column, kind: Kind) -> Column:
     return F.when(may, found).otherwise(F.array())
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """id and spans of each row of docs: an array of (kind_no, start, end, kind, base, score), by kind as in kinds and then by start.
-
-    Spans are code points of the text, end exclusive; matches of one kind do not overlap, those of several may. Matches of base
-    kinds that their check confirms always stay; others stay if their score, moved by context words, reaches KEEP.
-    Null text counts as empty. Repeated rows each give a row; an empty table gives an empty result; other columns are not read.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+def _spans(src: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """For src (row, id, text): row, id, kind_no, start, end, kind, base, score, stays; a row whose text has no match has one line that does not stay."""
     items = src.select("row", "id", F.explode_outer(F.concat(*[_proposed(F.col("text"), k) for k in kinds])).alias("x")).select("row", "id", "x.*")
     order = W.Window.partitionBy("row", "kind").orderBy("k").rowsBetween(W.Window.unboundedPreceding, 0)
     end = F.sum(F.col("skipped") + F.char_length("match")).over(order)
@@ -126,27 +138,45 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         is_kind = F.col("kind") == k.name
         score = F.when(is_kind, k.prior + k.boost * ascii_lower(near).rlike(k.words).cast("double")).otherwise(score)
         number, base = F.when(is_kind, i).otherwise(number), F.when(is_kind, k.base).otherwise(base)
-    spans = (
+    return (
         items.repartition("row")
         .withColumns({"end": end, "near_before": before, "near_after": after})
-        .withColumn("stays", F.col("match").isNotNull() & _confirmed(F.col("kind"), F.col("match")))
         .withColumns({"score": score, "kind_no": number, "base": base})
-        .withColumn("stays", F.col("stays") & (F.col("base") | (F.col("score") >= KEEP)))
+        .withColumn("stays", F.col("match").isNotNull() & (F.col("base") | (F.col("score") >= KEEP)) & _confirmed(F.col("kind"), F.col("match")))
         .withColumn("start", F.col("end") - F.char_length("match"))
     )
+
+
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """id and spans of each row of docs: an array of (kind_no, start, end, kind, base, score), by kind as in kinds and then by start.
+
+    Spans are code points of the text, end exclusive; matches of one kind do not overlap, those of several may. Matches of base
+    kinds that their check confirms always stay; others stay if their score, moved by context words, reaches KEEP.
+    Null text counts as empty. Repeated rows, and rows with a null id, each give a row; an empty table gives an empty result; other columns are not read.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     span = F.struct("kind_no", "start", "end", "kind", "base", "score")
-    out = spans.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.when(F.col("stays"), span))).alias("spans"))
+    out = _spans(src, kinds).groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.when(F.col("stays"), span))).alias("spans"))
     return out.select(F.col("id").alias(id_col), "spans")
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and text of each row, every span of find_pii() replaced by its kind in brackets (of overlapping spans, the one that starts first). Ids must be unique."""
-    found = find_pii(docs, id_col=id_col, text_col=text_col).filter(F.size("spans") > 0).withColumnRenamed(id_col, "pii_id")
-    both = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(found, F.col(id_col) == F.col("pii_id"), "left")
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    blank = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
-        F.struct(s["end"].cast("long").alias("at"), F.concat(a["out"], F.expr("''"), F.substr(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"))
-    )
-    done = F.aggregate(ordered, blank, step)
-    return both.select(id_col, F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"), F.char_length("text")))).alias("text"))
+def redact(docs: DataFrame, *, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """docs with every span of find_pii() in the text replaced by its kind in brackets, all else as it was.
+
+    Spans that overlap become one, named by the one that starts first, so nothing of either is left. Rows are told apart by a number that is stored with
+    them, so null and repeated ids and repeated rows do no harm. A null text stays null; an empty table gives an empty result; extra columns stay.
+    """
+    src = hidden(docs)
+    text = position(docs, text_col)
+    src = stored(src.withColumn("row", F.monotonically_increasing_id()), "to-redact")
+    found = _spans(src.select("row", F.lit(0).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), kinds).filter("stays")
+    order = W.Window.partitionBy("row").orderBy("start", F.desc("end"), "kind_no").rowsBetween(W.Window.unboundedPreceding, -1)
+    found = found.withColumn("upto", F.coalesce(F.max("end").over(order), F.lit(0)))
+    cut = F.struct("start", "upto", "kind")
+    cuts = stored(found.groupBy("row").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("end").alias("last")).withColumnRenamed("row", "cut_row"), "cuts")
+    few = cuts.count() <= BROADCAST_ROWS
+    both = src.join(F.broadcast(cuts) if few else cuts, F.col("row") == F.col("cut_row"), "left")
+    part = lambda a, b: F.substr(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.transform("cuts", lambda c: F.when(c["start"] >= c["upto"], F.concat(part(c["upto"], c["start"]), F.lit("["), c["kind"], F.lit("]"))).otherwise(F.lit("")))
+    done = F.concat(F.array_join(pieces, ""), part(F.col("last"), F.char_length(text)))
+    return restored(both.withColumn("redacted", F.when(F.col("cuts").isNull(), F.col(text)).otherwise(done)), docs, {text: "redacted"})

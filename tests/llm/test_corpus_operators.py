@@ -11,12 +11,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridsift.llm import kdtree
+from gridsift.llm import kdtree, ngram_join
 from gridsift.llm.components import connected_components
 from gridsift.llm.hilbert import curve, hilbert_shards, write_shards
 from gridsift.llm.kdtree import top_k
-from gridsift.llm.mixing import mixture, sample_mixture
+from gridsift.llm.mixing import described, marginals, mixture, sample_mixture
 from gridsift.llm.ngram_join import folded, keep_one, parity, similar_groups
+from gridsift.llm.wordhash import WordHashes
 from gridsift.llm.warc import captures, parsed, read_archives, round_trip, write_archives
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -154,22 +155,44 @@ def test_bitmaps_and_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 100}
 
 
-def test_mixture(spark):
+MIXED = "doc_id long, text string, source string, lang string, factor int, topic string"
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"en": 0.3, "de": 0.6, "": 0.1, "xx": 0.2}}, {"source": {"big": 0.2}, "lang": {"en": 0.5}}])
+def test_mixture(spark, targets):
     r = random.Random(4)
-    rows = [(i, " ".join(["w"] * r.randrange(1, 40)), "big" if r.random() < 0.7 else f"s{r.randrange(3)}", r.choice(["en", "de", None])) for i in range(800)] + [(5000, None, None, None), (5001, "", "big", "en")]
-    out = mixture(docs_of(spark, rows, "doc_id long, text string, source string, lang string"), power=0.5, rounds=40).collect()
+    rows = [(i, " ".join(["w"] * r.randrange(1, 40)), "big" if r.random() < 0.7 else f"s{r.randrange(3)}", r.choice(["en", "de", None]), 1, "x") for i in range(800)] + [(5000, None, None, None, None, None), (5001, "", "big", "en", 0, "y"), (3, "w", "big", "en", 1, "x"), (3, "w", "big", "en", 1, "x")]
+    df = docs_of(spark, rows, MIXED)
+    out = mixture(df, power=0.5, targets=targets).collect()
     assert len(out) == len(rows) and all(0 < x.probability <= 1 for x in out if x.n_tokens)
+    error = {(x.dim, x.value): (x.target_share, x.expected_share) for x in marginals(df, power=0.5, targets=targets).collect()}
     for dim in ("source", "lang", "topic"):
         has, want = Counter(), Counter()
         for x in out:
             has[x[dim]] += x.n_tokens
             want[x[dim]] += x.n_tokens * x.probability
-        target = {k: v**0.5 for k, v in has.items() if v}
-        share = {k: v / sum(target.values()) for k, v in target.items()}
-        assert all(abs(want[k] / sum(want.values()) - share[k]) < 1e-3 for k in share), dim
-    kept = sample_mixture(docs_of(spark, rows, "doc_id long, text string, source string, lang string"), power=0.5, rounds=40)
-    assert sorted(x.doc_id for x in kept.collect()) == sorted(x.doc_id for x in out if x.selected) and kept.columns == ["doc_id", "text", "source", "lang"]
-    assert mixture(docs_of(spark, [], "doc_id long, text string, source string, lang string")).count() == 0
+        named = (targets or {}).get(dim, {})
+        rest, others = max(0, 1 - sum(named.values())) if named else 1, {k: v**0.5 for k, v in has.items() if v and k not in named}
+        share = {k: named[k] if k in named else rest * others[k] / sum(others.values()) for k, v in has.items() if v}
+        share = {k: v / sum(share.values()) for k, v in share.items()}
+        # One part in a hundred of the tokens may ask for more than there is of them.
+        assert all(abs(want[k] / sum(want.values()) - share[k]) < 2e-2 for k in share), dim
+        assert all(error[dim, k] == pytest.approx((share[k], want[k] / sum(want.values())), abs=1e-6) for k in share), dim
+    kept = sample_mixture(df, power=0.5, targets=targets)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(x.doc_id for x in out if x.selected) and kept.columns == df.columns
+    assert mixture(df.limit(0)).count() == 0
+
+
+def test_a_rare_source_does_not_thin_out_the_others(spark):
+    rows = [(i, "w " * 30, f"s{i % 5}", "en", 1, "x") for i in range(2000)] + [(9999, "w", "rare", "xx", 1, "x")]
+    out = {x.doc_id: x.probability for x in mixture(docs_of(spark, rows, MIXED), power=0.5).collect()}
+    assert out[9999] == 1 and all(p > 0.98 for p in out.values())
+
+
+def test_topics_by_form(spark):
+    texts = {"table": "a | b | c\n" * 9, "contact": "write to me@x.org " + "w " * 300, "markup": "<p>x</p> {a=1} " * 5, "symbols": "w $ w # w % " * 9, "speech": 'he said "no"? ' * 9, "list": "one\ntwo\n" * 20, "note": "w " * 100, "article": "w " * 1500, "book": "w " * 3000}
+    got = spark.createDataFrame(list(texts.items()) + [("note", None), ("note", "")], "name string, text string").select("name", described(F.col("text"))["topic"].alias("topic")).collect()
+    assert all(x.name == x.topic for x in got)
 
 
 def test_warc(spark, tmp_path):
@@ -205,3 +228,30 @@ def test_warc_of_a_gzip_member_per_record(spark, tmp_path):
     found = read_archives(spark, str(tmp_path / "many.warc.gz"))
     assert Counter(r.kind for r in found.collect()) == {"warcinfo": 1, "request": 3, "response": 3, "metadata": 3}
     assert sorted((r.main.page_id, r.main.bytes, r.request is not None, r.metadata is not None) for r in captures(found).collect()) == [(k, 14, True, True) for k in range(3)]
+
+
+def templated(docs, shared, own, seed=5):
+    """Documents of one template and words of their own."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(shared)]
+    return [(d, " ".join(template + [f"o{r.randrange(10**9)}" for _ in range(own)])) for d in range(docs)]
+
+
+def test_documents_of_a_template_do_not_meet(spark):
+    """Similarity 0.74 each to each: no link, and as many signatures shared however many documents there are."""
+    pairs = []
+    for docs in (300, 600):
+        rows = templated(docs, 850, 150) + [(docs + k, t) for k, (_, t) in enumerate(templated(2, 850, 150))]
+        df = docs_of(spark, rows)
+        got = {x.doc_id: x.component_id for x in similar_groups(df, size=3, num=90, den=100).collect()}
+        assert got == {d: d if d < docs else d - docs for d, _ in rows}
+        frequent = ngram_join._frequent(df.select("text"), 3)
+        sigs = ngram_join.Signatures(90, 100, frequent)
+        hashes = WordHashes()
+        held = Counter(x for _, t in rows for x in sigs.of(ngram_join.shingles(t, 3, hashes)).tolist())
+        pairs.append(sum(k * (k - 1) // 2 for k in held.values()))
+    assert pairs[1] <= 3 * max(pairs[0], 500)
+
+
+def test_counters_grow_with_the_text():
+    assert [ngram_join.counters_for(x) for x in (0, 1 << 28, 1 << 30, (1 << 30) + 256, 1 << 50)] == [1 << 20, 1 << 20, 1 << 22, 1 << 23, 1 << 25]
