@@ -17,22 +17,27 @@ from gridsift.llm.queries import ranks_and_pattern
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; null, empty and very short texts are rejected, repeated rows share their fate, an empty table stays empty, extra columns stay."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No document goes; texts lose shared lines. Null texts stay null, rows with one id are one document, repeated rows stay, an empty table stays empty, extra columns stay."""
     return drop_shared_lines(docs, min_chars=40, min_docs=5)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id. Null and empty texts all stay; of rows repeated with id and text one stays; extra columns stay."""
     return keep_one(docs, size=5, num=80, den=100)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled by calibrated probabilities. Null source, language and topic count as empty; documents without words stay as their cell does; repeated rows share their fate; extra columns stay."""
     return sample_mixture(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with token_ids (null for a null text) and n_tokens. Columns of these names are replaced; repeated rows stay, an empty table stays empty."""
     ranks, pattern = ranks_and_pattern()
     return with_tokens(docs, ranks=ranks, pattern=pattern)
 
