@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Where stored() has written in this process.
+#: Where stored() and others have written in this process.
 _WRITTEN: list[str] = []
 
 
@@ -43,11 +43,16 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which release() deletes."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, keeps column pruning."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,16 +9,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from gridsift.llm import kdtree, ngram_join
+from gridsift.llm import kdtree, ngram_join, queries
 from gridsift.llm.components import connected_components
 from gridsift.llm.hilbert import curve, hilbert_shards, write_shards
 from gridsift.llm.kdtree import top_k
 from gridsift.llm.mixing import described, marginals, mixture, sample_mixture
 from gridsift.llm.ngram_join import folded, keep_one, parity, similar_groups
 from gridsift.llm.wordhash import WordHashes
-from gridsift.llm.warc import captures, parsed, read_archives, round_trip, write_archives
+from gridsift.llm.warc import captures, parsed, read_archives, round_trip, unzipped, write_archives
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -79,9 +80,59 @@ def test_shards(spark, tmp_path, n):
     assert max(sizes) - min(sizes) <= 1 and set(slots) <= set(range(16))
     ordered = sorted(got, key=lambda x: (x.shard, x.slot))
     assert [x.curve for x in ordered] == sorted(x.curve for x in ordered)
-    if n == 5:
-        manifest = write_shards(df.drop("shard"), str(tmp_path / "out"), dims=["source"], n_shards=2)
-        assert sum(x.rows for x in manifest.collect()) == 5
+    assert sorted(map(tuple, got)) == brute_shards(rows, [2, 3], 16)
+    assert sorted(map(tuple, hilbert_shards(df.repartition(7, "text"), dims=["source", "shard"], n_shards=16).collect())) == sorted(map(tuple, got))
+
+
+def brute_shards(rows, dims, n_shards, bits=4):
+    """Rows (id, text, ...) as id, size, crc, curve, shard, slot: bins from sorted values, places from the curve, ranks from one sort of all rows."""
+    side, order = 1 << bits, curve(bits, len(dims))
+    cell = [0] * len(rows)
+    for d in dims:
+        values = sorted((r[d] for r in rows), key=lambda v: (v is not None, v))
+        edges = {values[-(-len(rows) * k // side) - 1] for k in range(1, side)} if rows else set()
+        edges = [e for e in edges if e is not None and e != values[-1]]
+        for i, r in enumerate(rows):
+            cell[i] = cell[i] * side + sum(r[d] is not None and r[d] > e for e in edges)
+    total, counts = len(rows), Counter(order[c] for c in cell)
+    placed = []
+    for r, c in zip(rows, cell):
+        text = (r[1] or "").encode()
+        crc, size = zlib.crc32(text), len(text) + 1
+        h = xxhash64(r[0], crc, size)
+        subs = -(-counts[order[c]] * 2048 // total)
+        placed.append((order[c], h % subs, h, r[0], crc, size))
+    out, small, more = [], total // n_shards, total % n_shards
+    for rank, (place, _, _, d, crc, size) in enumerate(sorted(placed)):
+        head = more * (small + 1)
+        shard, slot = divmod(rank, small + 1) if rank < head else divmod(rank - head, max(small, 1))
+        out.append((d, size, crc, place, shard + (more if rank >= head else 0), slot))
+    return sorted(out)
+
+
+def xxhash64(*values):
+    """Spark's: of 64-bit numbers, each one's hash the seed of the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) * (seed >> 63)
+
+
+def test_op3_query(spark):
+    rows = [(x.doc_id, x.text, x.source, x.lang, x.n_chars) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = [(x.doc_id, x.size, x.text_crc32, x.curve, x.shard, x.slot) for x in queries.op3_hilbert_shards(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == brute_shards(rows, [2, 3, 4], 16)
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(None, "null id", "common_2023", 1), (1, "é", "common_2024", 2), (2, "twice", "common_2024", 3), (2, "twice", "common_2024", 3), (3, None, None, None)]
+    df = docs_of(spark, rows, "doc_id long, text string, size string, slot int")
+    manifest = write_shards(df, str(tmp_path / "out"), dims=["size", "slot"], n_shards=2).orderBy("shard").collect()
+    assert [(x.rows, x.shard) for x in manifest] == [(3, 0), (2, 1)] and sum(x.bytes for x in manifest) == sum(len((t or "").encode()) + 1 for _, t, _, _ in rows)
+    assert [(x.min_size, x.max_size) for x in manifest] == [("common_2023", "common_2024"), ("common_2024", "common_2024")]
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, map(tuple, back.select(df.columns).collect()))) == sorted(map(repr, rows))
+    assert write_shards(df.limit(0), str(tmp_path / "none"), dims=["size"], n_shards=2).count() == 0
 
 
 def brute_groups(rows, size, num, den):
@@ -215,6 +266,36 @@ def test_warc(spark, tmp_path):
     assert round_trip(pages.limit(0)).count() == 0
 
 
+def record(kind, name, *concurrent, block=b"", **headers):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *[f"WARC-Concurrent-To: {c}" for c in concurrent], *[f"{k}: {v}" for k, v in headers.items()], f"Content-Length: {len(block)}"]
+    return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_captures_by_chains_and_several_identifiers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    records = [
+        # A chain: the metadata names the request, the request the response.
+        record("response", "<r1>", block=http), record("request", "<q1>", "<r1>"), record("metadata", "<m1>", "<q1>", block=b"one"),
+        # The metadata names both; the response names its request.
+        record("response", "<r2>", "<q2>", block=http), record("request", "<q2>"), record("metadata", "<m2>", "<q2>", "<r2>", block=b"two"),
+        # One request for two responses.
+        record("response", "<r3>", block=http), record("response", "<r4>", block=http), record("request", "<q3>", "<r3>", "<r4>"),
+        # No response; a response alone; one that names itself; a plain one.
+        record("request", "<q5>", "<gone>"), record("metadata", "<m5>", "<q5>"), record("response", "<r6>", block=http),
+        record("response", "<r7>", "<r7>", block=http), record("metadata", "<m7>", "<r7>"), record("response", "<r8>", block=http), record("request", "<q8>", "<r8>"), record("metadata", "<m8>", "<r8>"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[::2]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[1::2])) + b"\0" * 8)
+    found = read_archives(spark, f"{tmp_path}/*.war*")
+    name = lambda x: x.record_id if x else None
+    got = sorted(((r.main.record_id, name(r.request), name(r.metadata)) for r in captures(found).collect()), key=repr)
+    assert got == [("<r1>", "<q1>", "<m1>"), ("<r2>", "<q2>", "<m2>"), ("<r3>", "<q3>", None), ("<r4>", "<q3>", None), ("<r6>", None, None), ("<r7>", None, "<m7>"), ("<r8>", "<q8>", "<m8>")]
+    assert {x.record_id: x.concurrent_to for x in found.collect()}["<m2>"] == ["<q2>", "<r2>"]
+    assert captures(found.filter("record_id = '<r1>'")).count() == 1 and captures(found.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        unzipped(gzip.compress(b"x" * 100)[:-9])
+
+
 def test_warc_of_a_gzip_member_per_record(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://a.example/{k}", f"<html>{k}</html>") for k in range(3)], "page_id long, url string, html string").coalesce(1)
     write_archives(pages, str(tmp_path / "one"))
