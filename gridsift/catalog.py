@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -35,7 +36,7 @@ class Sheet:
         return [c for c in self.df.columns if c != ROW]
 
 
-def _parse_files(kind: str | None):
+def _parse_files(kind: str | None, repair: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PARSED.split(", ")]
         types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.string()), pa.string()]
@@ -46,11 +47,11 @@ def _parse_files(kind: str | None):
                 for entry, body in items:
                     out: list[list] = [[] for _ in names]
                     try:
-                        tables = parse(body, entry or base, kind)
+                        tables = parse(body, entry or base, kind, repair)
                         error = None
                     except Exception as e:  # noqa: BLE001 - told to the caller as a row; one bad entry does not stop the others
                         tables, error = [], str(e) or type(e).__name__
-                    for k, t in enumerate(tables):
+                    for k, t in enumerate(x.widened() for x in tables):
                         width = len(t.headers)
                         for r, cells in enumerate([[], *t.rows], -1):  # row -1 stands for the sheet itself
                             for column, value in zip(out, (entry, k, t.name, t.headers if r < 0 else None, t.widths if r < 0 else None, r, (cells + [""] * width)[:width], None)):
@@ -79,7 +80,7 @@ class Catalog:
     def load(self, path: str, kind: str | None = None, repair: bool = False) -> list[Sheet]:
         """The tables of a file of any format. Delimited text and Parquet are read by Spark in parallel and stay lazy; documents and archives are parsed by executors.
 
-        repair: damaged sheets are left out, as they always are, instead of stopping the load.
+        repair: of damaged workbooks, whatever can be read: files without a directory, sheets that are cut short, cells whose text is lost.
         """
         base = path.rstrip("/").rpartition("/")[2]
         found = kind or detect(base)
@@ -94,7 +95,7 @@ class Catalog:
                 return self._put(base, path, [(stem, df, ())], True)
         if base.lower().endswith(".zip.001"):
             return self._load_split(path, base)
-        parsed = self.spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse_files(kind), _PARSED).persist()
+        parsed = self.spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse_files(kind, repair), _PARSED).persist()
         sheets = parsed.filter("row = -1").select("entry", "sheet_no", "sheet", "headers", "widths", "error").orderBy("entry", "sheet_no").collect()  # a row per table
         bad = [s for s in sheets if s.error]
         self.warnings += [f"{base}{'::' + s.entry if s.entry else ''}: {s.error}" for s in bad]
@@ -121,10 +122,36 @@ class Catalog:
             out += self.register(f"{base[:-4]}::{entry}", parse(body, entry))
         return out
 
+    # A folder that keeps the tables
+
+    def has_store(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+        return target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+    def save_store(self, path: str) -> None:
+        """Writes every table as Parquet below path, and then the list of them, so an unfinished save leaves the last list as it was."""
+        run, rows = uuid.uuid4().hex, []
+        for k, s in enumerate(self.sheets()):
+            s.df.write.parquet(f"{path}/tables/{run}-{k}")
+            rows.append((k, s.file, s.name, self.paths.get(s.file, ""), f"tables/{run}-{k}", list(s.widths), s.read_only))
+        schema = "place int, file string, sheet string, path string, data string, widths array<double>, read_only boolean"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+    def open_store(self, path: str) -> list[Sheet]:
+        """The tables of save_store(), under their names."""
+        schema = "place int, file string, sheet string, path string, data string, widths array<double>, read_only boolean"
+        by_file: dict[str, list] = {}
+        for r in self.spark.read.schema(schema).json(f"{path}/manifest").orderBy("place").collect():  # a row per table
+            by_file.setdefault(r.file, []).append(r)
+        out = []
+        for file, sheets in by_file.items():
+            out += self._put(file, sheets[0].path, [(r.sheet, self.spark.read.parquet(f"{path}/{r.data}"), tuple(r.widths or ())) for r in sheets], sheets[0].read_only)
+        return out
+
     def register(self, name: str, tables: list[Table]) -> list[Sheet]:
         """Tables from memory."""
         items = []
-        for t in tables:
+        for t in (x.widened() for x in tables):
             names = column_names(t.headers)
             schema = ", ".join([f"{ROW} long", *[f"{quoted(n)} string" for n in names]])
             rows = [(i, *(r + [""] * len(names))[: len(names)]) for i, r in enumerate(t.rows)]

@@ -12,6 +12,7 @@ import sys
 
 from . import sinks
 from .catalog import Catalog
+from .mcp import serve
 from .model import Condition, SearchQuery
 from .operators.search import search, value_counts
 from .session import session
@@ -62,6 +63,8 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("-E", "--run", help="shell command for each row; needs --allow-shell")
     p.add_argument("--allow-shell", action="store_true")
     p.add_argument("-i", "--interactive", action="store_true")
+    p.add_argument("--mcp", action="store_true", help="serve the tools over JSON-RPC lines on standard input and output")
+    p.add_argument("--store", help="a folder that keeps the tables: those in it are opened first, and all are written back at the end")
     return p
 
 
@@ -76,11 +79,16 @@ def main(args: list[str] | None = None) -> int:
     a = arguments().parse_args(args)
     catalog = Catalog(session(master=os.environ.get("GRIDSIFT_MASTER")))
     try:
+        if a.store and catalog.has_store(a.store):
+            catalog.open_store(a.store)
         for path in a.files:
             catalog.load(path, a.kind, a.repair)
         for warning in catalog.warnings:
             print(warning, file=sys.stderr)
-        if a.calls:
+        if a.mcp:
+            for line in serve(Tools(catalog), sys.stdin):
+                print(line, flush=True)
+        elif a.calls:
             text = sys.stdin.read() if a.calls == "-" else a.calls
             print(json.dumps(Tools(catalog).run(text), ensure_ascii=False, default=str))
         elif a.tables:
@@ -101,6 +109,8 @@ def main(args: list[str] | None = None) -> int:
                 sinks.write_csv(df, a.export)
             else:
                 show(df, a.format)
+        if a.store:
+            catalog.save_store(a.store)
         return 0
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..sources.formats import parse
+from .names import column_names
 
 _FIELDS = [("sheet_no", T.IntegerType(), pa.int32()), ("sheet", T.StringType(), pa.string()), ("row", T.LongType(), pa.int64()), ("col", T.IntegerType(), pa.int32()), ("name", T.StringType(), pa.string()), ("value", T.StringType(), pa.string())]
 
@@ -24,11 +25,12 @@ def extract_cells(df: DataFrame, *, id_col: str, content_col: str, kind: str) ->
                 data = content.as_py()
                 if data is None:
                     continue
-                for k, t in enumerate(parse(data.encode() if isinstance(data, str) else data, f"table.{kind}", kind)):
+                for k, t in enumerate(x.widened() for x in parse(data.encode() if isinstance(data, str) else data, f"table.{kind}", kind)):
+                    names = column_names(t.headers)
                     for r, row in enumerate(t.rows):
-                        for c, name in enumerate(t.headers):
+                        for c, name in enumerate(h or n for h, n in zip(t.headers, names)):
                             took.append(i)
-                            for column, value in zip(out, (k, t.name, r, c, name, row[c] if c < len(row) else "")):
+                            for column, value in zip(out, (k, t.name, r, c, name, row[c])):
                                 column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int32())), *[pa.array(v, t) for v, (_, _, t) in zip(out, _FIELDS)]], names=schema.names)
 

@@ -48,3 +48,8 @@ class Table:
     headers: list[str]
     rows: list[list[str]]
     widths: list[float] = field(default_factory=list)
+
+    def widened(self) -> Table:
+        """The same table with as many headers as its widest row has cells, and every row filled up to that: no cell is cut off."""
+        width = max([len(self.headers), *map(len, self.rows)])
+        return Table(self.name, self.headers + [""] * (width - len(self.headers)), [r + [""] * (width - len(r)) for r in self.rows], self.widths)

@@ -9,22 +9,47 @@ from pyspark.sql import window as W
 from ..model import ROW
 
 
+#: Keys of more rows than this are cut by time in as-of joins, and into about so many parts.
+HOT_ROWS, PARTS = 1_000_000, 256
+
+
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_on: str, right_on: str, take: list[str]) -> DataFrame:
     """Each row of left with columns `take` of the latest row of right (same `by`, right_on <= left_on); null where there is none.
 
-    Both sides go into one sorted run per key and the last right row is carried forward: one shuffle, no pairs. Of right rows
-    with equal right_on, the one with the largest `take` counts. Rows with a null key or time match nothing.
+    Both sides go into one sorted run per key and the last right row is carried forward: one shuffle, no pairs. The run of a key of more than HOT_ROWS
+    rows is cut into parts by time, and each part begins with the last right row of those before it, so no task holds a hot key. Of right rows
+    with equal right_on, the one with the largest `take` counts. Rows with a null key or time match nothing, and stay out of the runs.
     """
     value = F.struct(F.col(right_on).alias("_at"), *[F.col(c).alias(f"_take_{c}") for c in take])
-    names = left.columns
-    a = left.select(F.struct(*names).alias("_left"), *[F.col(c).alias(f"_by_{c}") for c in by], F.col(left_on).alias("_at"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_right"), F.lit(1).alias("_side"))
-    b = right.filter(F.col(right_on).isNotNull()).select(F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), *[F.col(c).alias(f"_by_{c}") for c in by], F.col(right_on).alias("_at"), value.alias("_right"), F.lit(0).alias("_side"))
-    order = W.Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_at", "_side", "_right").rowsBetween(W.Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(order)).filter("_side = 1")
-    known = F.col("_at").isNotNull()
+    names, keys = left.columns, [f"_by_{c}" for c in by]
+    known = F.col(left_on).isNotNull()
     for c in by:
-        known = known & F.col(f"_by_{c}").isNotNull()
-    return seen.select(*[F.col(f"_left.`{c}`").alias(c) for c in names], *[F.when(known, F.col(f"_right.`_take_{c}`")).alias(c) for c in take])
+        known = known & F.col(c).isNotNull()
+    a = left.filter(known).select(F.struct(*names).alias("_left"), *[F.col(c).alias(f"_by_{c}") for c in by], F.col(left_on).alias("_at"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_right"), F.lit(1).alias("_side"))
+    b = right.filter(F.col(right_on).isNotNull()).select(F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), *[F.col(c).alias(f"_by_{c}") for c in by], F.col(right_on).alias("_at"), value.alias("_right"), F.lit(0).alias("_side"))
+    for c in keys:
+        b = b.filter(F.col(c).isNotNull())
+    rows = a.unionByName(b)
+    number = F.col("_at").cast("timestamp").cast("double") if rows.schema["_at"].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else F.col("_at").cast("double")
+    # One row for so many rows of the tables: small enough to be broadcast whatever their size.
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(number).alias("_from"), F.max(number).alias("_to")).filter((F.col("_n") > HOT_ROWS) & (F.col("_to") > F.col("_from"))).drop("_n")
+    carry = F.lit(None).cast(rows.schema["_right"].dataType)
+    if hot.isEmpty():
+        rows = rows.withColumns({"_part": F.lit(0), "_carry": carry})
+    else:
+        rows = rows.join(F.broadcast(hot), keys, "left")
+        rows = rows.withColumn("_part", F.coalesce(F.floor((number - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS), F.lit(0)).cast("int")).drop("_from", "_to")
+        before = W.Window.partitionBy(*keys).orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+        hot_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+        lasts = hot_rows.groupBy(*keys, "_part").agg(F.max(F.col("_right")).alias("_last"))
+        starts = lasts.select(*keys, "_part", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+        rows = rows.join(F.broadcast(starts), [*keys, "_part"], "left")
+    order = W.Window.partitionBy(*keys, "_part").orderBy("_at", "_side", "_right").rowsBetween(W.Window.unboundedPreceding, 0)
+    seen = rows.withColumn("_right", F.coalesce(F.last("_right", ignorenulls=True).over(order), "_carry")).filter("_side = 1")
+    found = seen.select(*[F.col(f"_left.`{c}`").alias(c) for c in names], *[F.col(f"_right.`_take_{c}`").alias(c) for c in take])
+    kinds = dict(zip(found.columns[len(names) :], found.schema.fields[len(names) :]))
+    none = left.filter(~known).select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in take])
+    return found.unionByName(none)
 
 
 def positional_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -33,8 +58,16 @@ def positional_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def range_join(points: DataFrame, ranges: DataFrame, *, point: str, start: str, end: str, width: float) -> DataFrame:
-    """Pairs with start <= point < end. Both sides are cut into bins of the given width, so it is an equi-join with a filter, not all pairs."""
-    bin_of = lambda c: F.floor(F.col(c) / F.lit(width))
-    cut = ranges.filter(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    """Pairs with start <= point < end. Ranges are cut into bins of the given width, or of 2, 4, 8 ... times that where they are longer: three bins at most
+    each, so a long range makes no more rows than a short one. It is an equi-join with a filter, not all pairs; null bounds match nothing.
+    """
+    bin_of = lambda c, level: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), level)))
+    level = F.greatest(F.lit(0.0), F.ceil(F.log2((F.col(end) - F.col(start)) / F.lit(float(width)))).cast("double"))
+    cut = ranges.filter(F.col(start) < F.col(end)).withColumn("_level", level)
+    cut = cut.withColumn("_bin", F.explode(F.sequence(bin_of(start, F.col("_level")), bin_of(end, F.col("_level")))))
+    levels = sorted(r._level for r in cut.select("_level").distinct().collect())  # as many as numbers have doublings, at most
+    if not levels:
+        levels = [0.0]
     near: Column = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
-    return points.withColumn("_bin", bin_of(point)).join(cut, "_bin").filter(near).drop("_bin")
+    probes = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("_bin", bin_of(point, F.col("_level")))
+    return probes.join(cut, ["_level", "_bin"]).filter(near).drop("_level", "_bin")

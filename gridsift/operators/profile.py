@@ -38,23 +38,27 @@ def sample_random(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """column_name, value, n: every distinct text of every column, counted in parts before anything is shuffled."""
+    names = [c for c in df.columns if c != ROW]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), text_of(F.col(f"`{c}`")).alias("value")) for c in names])
+    return df.select(F.explode(cells).alias("x")).select("x.*").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+
 def column_statistics(df: DataFrame) -> DataFrame:
-    """column_name, total, non_null, nulls, distinct_count: an empty cell is a null. One pass over the table."""
+    """column_name, total, non_null, nulls, distinct_count: an empty cell is a null. One pass over the table, whatever the number of columns."""
     names = [c for c in df.columns if c != ROW]
-    cells = [F.nullif(text_of(F.col(f"`{c}`")), F.lit("")) for c in names]
-    aggs = [F.count("*").alias("total")]
-    for i, c in enumerate(cells):
-        aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("total"), F.col(f"n{i}").alias("non_null"), (F.col("total") - F.col(f"n{i}")).alias("nulls"), F.col(f"d{i}").alias("distinct_count")) for i, c in enumerate(names)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    all_columns = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column_name"))
+    full = F.col("value") != ""
+    sums = _counted(df).groupBy("column_name").agg(F.sum("n").alias("total"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("non_null"), F.count_if(full).alias("distinct_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = all_columns.join(sums, "column_name", "left").select("column_name", *map(zero, ("total", "non_null", "distinct_count")))
+    return out.select("column_name", "total", "non_null", (F.col("total") - F.col("non_null")).alias("nulls"), "distinct_count")
 
 
 def top_values(df: DataFrame, k: int) -> DataFrame:
     """column_name, value, n, rank: each column's most frequent non-empty values, ties by value. Counts are taken before anything is ranked."""
-    names = [c for c in df.columns if c != ROW]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), text_of(F.col(f"`{c}`")).alias("value")) for c in names])).alias("x")).select("x.*")
-    counts = long.filter("value <> ''").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    counts = _counted(df).filter("value <> ''")
     order = W.Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -86,14 +86,16 @@ def predicate(df: DataFrame, query: SearchQuery) -> tuple[Column, list[tuple[str
 
 
 def search_table(df: DataFrame, query: SearchQuery) -> DataFrame:
-    """The rows of df that are found, with matched_columns (array of names; empty if inverted)."""
+    """The rows of df that are found, with matched_columns (array of names; empty if inverted). A limit takes the first in order of row numbers, if there are any."""
     found, cells = predicate(df, query)
     if query.invert or not cells:
         matched = F.array().cast("array<string>")
     else:
         matched = F.filter(F.array(*[F.when(m, F.lit(c)) for c, m in cells]), lambda x: x.isNotNull())
     out = df.filter(found).withColumn("matched_columns", matched)
-    return out if query.limit is None else out.limit(query.limit)
+    if query.limit is None:
+        return out
+    return (out.orderBy(ROW) if ROW in df.columns else out).limit(query.limit)
 
 
 def with_context(df: DataFrame, hits: DataFrame, lines: int, partition: list[str] | None = None) -> DataFrame:
@@ -112,9 +114,9 @@ def with_context(df: DataFrame, hits: DataFrame, lines: int, partition: list[str
 
 
 def search(tables: list[tuple[str, str, DataFrame]], query: SearchQuery) -> DataFrame:
-    """file, sheet, row_index, col_names, cells, matched_columns (and before, after: arrays of cells) over (file, sheet, table)s: one lazy union."""
+    """file, sheet, row_index, col_names, cells, matched_columns (and before, after: arrays of cells) over (file, sheet, table)s: one lazy union. A limit takes the first tables' first rows."""
     parts = []
-    for file, sheet, df in tables:
+    for place, (file, sheet, df) in enumerate(tables):
         if query.sheet is not None and sheet != query.sheet:
             continue
         names = data_columns(df)
@@ -124,16 +126,17 @@ def search(tables: list[tuple[str, str, DataFrame]], query: SearchQuery) -> Data
         if query.context_lines:
             hits = with_context(df, hits, query.context_lines)
             more = [F.transform(side, lambda r: cells(r)).alias(side) for side in ("before", "after")]
-        parts.append(hits.select(F.lit(file).alias("file"), F.lit(sheet).alias("sheet"), F.col(ROW).alias("row_index"), F.array(*[F.lit(c) for c in names]).cast("array<string>").alias("col_names"), cells().alias("cells"), "matched_columns", *more))
+        parts.append(hits.select(F.lit(file).alias("file"), F.lit(sheet).alias("sheet"), F.col(ROW).alias("row_index"), F.array(*[F.lit(c) for c in names]).cast("array<string>").alias("col_names"), cells().alias("cells"), "matched_columns", *more, F.lit(place).alias("_place")))
     if not parts:
         raise ValueError("no table to search")
     out = reduce(DataFrame.unionByName, parts)
-    return out if query.limit is None else out.limit(query.limit)
+    return (out if query.limit is None else out.orderBy("_place", "row_index").limit(query.limit)).drop("_place")
 
 
 def limited(found: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """The first rows, and whether there are more."""
-    return found.limit(limit), found.limit(limit + 1).count() > limit
+    """The first rows, in order of file, sheet and row number as far as found has them, and whether there are more."""
+    order = [c for c in ("file", "sheet", "row_index", ROW) if c in found.columns]
+    return (found.orderBy(*order) if order else found).limit(limit), found.limit(limit + 1).count() > limit
 
 
 def search_stats(tables: list[tuple[str, str, DataFrame]], query: SearchQuery) -> DataFrame:

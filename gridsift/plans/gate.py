@@ -9,24 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profile import summarize
-from .dialect import rewritten
+from .dialect import rewritten, with_columns
+from .tokens import joined, solid, tokens
 
 # Commands that only look.
+FIRST = {"SELECT", "WITH", "FROM", "VALUES", "TABLE", "DESCRIBE", "DESC", "SHOW", "EXPLAIN", "("}
+# Functions that call any code, and formats whose files SQL could name by path.
+CALLING = {"java_method", "reflect", "try_reflect"}
+FORMATS = {"parquet", "csv", "json", "orc", "text", "avro", "xml", "binaryfile", "delta", "jdbc", "image", "libsvm"}
 LOOKING = {"DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeTableCommand", "ShowTables", "ShowTablesCommand", "ShowColumns", "ShowColumnsCommand", "ShowNamespaces", "ShowFunctions", "ShowViews", "ExplainCommand", "DescribeFunction"}
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
 
 
 def check_read_only(spark: SparkSession, sql: str) -> None:
-    """Raises ValueError for anything but one query, DESCRIBE, SHOW or EXPLAIN."""
-    if not sql.strip():
+    """Raises ValueError for anything but one query, DESCRIBE, SHOW or EXPLAIN, and for queries that call code or read files by path."""
+    parts = tokens(sql)
+    at = [parts[i] for i in solid(parts)]
+    if not at:
         raise ValueError("the SQL is empty")
+    if (at[0].word() or at[0].text) not in FIRST:
+        raise ValueError(f"only read-only statements are allowed, not {at[0].text}")
+    bare = lambda t: t.text[1:-1].lower() if t.kind == "quoted" else t.text.lower()
+    for a, b in zip(at, at[1:]):
+        if b.text == "(" and a.kind in ("word", "quoted") and bare(a) in CALLING:
+            raise ValueError(f"{a.text} is not allowed")
+    for a, dot, b in zip(at, at[1:], at[2:]):
+        if dot.text == "." and b.kind == "quoted" and a.kind in ("word", "quoted") and bare(a) in FORMATS:
+            raise ValueError(f"files by path are not allowed: {a.text}.{b.text}")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise ValueError(f"not a statement: {str(e).splitlines()[0]}") from e
     loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
     changing = [loader.loadClass(f"{_LOGICAL}.{name}") for name in ("Command", "ParsedStatement")]
+    is_plan = loader.loadClass(f"{_LOGICAL}.LogicalPlan").isInstance
     nodes = [plan]
     while nodes:
         node = nodes.pop()
@@ -37,39 +54,69 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
             nodes.append(node.logicalPlan())
         for group in (node.children(), node.innerChildren()):
             found = [group.apply(i) for i in range(group.size())]
-            nodes += [x for x in found if hasattr(x, "innerChildren") and loader.loadClass(f"{_LOGICAL}.LogicalPlan").isInstance(x)]
+            nodes += [x for x in found if is_plan(x)]
 
 
-_SUMMARIZE = re.compile(r"(?is)^\s*SUMMARIZE\s+(.*)$")
-_PIVOT = re.compile(r"(?is)^\s*PIVOT\s+(?P<source>\S+|\(.*?\))\s+ON\s+(?P<on>[\w`\"]+)\s+USING\s+(?P<using>.*?)(?:\s+GROUP\s+BY\s+(?P<by>.*?))?\s*$")
-_UNPIVOT = re.compile(r"(?is)^\s*UNPIVOT\s+(?P<source>\S+|\(.*?\))\s+ON\s+(?P<on>.*?)\s+INTO\s+NAME\s+(?P<name>\w+)\s+VALUE\s+(?P<value>\w+)\s*$")
+def _clauses(text: str, words: tuple[str, ...]) -> dict[str, str]:
+    """The text after each of the words, where they stand outside of brackets and in this order; "" is what comes before the first."""
+    out, now, begin, parts = {}, "", 0, tokens(text)
+    left = list(words)
+    for i, t in enumerate(parts):
+        if t.depth == 0 and t.word() in left:
+            out[now], now, begin = joined(parts[begin:i]).strip(), t.word(), i + 1
+            del left[: left.index(now) + 1]
+    out[now] = joined(parts[begin:]).strip()
+    return out
+
+
+def _inside(text: str) -> str:
+    """A text without the one pair of brackets around all of it."""
+    parts = [t for t in tokens(text.strip())]
+    return joined(parts[1:-1]) if len(parts) > 1 and parts[0].text == "(" and parts[-1].text == ")" and all(t.depth for t in parts[1:-1]) else text
+
+
+def _items(text: str) -> list[str]:
+    """The parts of a text between commas outside of brackets."""
+    out, begin, parts = [], 0, tokens(text)
+    for i, t in enumerate(parts):
+        if t.text == "," and t.depth == 0:
+            out, begin = [*out, joined(parts[begin:i])], i + 1
+    return [x.strip() for x in [*out, joined(parts[begin:])]]
 
 
 def run_sql(spark: SparkSession, sql: str, limit: int | None = None, relations: dict[str, str] | None = None) -> DataFrame:
     """The result of one read-only statement, with its own types; limit as DataFrame.limit, never by changing the text.
 
-    Besides Spark's SQL: SUMMARIZE, the PIVOT and UNPIVOT statements, QUALIFY, FROM first, and what dialect.rewritten() knows.
+    Besides Spark's SQL: SUMMARIZE, the PIVOT and UNPIVOT statements, QUALIFY, FROM first, USING SAMPLE, COLUMNS('pattern'), and what dialect.rewritten() knows.
     """
     text = sql.strip().rstrip(";").strip()
+    first, _, after = text.partition(" ") if not re.match(r"\w+\s", text) else (re.match(r"\w+", text)[0], " ", re.sub(r"^\w+\s+", "", text))
 
     def table(source: str) -> DataFrame:
-        query = source.strip("() \n") if source.startswith("(") else f"SELECT * FROM {source}"
+        inner = _inside(source)
+        query = inner if inner is not source or re.match(r"(?i)\s*(SELECT|WITH|FROM|VALUES)\b", inner) else f"SELECT * FROM {source}"
         return run_sql(spark, query, relations=relations)
 
-    bare = lambda names: [n.strip().strip('`"') for n in names.split(",")]
-    if m := _SUMMARIZE.match(text):
-        out = summarize(table(m[1] if not re.match(r"(?i)\s*(SELECT|WITH|FROM)\b", m[1]) else f"({m[1]})"))
-    elif m := _PIVOT.match(text):
-        df = table(m["source"])
-        aggs = [F.expr(rewritten(a)) for a in re.split(r",(?![^()]*\))", m["using"])]
-        out = df.groupBy(*bare(m["by"]) if m["by"] else []).pivot(bare(m["on"])[0]).agg(*aggs)
-    elif m := _UNPIVOT.match(text):
-        df = table(m["source"])
-        on = bare(m["on"])
-        out = df.unpivot([c for c in df.columns if c not in on], on, m["name"], m["value"])
+    bare = lambda names: [n.strip().strip('`"') for n in _items(names)]
+    if first.upper() == "SUMMARIZE":
+        out = summarize(table(after))
+    elif first.upper() == "PIVOT":
+        parts = _clauses(after, ("ON", "USING", "GROUP"))
+        if not parts.get("ON") or not parts.get("USING"):
+            raise ValueError("PIVOT needs ON and USING")
+        by = re.sub(r"(?i)^BY\s+", "", parts.get("GROUP", ""))
+        aggs = [F.expr(rewritten(a)) for a in _items(parts["USING"])]
+        out = table(parts[""]).groupBy(*bare(by) if by else []).pivot(bare(parts["ON"])[0]).agg(*aggs)
+    elif first.upper() == "UNPIVOT":
+        parts = _clauses(after, ("ON", "INTO", "NAME", "VALUE"))
+        if not all(parts.get(w) for w in ("ON", "NAME", "VALUE")):
+            raise ValueError("UNPIVOT needs ON, and INTO NAME ... VALUE ...")
+        df, on = table(parts[""]), bare(parts["ON"])
+        out = df.unpivot([c for c in df.columns if c not in on], on, parts["NAME"], parts["VALUE"])
     else:
         text = rewritten(text, relations)
         check_read_only(spark, text)
+        text = with_columns(text, lambda source: spark.sql(f"SELECT * FROM {source}").columns)
         try:
             out = spark.sql(text)
         except AnalysisException as e:

@@ -11,7 +11,7 @@ from .tables import numbered, table
 
 def _on_nation(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(numbered(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey"))
+        return f(numbered(table(spark, sf_dir, "nation"), "n_nationkey"))
 
     return run
 
@@ -19,17 +19,17 @@ def _on_nation(f):
 QUERIES = {
     "edit_update_cell": _on_nation(lambda d: edits.update_cell(d, 3, "n_name", "NEW").drop(ROW)),
     "edit_update_cells": _on_nation(lambda d: edits.update_cells(d, [(1, "n_name", "A"), (1, "n_name", "B"), (99, "n_name", "C"), (2, "none", "D"), (4, "n_name", "E")])[0].drop(ROW)),
-    "edit_insert_rows": _on_nation(lambda d: edits.insert_rows(d, 5, [["100", "X"], ["101"]])),
+    "edit_insert_rows": _on_nation(lambda d: edits.insert_rows(d, 5, [["100", "X", "7"], ["101", "", "0"]])),
     "edit_delete_rows": _on_nation(lambda d: edits.delete_rows(d, 2, 4)[0]),
     "edit_add_column": _on_nation(lambda d: edits.add_column(d, "note", "none").drop(ROW)),
     "edit_rename_column": _on_nation(lambda d: edits.rename_column(d, "n_name", "title").drop(ROW)),
 }
 
 ORACLE_SQL = {
-    "edit_update_cell": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'NEW' ELSE n_name END AS n_name FROM nation",
-    "edit_update_cells": "SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'B' WHEN 4 THEN 'E' ELSE n_name END AS n_name FROM nation",
-    "edit_insert_rows": "SELECT n_nationkey, n_name, CAST(CASE WHEN n_nationkey >= 5 THEN n_nationkey + 2 ELSE n_nationkey END AS BIGINT) AS _row_idx FROM nation UNION ALL VALUES (100, 'X', 5), (101, '', 6)",
-    "edit_delete_rows": "SELECT n_nationkey, n_name, CAST(CASE WHEN n_nationkey >= 6 THEN n_nationkey - 4 ELSE n_nationkey END AS BIGINT) AS _row_idx FROM nation WHERE n_nationkey < 2 OR n_nationkey >= 6",
-    "edit_add_column": "SELECT n_nationkey, n_name, 'none' AS note FROM nation",
-    "edit_rename_column": "SELECT n_nationkey, n_name AS title FROM nation",
+    "edit_update_cell": "SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey = 3 THEN 'NEW' ELSE n_name END AS n_name FROM nation",
+    "edit_update_cells": "SELECT n_nationkey, n_regionkey, CASE n_nationkey WHEN 1 THEN 'B' WHEN 4 THEN 'E' ELSE n_name END AS n_name FROM nation",
+    "edit_insert_rows": "SELECT n_nationkey, n_name, n_regionkey, CAST(CASE WHEN n_nationkey >= 5 THEN n_nationkey + 2 ELSE n_nationkey END AS BIGINT) AS _row_idx FROM nation UNION ALL VALUES (100, 'X', 7, 5), (101, '', 0, 6)",
+    "edit_delete_rows": "SELECT n_nationkey, n_name, n_regionkey, CAST(CASE WHEN n_nationkey >= 6 THEN n_nationkey - 4 ELSE n_nationkey END AS BIGINT) AS _row_idx FROM nation WHERE n_nationkey < 2 OR n_nationkey >= 6",
+    "edit_add_column": "SELECT *, 'none' AS note FROM nation",
+    "edit_rename_column": "SELECT n_nationkey, n_regionkey, n_name AS title FROM nation",
 }

@@ -20,32 +20,33 @@ from ..sinks import results_table, write_csv, write_json
 from ..streaming.windows import search_stream, sessions, windowed_counts
 from .tables import numbered, table
 
-MARKDOWN = """# People
-| Name | Age | City |
+MARKDOWN = """# Boats
+| Boat | Berths | Harbour |
 |:---|---:|---|
-| Alice | 30 | NYC |
-| Bob | 25 |
+| Petrel | 6 | Oban |
+| Wren | 4 |
+| Gannet | 8 | Wick | spare key |
 
 ```
 | not | a table |
 ```
-## Other
-| k | v |
+## Tides
+| hour | metres |
 |---|---|
-| a\\|b | 1 |
+| a\\|b | 1.9 |
 """
-REPORT = """Load Profile
+REPORT = """Harbour dues
 ~~~~~~~~~~~~
-Metric         Value
+Berth          Crowns
 ------         -----
-DB Time(s)     4.1
-CPU Time(s)    2.3
-
-Host CPU
-~~~~~~~~
-%User  %System  %Idle
- 45.2    12.3    32.1
- 67.8     8.9    23.3
+North quay     118.40
+Long pier      96.05
+
+Wind by hour
+~~~~~~~~~~~~
+hour   knots   gusts
+ 06      11      17
+ 07      13      21
 """
 HTML = "<h3>Top</h3><table><tr><th>A<th>B<tr><td>1<td>x &amp; y<tr><th>r</th><td>2</td></table><table summary='Sum'><tr><td>h<td>g<tr><td>3<td>4</table>"
 XML = "<rows><p id='1'><Name>Alice</Name><Age>30</Age></p><p><Name>Bob</Name></p><p/></rows>"
@@ -64,15 +65,18 @@ def _zip(**parts: str) -> bytes:
 
 def docx_fixture() -> bytes:
     cell = lambda t, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
-    rows = [cell("Region") + cell("Value"), cell("North", '<w:vMerge w:val="restart"/>') + cell("100"), cell("", "<w:vMerge/>") + cell("200"), cell("wide", '<w:gridSpan w:val="2"/>')]
-    head = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Sales</w:t></w:r></w:p>'
+    rows = [cell("Quay") + cell("Depth"), cell("East", '<w:vMerge w:val="restart"/>') + cell("3.2"), cell("", "<w:vMerge/>") + cell("4.7"), cell("closed", '<w:gridSpan w:val="2"/>')]
+    head = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Soundings</w:t></w:r></w:p>'
     return _zip(word__document_dot_xml=f'<w:document xmlns:w="{W}"><w:body>{head}<w:tbl>{"".join(f"<w:tr>{r}</w:tr>" for r in rows)}</w:tbl></w:body></w:document>')
 
 
 def pptx_fixture() -> bytes:
+    """Two slides: covered places marked by merge cells, and left out."""
     cell = lambda t, more="": f"<a:tc {more}><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
-    rows = [cell("Merged", 'gridSpan="2"') + cell("", 'hMerge="1"') + cell("C"), cell("North", 'rowSpan="2"') + cell("1") + cell("2"), cell("", 'vMerge="1"') + cell("3") + cell("4")]
-    return _zip(ppt__slides__slide1_dot_xml=f'<p:sld xmlns:p="p" xmlns:a="{A}"><a:tbl>{"".join(f"<a:tr>{r}</a:tr>" for r in rows)}</a:tbl></p:sld>')
+    marked = [cell("Crew", 'gridSpan="2"') + cell("", 'hMerge="1"') + cell("Days"), cell("Ada", 'rowSpan="2"') + cell("mate") + cell("12"), cell("", 'vMerge="1"') + cell("cook") + cell("9")]
+    bare = [cell("Crew", 'gridSpan="2"') + cell("Days"), cell("Bo", 'rowSpan="2"') + cell("mate") + cell("5"), cell("cook") + cell("6")]
+    slide = lambda rows: f'<p:sld xmlns:p="p" xmlns:a="{A}"><a:tbl>{"".join(f"<a:tr>{r}</a:tr>" for r in rows)}</a:tbl></p:sld>'
+    return _zip(ppt__slides__slide1_dot_xml=slide(marked), ppt__slides__slide2_dot_xml=slide(bare))
 
 
 def xlsx_fixture() -> bytes:
@@ -118,20 +122,24 @@ def _grid(*tables: tuple[str, list[str], list[list[str]]]) -> str:
 
 
 FIXTURES = {
-    "extract_markdown": ("markdown", MARKDOWN, _grid(("People", ["Name", "Age", "City"], [["Alice", "30", "NYC"], ["Bob", "25", ""]]), ("Other", ["k", "v"], [["a|b", "1"]]))),
-    "extract_text": ("text", REPORT, _grid(("Load Profile", ["Metric", "Value"], [["DB Time(s)", "4.1"], ["CPU Time(s)", "2.3"]]), ("Host CPU", ["%User", "%System", "%Idle"], [["45.2", "12.3", "32.1"], ["67.8", "8.9", "23.3"]]))),
+    "extract_markdown": ("markdown", MARKDOWN, _grid(("Boats", ["Boat", "Berths", "Harbour", "column"], [["Petrel", "6", "Oban", ""], ["Wren", "4", "", ""], ["Gannet", "8", "Wick", "spare key"]]), ("Tides", ["hour", "metres"], [["a|b", "1.9"]]))),
+    "extract_text": ("text", REPORT, _grid(("Harbour dues", ["Berth", "Crowns"], [["North quay", "118.40"], ["Long pier", "96.05"]]), ("Wind by hour", ["hour", "knots", "gusts"], [["06", "11", "17"], ["07", "13", "21"]]))),
     "extract_html": ("html", HTML, _grid(("Top", ["A", "B"], [["1", "x & y"], ["r", "2"]]), ("Sum", ["h", "g"], [["3", "4"]]))),
     "extract_xml": ("xml", XML, _grid(("table", ["Name", "Age"], [["Alice", "30"], ["Bob", ""]]))),
     "extract_tsv": ("tsv", TSV, _grid(("table", ["Col1", "Col2"], [["1", "a\tb"], ["2", ""]]))),
-    "extract_docx": ("docx", docx_fixture(), _grid(("Sales", ["Region", "Value"], [["North", "100"], ["North", "200"], ["wide", "wide"]]))),
-    "extract_pptx": ("pptx", pptx_fixture(), _grid(("Slide_1_Table_1", ["Merged", "Merged", "C"], [["North", "1", "2"], ["North", "3", "4"]]))),
+    "extract_docx": ("docx", docx_fixture(), _grid(("Soundings", ["Quay", "Depth"], [["East", "3.2"], ["East", "4.7"], ["closed", "closed"]]))),
+    "extract_pptx": ("pptx", pptx_fixture(), _grid(("Slide_1_Table_1", ["Crew", "Crew", "Days"], [["Ada", "mate", "12"], ["Ada", "cook", "9"]]), ("Slide_2_Table_1", ["Crew", "Crew", "Days"], [["Bo", "mate", "5"], ["Bo", "cook", "6"]]))),
     "extract_xlsx": ("excel", xlsx_fixture(), _grid(("Data", ["Region", "Order Date", "Amount"], [["华北", "2023-03-15", "1.5"], ["华北", "2023-03-16", "30"], ["华北", "1900-02-28", "7"]]))),
     "extract_dbf": ("dbf", dbf_fixture(), _grid(("table", ["NAME", "AGE", "OK", "DAY"], [["Alice", "30", "TRUE", "2024-01-31"], ["Bob", "25.5", "FALSE", ""]]))),
 }
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_cells(table(spark, sf_dir, "pages"), id_col="page_id", content_col="html", kind="html").groupBy("page_id").agg(F.count("*").alias("n"))
+    """Every page with a table of its own at its end: what is found are those cells, whatever else the page holds."""
+    own = F.concat(F.lit("</script></style><table><tr><th>page<th>length<tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), F.char_length("html").cast("string"), F.lit("</table>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("html"), own).alias("html"))
+    cells = extract_cells(pages, id_col="page_id", content_col="html", kind="html")
+    return cells.select("page_id", "col", "name", "value")
 
 
 def _serials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +149,7 @@ def _serials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by Spark, found as one file, and loaded by the catalog with its row numbers."""
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type").orderBy("p_partkey").coalesce(1), path)
+    write_csv(table(spark, sf_dir, "part").drop("p_retailprice").orderBy("p_partkey").coalesce(1), path)
     file = spark.read.format("binaryFile").load(f"{path}/*.csv").select("path").first().path
     (sheet,) = Catalog(spark).load(file)
     return sheet.df
@@ -225,9 +233,9 @@ QUERIES = {name: _cells(kind, content) for name, (kind, content, _) in FIXTURES.
 _TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 ORACLE_SQL = {name: sql for name, (_, _, sql) in FIXTURES.items()} | {
-    "html_table_scan_pages": "SELECT page_id, count(*) AS n FROM pages WHERE html LIKE '%<table%' GROUP BY page_id",
+    "html_table_scan_pages": "SELECT page_id, CAST(0 AS INTEGER) AS col, 'page' AS name, CAST(page_id AS VARCHAR) AS value FROM pages UNION ALL SELECT page_id, 1, 'length', CAST(length(html) AS VARCHAR) FROM pages",
     "excel_serial_date": "SELECT i AS id, CAST(DATE '1899-12-30' + CAST(i + CASE WHEN i < 60 THEN 1 ELSE 0 END AS INTEGER) AS DATE) AS day FROM range(1, 50000, 7) t(i)",
-    "read_csv_row_numbers": f"SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS {ROW}, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_type FROM part",
+    "read_csv_row_numbers": f"SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS {ROW}, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part",
     "write_json_text": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation",
     "read_parquet_row_numbers": f"SELECT CAST(r_regionkey AS BIGINT) AS {ROW}, r_regionkey, r_name FROM region",
     "export_results": """

@@ -19,10 +19,10 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "join_full": "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey",
     "join_cross": "SELECT n_name, r_name FROM nation CROSS JOIN region",
     "join_semi": "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey",
-    "join_anti": "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey",
+    "join_anti": "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'",
     "join_using": "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) JOIN (SELECT r_regionkey AS k, r_name FROM region) USING (k)",
     "join_natural": "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region)",
-    "join_theta": "SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_theta": "SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",
     "join_hint_merge": ("SELECT /*+ MERGE(customer) */ o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
     "join_hint_hash": ("SELECT /*+ SHUFFLE_HASH(customer) */ o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
     "join_group": f"SELECT c_mktsegment, count(*) AS n, {MONEY.format('o_totalprice')} AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
@@ -45,7 +45,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "agg_max_by": "SELECT n_regionkey, arg_max(n_name, n_nationkey) AS last_name, arg_min(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey",
     "agg_string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "agg_list": ("SELECT n_regionkey, array_join(array_sort(list(n_name)), '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(n_name)), '|') AS names FROM nation GROUP BY n_regionkey"),
-    "pivot": ("PIVOT orders ON o_orderstatus USING count(*) GROUP BY o_orderpriority", "PIVOT (SELECT o_orderpriority, o_orderstatus FROM orders) ON o_orderstatus USING count(*) GROUP BY o_orderpriority"),
+    "pivot": ("PIVOT orders ON o_orderstatus USING count(*) GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority"),
     "pivot_clause": ("SELECT * FROM (SELECT o_orderpriority, o_orderstatus FROM orders) PIVOT (count(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o FROM orders GROUP BY 1"),
     "unpivot": "UNPIVOT (SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS nation, s_suppkey * 2 AS twice FROM supplier) ON nation, twice INTO NAME what VALUE amount",
     "win_rank": "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC NULLS LAST) AS BIGINT) AS r FROM part",
@@ -69,7 +69,7 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_union_all": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
     "set_intersect": "SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
-    "set_except": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_except": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "set_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
     "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE n > 12) SELECT c_name, n FROM top JOIN customer ON o_custkey = c_custkey",
@@ -86,6 +86,10 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "fn_regexp": "SELECT p_partkey, regexp_matches(p_type, '^S.*L$') AS m FROM part",
     "fn_cast": "SELECT o_orderkey, o_orderkey::VARCHAR AS s, CAST('12' AS INTEGER) AS i, TRY_CAST('x' AS INTEGER) AS n FROM orders",
     "fn_coalesce": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s FROM customer",
+    "fn_regexp_pattern_first": ("SELECT p_partkey FROM part WHERE regexp('^S.*L$', p_type)", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^S.*L$')"),
+    "fn_lambda": ("SELECT n_nationkey, array_join(list_transform(list_filter([1, 2, 3, n_nationkey], lambda x: x > 1), lambda x: x * 2), ',') AS s FROM nation", "SELECT n_nationkey, array_to_string(list_transform(list_filter([1, 2, 3, n_nationkey], lambda x: x > 1), lambda x: x * 2), ',') AS s FROM nation"),
+    "select_columns": ("SELECT COLUMNS('^n_.*key$'), upper(n_name) AS u FROM nation WHERE n_regionkey > 0", "SELECT n_nationkey, n_regionkey, upper(n_name) AS u FROM nation WHERE n_regionkey > 0"),
+    "unpivot_in_brackets": "UNPIVOT (SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS nation, s_suppkey * 2 AS twice FROM supplier WHERE s_suppkey IN (2, 4, 7)) ON nation, twice INTO NAME what VALUE amount",
     "fn_levenshtein": "SELECT n_name, CAST(levenshtein(n_name, 'NATION_1') AS BIGINT) AS d FROM nation",
     "fn_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%BRASS%' OR p_brand ILIKE 'BRAND#1_'",
     "fn_range": ("SELECT id AS i FROM range(3, 9)", "SELECT range AS i FROM range(3, 9)"),
@@ -120,16 +124,23 @@ def _positional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 17 + 900).cast("double").alias("lo"), (F.col("s_suppkey") * 17 + 930).cast("double").alias("hi"))
-    return range_join(sizes, bands, point="p_retailprice", start="lo", end="hi", width=50.0).select("p_partkey", "s_suppkey")
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 17 + 900).cast("double").alias("lo"), (F.col("s_suppkey") * 17 + 930 + F.pmod(F.col("s_suppkey"), F.lit(5)) * 100).cast("double").alias("hi"))
+    return range_join(sizes, bands, point="p_retailprice", start="lo", end="hi", width=7.0).select("p_partkey", "s_suppkey")
 
 
 def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql("SELECT approx_count_distinct(o_custkey) AS n FROM orders")(spark, sf_dir)
+    """Whether the estimates are within a tenth of the exact numbers (their standard error is a twentieth)."""
+    return _sql("SELECT o_orderstatus, abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY o_orderstatus")(spark, sf_dir)
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql("SELECT count(*) > 0 AS some FROM orders TABLESAMPLE (20 PERCENT) REPEATABLE (7)")(spark, sf_dir)
+    """So many rows as asked for, none twice, all from the table; or about the share asked for."""
+    some = _sql("SELECT o_orderkey, o_custkey FROM orders USING SAMPLE 40 ROWS")(spark, sf_dir)
+    real = some.join(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"], "left_semi")
+    share = _sql("SELECT CAST(count(*) AS DOUBLE) AS n FROM orders USING SAMPLE 20%")(spark, sf_dir)
+    total = table(spark, sf_dir, "orders").agg(F.count("*").alias("total"))
+    whole = real.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys"))
+    return whole.crossJoin(share).crossJoin(total).select("rows", "keys", (F.abs(F.col("n") / F.col("total") - 0.2) < 0.1).alias("near"))
 
 
 def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +161,8 @@ QUERIES = {name: _sql(pair if isinstance(pair, str) else pair[0]) for name, pair
 ORACLE_SQL = {name: pair if isinstance(pair, str) else pair[1] for name, pair in PAIRS.items()} | {
     "join_asof": "SELECT b.event_id, v.event_id AS seen_id FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts",
     "join_positional": "SELECT n_name, r_name FROM (SELECT * FROM nation ORDER BY n_nationkey) POSITIONAL JOIN (SELECT * FROM region ORDER BY r_regionkey)",
-    "join_range": "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_suppkey * 17 + 900 AND p_retailprice < s_suppkey * 17 + 930",
-    "using_sample": "SELECT true AS some",
+    "join_range": "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_suppkey * 17 + 900 AND p_retailprice < s_suppkey * 17 + 930 + s_suppkey % 5 * 100",
+    "agg_approx_distinct": "SELECT o_orderstatus, true AS near FROM orders GROUP BY o_orderstatus",
+    "using_sample": "SELECT CAST(40 AS BIGINT) AS rows, CAST(40 AS BIGINT) AS keys, true AS near",
     "limit_injection": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100",
 }

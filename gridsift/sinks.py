@@ -8,6 +8,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from .catalog import Catalog
 from .functions.cells import text_of
 from .sources.office import write_xlsx
 
-#: So many rows of a query go into a workbook at most.
-XLSX_QUERY_ROWS = 10_000
+#: So many rows go into one sheet of a workbook: the format's limit, less the header. What is more goes on in further sheets.
+SHEET_ROWS = 1_048_575
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -60,12 +61,28 @@ def save_as(catalog: Catalog, file: str, path: str, sheet: str | None = None) ->
 
 
 def export_query(df: DataFrame, path: str) -> int:
-    """A query's first XLSX_QUERY_ROWS rows as a workbook; an empty result is an error."""
-    rows = [list(r) for r in as_text(df.limit(XLSX_QUERY_ROWS)).collect()]
-    if not rows:
+    """All rows of a query as a workbook, streamed one partition at a time; an empty result is an error. Returns how many rows that were."""
+    rows = (list(r) for r in as_text(df.toDF(*[f"c{k}" for k in range(len(df.columns))])).toLocalIterator())
+    first = next(rows, None)
+    if first is None:
         raise ValueError("the query has no rows to export")
-    write_xlsx(iter([("Query", df.columns, iter(rows))]), path)
-    return len(rows)
+    count = 0
+
+    def sheets() -> Iterator[tuple[str, list[str], Iterator[list[str]]]]:
+        left, number = chain([first], rows), 0
+
+        def counted(part: Iterator[list[str]]) -> Iterator[list[str]]:
+            nonlocal count
+            for r in part:
+                count += 1
+                yield r
+
+        while (head := next(left, None)) is not None:
+            number += 1
+            yield "Query" if number == 1 else f"Query_{number}", df.columns, counted(chain([head], islice(left, SHEET_ROWS - 1)))
+
+    write_xlsx(sheets(), path)
+    return count
 
 
 def _width(text: str) -> int:

@@ -106,7 +106,13 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", *, whole: boo
     """The file as text columns and row numbers, or None if it is empty. Short rows are filled up, long ones cut, empty cells are empty strings."""
     start, length = head(spark, path)
     encoding = encoding or file_encoding(spark, path)
-    first = next(csv.reader(io.StringIO(start.removeprefix(b"\xef\xbb\xbf").decode(encoding, "replace")), delimiter=sep), None)
+    while True:
+        records = csv.reader(io.StringIO(start.removeprefix(b"\xef\xbb\xbf").decode(encoding, "replace"), newline=""), delimiter=sep)
+        first, second = next(records, None), next(records, None)
+        # The header is whole once another record follows it, however long it is.
+        if second is not None or len(start) >= length:
+            break
+        start, _ = head(spark, path, 4 * len(start))
     if not first:
         return None
     names = column_names(first)

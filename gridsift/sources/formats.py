@@ -28,8 +28,8 @@ def detect(name: str) -> str | None:
     return next((kind for kind, endings in ENDINGS.items() if ending in endings), None)
 
 
-def parse(data: bytes, name: str, kind: str | None = None) -> list[Table]:
-    """The tables in a file's bytes. kind overrides what the name says; unknown endings are tried as workbooks."""
+def parse(data: bytes, name: str, kind: str | None = None, repair: bool = False) -> list[Table]:
+    """The tables in a file's bytes. kind overrides what the name says; unknown endings are tried as workbooks. repair: of damaged xlsx workbooks, what can be read."""
     from ..functions.encoding import decoded
     from . import delimited, html, office, records, text
 
@@ -51,7 +51,7 @@ def parse(data: bytes, name: str, kind: str | None = None) -> list[Table]:
     if kind == "excel":
         if data[:4] == b"\xd0\xcf\x11\xe0" or name.lower().endswith(".xlsb"):
             raise ValueError(f"{name}: binary workbooks need a library that is not at hand")
-        return office.ods_tables(data) if name.lower().endswith(".ods") else office.xlsx_tables(data)
+        return office.ods_tables(data) if name.lower().endswith(".ods") else office.xlsx_tables(data, repair)
     if kind == "parquet":
         import io
 

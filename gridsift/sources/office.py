@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -82,20 +83,83 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, xf in enumerate(_kids(root, "cellXfs", "xf")) if int(xf.get("numFmtId", 0)) in _DATE_FORMATS | custom}
 
 
-def xlsx_tables(data: bytes) -> list[Table]:
-    """Every worksheet that can be read, in the workbook's order. Rows are read one by one; sheets that are broken are left out."""
-    book = zipfile.ZipFile(io.BytesIO(data))
+class Salvaged:
+    """Entries of a ZIP file whose directory or end is lost, found by their own headers; of each, what can be unpacked."""
+
+    def __init__(self, data: bytes):
+        self.parts: dict[str, bytes] = {}
+        at = 0
+        while (at := data.find(b"PK\x03\x04", at)) >= 0 and at + 30 <= len(data):
+            flags, method = int.from_bytes(data[at + 6 : at + 8], "little"), int.from_bytes(data[at + 8 : at + 10], "little")
+            size, n, more = int.from_bytes(data[at + 18 : at + 22], "little"), int.from_bytes(data[at + 26 : at + 28], "little"), int.from_bytes(data[at + 28 : at + 30], "little")
+            begin = at + 30 + n + more
+            name = data[at + 30 : at + 30 + n].decode("utf-8", "replace")
+            if method == 0:
+                end = begin + size if size or not flags & 8 else data.find(b"PK", begin)
+                body = data[begin : end if end >= 0 else len(data)]
+            else:
+                body = self.inflated(data, begin)
+            self.parts.setdefault(name, body)
+            at = begin
+
+    @staticmethod
+    def inflated(data: bytes, begin: int, step: int = 512) -> bytes:
+        """What a deflated stream gives up to its end or to where it is broken."""
+        reader, out = zlib.decompressobj(-15), []
+        for at in range(begin, len(data), step):
+            try:
+                out.append(reader.decompress(data[at : at + step]))
+            except zlib.error:
+                break
+            if reader.eof:
+                break
+        return b"".join(out)
+
+    def namelist(self) -> list[str]:
+        return list(self.parts)
+
+    def read(self, name: str) -> bytes:
+        return self.parts[name]
+
+    def open(self, name: str) -> io.BytesIO:
+        return io.BytesIO(self.parts[name])
+
+
+def _started(data: bytes, tag: str) -> list[ET.Element]:
+    """The elements of a name that are whole, also where the text after them is cut short."""
+    found = []
+    try:
+        for _, node in ET.iterparse(io.BytesIO(data), ("end",)):
+            if _bare(node.tag) == tag:
+                found.append(node)
+    except ET.ParseError:
+        pass
+    return found
+
+
+def xlsx_tables(data: bytes, repair: bool = False) -> list[Table]:
+    """Every worksheet that can be read, in the workbook's order. Rows are read one by one; sheets that are broken are left out, or with
+    repair read as far as they go, also where the file's directory, its list of sheets or some of its texts are lost."""
+    book = Salvaged(data) if repair else zipfile.ZipFile(io.BytesIO(data))
     names = set(book.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in si.iter() if _bare(t.tag) == "t") for si in _kids(ET.fromstring(book.read("xl/sharedStrings.xml")), "si")]
-    targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
-    dated, found = _date_styles(book), []
-    for k, sheet in enumerate(_kids(ET.fromstring(book.read("xl/workbook.xml")), "sheets", "sheet")):
-        target = targets.get(_attr(sheet, "id"), f"worksheets/sheet{k + 1}.xml")
+        shared = ["".join(t.text or "" for t in si.iter() if _bare(t.tag) == "t") for si in (_started(book.read("xl/sharedStrings.xml"), "si") if repair else _kids(ET.fromstring(book.read("xl/sharedStrings.xml")), "si"))]
+    try:
+        targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
+        dated = _date_styles(book)
+        listed = [(sheet.get("name", f"Sheet{k + 1}"), targets.get(_attr(sheet, "id"), f"worksheets/sheet{k + 1}.xml")) for k, sheet in enumerate(_kids(ET.fromstring(book.read("xl/workbook.xml")), "sheets", "sheet"))]
+    except (KeyError, ET.ParseError, ValueError):
+        if not repair:
+            raise
+        dated = set()
+        numbers = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        listed = [(f"Sheet{k}", f"worksheets/sheet{k}.xml") for k in numbers]
+    found = []
+    for name, target in listed:
         path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         try:
-            table = _worksheet(book, path, sheet.get("name", f"Sheet{k + 1}"), shared, dated)
+            table = _worksheet(book, path, name, shared, dated, repair)
         except (KeyError, ET.ParseError, ValueError, IndexError, zipfile.BadZipFile):
             continue
         if table:
@@ -103,11 +167,20 @@ def xlsx_tables(data: bytes) -> list[Table]:
     return found
 
 
-def _worksheet(book: zipfile.ZipFile, path: str, name: str, shared: list[str], dated: set[int]) -> Table | None:
+def _events(part, repair: bool) -> Iterator[tuple[str, ET.Element]]:
+    """Elements as they begin and end; with repair, up to where the text is broken."""
+    try:
+        yield from ET.iterparse(part, ("start", "end"))
+    except ET.ParseError:
+        if not repair:
+            raise
+
+
+def _worksheet(book: zipfile.ZipFile, path: str, name: str, shared: list[str], dated: set[int], repair: bool = False) -> Table | None:
     grid: dict[tuple[int, int], str] = {}
     merges, dates, widths, row, column = [], set(), [], -1, -1
     with book.open(path) as part:
-        for event, node in ET.iterparse(part, ("start", "end")):
+        for event, node in _events(part, repair):
             tag = _bare(node.tag)
             if event == "start":
                 if tag == "row":
@@ -118,7 +191,7 @@ def _worksheet(book: zipfile.ZipFile, path: str, name: str, shared: list[str], d
                 kind = node.get("t", "n")
                 raw = next((v.text or "" for v in _kids(node, "v")), "")
                 if kind == "s" and raw:
-                    value = shared[int(raw)]
+                    value = "" if repair and not (raw.isdigit() and int(raw) < len(shared)) else shared[int(raw)]
                 elif kind == "inlineStr":
                     value = "".join(t.text or "" for t in node.iter() if _bare(t.tag) == "t")
                 elif kind == "b":
@@ -192,6 +265,42 @@ def docx_tables(data: bytes) -> list[Table]:
     return found
 
 
+def _slide_rows(tbl: ET.Element) -> list[list[str]]:
+    """A slide table's rows. Cells over several columns or rows repeat; writers mark the covered places by merge cells, or leave them out."""
+    on = lambda tc, name: tc.get(name) in ("1", "true")
+    width = len(_kids(tbl, "tblGrid", "gridCol"))
+    rows: list[list[str]] = []
+    below: dict[int, tuple[str, int]] = {}  # column: text, and over how many more rows it reaches
+    for tr in _kids(tbl, "tr"):
+        cells = _kids(tr, "tc")
+        spans = []
+        for k, tc in enumerate(cells):
+            marked = k + 1 < len(cells) and on(cells[k + 1], "hMerge")
+            spans.append(1 if marked or on(tc, "hMerge") else int(tc.get("gridSpan", 1)))
+        # Covered places without merge cells: as many as the row is too short, against the grid or the rows above.
+        missing = max([width, *map(len, rows)]) - sum(spans)
+        row: list[str] = []
+        for tc, span in zip(cells, spans):
+            while missing > 0 and len(row) in below:
+                row.append(below[len(row)][0])
+                missing -= 1
+            at = len(row)
+            if on(tc, "hMerge"):
+                row.append(row[-1] if row else "")
+            elif on(tc, "vMerge"):
+                row.append(rows[-1][at] if rows and at < len(rows[-1]) else "")
+            else:
+                row += [_texts(tc, "p")] * span
+                for c in range(at, at + span):
+                    below[c] = (row[at], int(tc.get("rowSpan", 1)))
+        while missing > 0 and len(row) in below:
+            row.append(below[len(row)][0])
+            missing -= 1
+        rows.append(row)
+        below = {c: (text, left - 1) for c, (text, left) in below.items() if left > 1}
+    return rows
+
+
 def pptx_tables(data: bytes) -> list[Table]:
     """Tables of all slides in their order, as Slide_n_Table_m. Cells over several columns or rows repeat."""
     deck = zipfile.ZipFile(io.BytesIO(data))
@@ -199,17 +308,7 @@ def pptx_tables(data: bytes) -> list[Table]:
     found = []
     for number, name in slides:
         for m, tbl in enumerate((x for x in ET.fromstring(deck.read(name)).iter() if _bare(x.tag) == "tbl"), 1):
-            rows: list[list[str]] = []
-            for tr in _kids(tbl, "tr"):
-                row: list[str] = []
-                for tc in _kids(tr, "tc"):
-                    if tc.get("hMerge") in ("1", "true"):
-                        row.append(row[-1] if row else "")
-                    elif tc.get("vMerge") in ("1", "true"):
-                        row.append(rows[-1][len(row)] if rows and len(row) < len(rows[-1]) else "")
-                    else:
-                        row.append(_texts(tc, "p"))
-                rows.append(row)
+            rows = _slide_rows(tbl)
             if len(rows) > 1:
                 found.append(Table(f"Slide_{number}_Table_{m}", rows[0], rows[1:]))
     return found

@@ -26,8 +26,7 @@ def markdown_tables(text: str) -> list[Table]:
             rule = len(block) > 1 and "|" in block[1] and _RULE.match(block[1])
             body = rows[2:] if rule else rows[1:]
             if rule or len(rows[0]) > 1:
-                width = len(rows[0])
-                found.append(Table(heading or f"Table_{len(found) + 1}", rows[0], [(r + [""] * width)[:width] for r in body]))
+                found.append(Table(heading or f"Table_{len(found) + 1}", rows[0], body).widened())
         block.clear()
 
     for line in text.splitlines():

@@ -63,12 +63,12 @@ class Tools:
         out = {r.column_name: r.asDict() | {"top": []} for r in profile.column_statistics(s.df).collect()}
         for r in profile.top_values(s.df, top).orderBy("column_name", "rank").collect():
             out[r.column_name]["top"].append([r.value, r.n])
-        return list(out.values())
+        return [out[c] for c in s.columns]
 
     def search(self, query: str, column: str | None = None, sheet: str | None = None, mode: str = "fulltext", limit: int = SEARCH_ROWS, invert: bool = False, context: int = 0, conditions: list[dict] | None = None) -> dict:
-        q = SearchQuery(query, column, mode, None, sheet, invert, context, tuple(Condition(**c) for c in conditions or ()))
+        q = SearchQuery(query, column, mode, limit + 1, sheet, invert, context, tuple(Condition(**c) for c in conditions or ()))
         tables = self.catalog.tables()
-        found = search(tables, q).limit(limit + 1).collect()
+        found = search(tables, q).collect()
         stats = search_stats(tables, q).collect()
         return {"results": [r.asDict(recursive=True) for r in found[:limit]], "truncated": len(found) > limit, "rows_searched": sum(r.rows_searched for r in stats), "matches": sum(r.matches for r in stats)}
 

@@ -10,7 +10,9 @@ from gridsift import cli, sinks
 from gridsift.catalog import Catalog
 from gridsift.functions.dates import from_serial, with_dates
 from gridsift.functions.encoding import decoded
-from gridsift.model import ROW, Table
+from gridsift.mcp import serve
+from gridsift.model import ROW, SearchQuery, Table
+from gridsift.operators.search import search
 from gridsift.queries import file_queries as fixtures
 from gridsift.sources.archives import archive_kind, entries
 from gridsift.sources.formats import detect, parse
@@ -46,7 +48,8 @@ def test_html_repair():
 
 
 def test_text():
-    assert text_tables("| a | b |\n| 1 | 2 | 3 |\n", True)[0].rows == [["1", "2"]]
+    jagged = text_tables("| a | b |\n| 1 | 2 | 3 |\n| 4 |\n", True)[0]
+    assert (jagged.headers, jagged.rows) == (["a", "b", ""], [["1", "2", "3"], ["4", "", ""]])
     assert text_tables("just prose\nof two lines\n", False) == []
     assert parse(b"", "x.csv") == [] and parse(b"a,b\n", "x.csv")[0].rows == []
 
@@ -183,3 +186,81 @@ def test_tools_sinks_and_cli(catalog, tmp_path, capsys):
     cli.prompt(catalog, ["SELECT a FROM d.S\n", "ORDER BY a LIMIT 1;\n", ".let t SELECT 1 AS one\n", "SELECT nope;\n", ".quit\n"], said)
     assert "x" in said.getvalue() and "1 rows" in said.getvalue() and "error" in said.getvalue()
     assert cli.condition("age >= 3").operator == ">="
+
+
+def test_rows_wider_than_their_header_are_found(catalog, tmp_path):
+    (tmp_path / "jag.html").write_text("<table><tr><th>a<th>b<tr><td>1<td>2<td>needle<tr><td>3</table>")
+    (sheet,) = catalog.load(str(tmp_path / "jag.html"))
+    assert sheet.columns == ["a", "b", "column"]
+    (hit,) = search(catalog.tables(), SearchQuery("needle")).collect()
+    assert (hit.row_index, hit.matched_columns) == (0, ["column"])
+
+
+def test_a_header_longer_than_the_first_look(catalog, tmp_path):
+    names = [f"column_{'x' * 600}_{i}" for i in range(200)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(200))) + "\n")
+    (sheet,) = catalog.load(str(tmp_path / "wide.csv"))
+    assert sheet.columns == names and sheet.df.first()[-1] == "199"
+
+
+def test_every_row_of_a_query_is_exported(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 40)
+    assert sinks.export_query(spark.range(100).selectExpr("id", "'x' AS t"), str(tmp_path / "q.xlsx")) == 100
+    tables = parse((tmp_path / "q.xlsx").read_bytes(), "q.xlsx")
+    assert [(t.name, len(t.rows), t.headers) for t in tables] == [("Query", 40, ["id", "t"]), ("Query_2", 40, ["id", "t"]), ("Query_3", 20, ["id", "t"])]
+    assert [r[0] for t in tables for r in t.rows] == [str(i) for i in range(100)]
+    with pytest.raises(ValueError):
+        sinks.export_query(spark.range(0), str(tmp_path / "none.xlsx"))
+
+
+def test_damaged_workbooks(catalog, tmp_path):
+    whole = fixtures.xlsx_fixture()
+    want = shape(parse(whole, "b.xlsx"))
+    cut = whole[: whole.index(b"PK\x01\x02")]  # the directory is lost
+    with pytest.raises(zipfile.BadZipFile):
+        parse(cut, "b.xlsx")
+    assert shape(parse(cut, "b.xlsx", repair=True)) == want == shape(parse(whole, "b.xlsx", repair=True))
+    z = io.BytesIO()
+    rows = "".join(f'<row r="{r}"><c r="A{r}" t="s"><v>{r - 1}</v></c><c r="B{r}"><v>{r}</v></c></row>' for r in range(1, 400))
+    with zipfile.ZipFile(z, "w", zipfile.ZIP_DEFLATED) as f:
+        f.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{rows}")
+        f.writestr("xl/sharedStrings.xml", "<sst><si><t>head</t></si><si><t>one</t></si><si><t>tw")
+    (table,) = parse(z.getvalue(), "b.xlsx", repair=True)
+    # A merge, the end of the sheet, its name and most texts are gone; what is there is read.
+    assert (table.name, table.headers, len(table.rows), table.rows[0], table.rows[5]) == ("Sheet1", ["head", "1"], 398, ["one", "2"], ["", "7"])
+    (tmp_path / "bad.xlsx").write_bytes(cut)
+    assert [s.name for s in catalog.load(str(tmp_path / "bad.xlsx"), repair=True)] == [want[0][0]]
+
+
+def test_a_folder_keeps_the_tables(spark, catalog, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    catalog.load(str(tmp_path / "a.csv"))
+    catalog.update_cell("a.csv", "a", 1, "v", "new")
+    catalog.save_store(str(tmp_path / "store"))
+    again = Catalog(spark)
+    assert again.has_store(str(tmp_path / "store")) and not again.has_store(str(tmp_path / "none"))
+    (sheet,) = again.open_store(str(tmp_path / "store"))
+    assert (sheet.file, sheet.name, sheet.columns) == ("a.csv", "a", ["k", "v"]) and [r.v for r in sheet.df.orderBy(ROW).collect()] == ["x", "new"]
+    again.save_store(str(tmp_path / "store"))
+    assert [r.v for r in again.open_store(str(tmp_path / "store"))[0].df.orderBy(ROW).collect()] == ["x", "new"]
+    again.clear()
+
+
+def test_tools_over_json_lines(catalog, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    calls = [
+        {"id": 1, "method": "initialize"},
+        {"method": "notifications/initialized"},
+        {"id": 2, "method": "tools/list"},
+        {"id": 3, "method": "tools/call", "params": {"name": "import_file", "arguments": {"path": str(tmp_path / "a.csv")}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "y"}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "execute_sql", "arguments": {"sql": "DROP TABLE x"}}},
+        {"id": 6, "method": "tools/call", "params": {"name": "_rows"}},
+        {"id": 7, "method": "other"},
+    ]
+    out = [json.loads(x) for x in serve(Tools(catalog), [*map(json.dumps, calls), "", "{"])]
+    assert [x.get("id") for x in out] == [1, 2, 3, 4, 5, 6, 7, None]
+    tools = {t["name"]: t["inputSchema"] for t in out[1]["result"]["tools"]}
+    assert set(tools) == set(VERBS) and tools["search"]["required"] == ["query"] and tools["search"]["properties"]["limit"] == {"type": "integer"} and tools["insert_rows"]["properties"]["rows"] == {"type": "array"}
+    assert json.loads(out[3]["result"]["content"][0]["text"])["matches"] == 1 and not out[3]["result"]["isError"]
+    assert out[4]["result"]["isError"] and [x["error"]["code"] for x in out[5:]] == [-32602, -32601, -32700]

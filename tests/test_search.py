@@ -83,3 +83,13 @@ def test_against_a_plain_model(spark):
                     if ok:
                         want.append(i)
                 assert found(df, text=text, invert=invert, conditions=conditions) == want
+
+
+def test_limits_take_the_first_rows(spark):
+    df = made(spark, [(c, str(i)) for i, c in enumerate("abcadaabca" * 30)]).repartition(7, "b")
+    wanted = [i for i, c in enumerate("abcadaabca" * 30) if c == "a"]
+    assert [r[ROW] for r in search_table(df, SearchQuery("a", limit=20)).collect()] == wanted[:20]
+    both = search([("z", "s", df), ("f", "t", df)], SearchQuery("a", limit=len(wanted) + 2)).collect()
+    assert [(r.file, r.row_index) for r in both] == [("z", i) for i in wanted] + [("f", i) for i in wanted[:2]]
+    first, more = limited(search([("z", "s", df)], SearchQuery("a")), 5)
+    assert [r.row_index for r in first.collect()] == wanted[:5] and more

@@ -35,3 +35,34 @@ def test_statements(spark):
     assert [r.id for r in run_sql(spark, "SELECT * FROM six QUALIFY row_number() OVER (PARTITION BY k ORDER BY id DESC) = 1 ORDER BY id").collect()] == [4, 5]
     assert run_sql(spark, "SELECT * FROM six ORDER BY id LIMIT 5", 3).count() == 3
     assert run_sql(spark, "FROM six").count() == 6
+
+
+def test_the_gate_lets_no_code_or_path_through(spark):
+    spark.range(3).createOrReplaceTempView("t3")
+    for sql in ("SELECT java_method('java.lang.System', 'setProperty', 'jx', 'y')", "SELECT `reflect`('java.lang.Math', 'random')", "SELECT try_reflect('java.lang.Math', 'random')", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM `text`.`/etc/passwd`", "EXECUTE IMMEDIATE 'SELECT 1'", "INSERT INTO t3 VALUES (1)", ""):
+        with pytest.raises(ValueError):
+            run_sql(spark, sql)
+    assert spark._jvm.java.lang.System.getProperty("jx") is None
+    assert run_sql(spark, "SELECT 'reflect(1)' AS a, id FROM t3 -- java_method(").count() == 3
+
+
+def test_statements_with_brackets(spark):
+    spark.createDataFrame([(1, 2, 5), (2, 3, 6), (3, 4, 7)], "a int, b int, c int").createOrReplaceTempView("u3")
+    got = run_sql(spark, "UNPIVOT (SELECT a, b FROM u3 WHERE b IN (2, 4)) ON b INTO NAME n VALUE v").collect()
+    assert sorted(map(tuple, got)) == [(1, "b", 2), (3, "b", 4)]
+    assert {r.column_name: r.n for r in run_sql(spark, "SUMMARIZE SELECT a FROM u3 WHERE b IN (2, 4)").collect()} == {"a": 2}
+    assert run_sql(spark, "PIVOT (SELECT a, b FROM u3 WHERE (b) IN (2, (4))) ON b USING max(a), count(*) GROUP BY a").count() == 2
+    for bad in ("PIVOT u3 ON b", "UNPIVOT u3 ON b", "SELECT COLUMNS('zz') FROM u3", "SELECT * FROM u3 JOIN u3 x USING (a) USING SAMPLE 2"):
+        with pytest.raises(ValueError):
+            run_sql(spark, bad)
+
+
+def test_samples_columns_and_functions(spark):
+    spark.range(100).selectExpr("id AS key_a", "id % 7 AS key_b", "'x' AS name").createOrReplaceTempView("s100")
+    assert run_sql(spark, "SELECT * FROM s100 USING SAMPLE 7").count() == 7
+    assert run_sql(spark, "SELECT count(*) AS n FROM s100 WHERE key_a >= 0 USING SAMPLE reservoir(9 ROWS)").first().n == 9
+    assert 0 < run_sql(spark, "SELECT count(*) AS n FROM (SELECT * FROM s100) q USING SAMPLE 50%").first().n < 100
+    assert run_sql(spark, "SELECT s100.key_a FROM s100 WHERE s100.key_b = 1 USING SAMPLE 100 PERCENT").count() == 15
+    assert run_sql(spark, "SELECT COLUMNS('^key'), max(COLUMNS('key_b')) OVER () AS m FROM s100 WHERE key_a < 3").columns == ["key_a", "key_b", "m"]
+    assert run_sql(spark, "SELECT regexp('^x$', name) AS m, regexp_like(name, 'y') AS n FROM s100").first()[:] == (True, False)
+    assert run_sql(spark, "SELECT aggregate([1, 2, 3], 0, lambda a, b: a + b) AS s").first().s == 6

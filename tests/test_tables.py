@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from gridsift.functions.names import check_table_name, column_names, schema_name
 from gridsift.model import ROW
-from gridsift.operators import edits, profile
+from gridsift.operators import edits, joins, profile
 from gridsift.operators.joins import asof_join, positional_join, range_join
 
 
@@ -68,3 +70,30 @@ def test_joins(spark):
     rng = spark.createDataFrame([(2.0, 9.0), (8.5, 8.7), (5.0, 5.0), (-3.0, 1.0)], "lo double, hi double")
     want = sorted((x, lo) for x in map(float, range(20)) for lo, hi in ((2.0, 9.0), (8.5, 8.7), (5.0, 5.0), (-3.0, 1.0)) if lo <= x < hi)
     assert sorted((r.x, r.lo) for r in range_join(pts, rng, point="x", start="lo", end="hi", width=4.0).collect()) == want
+
+
+def test_asof_join_of_hot_and_null_keys(spark, monkeypatch):
+    """A hot key is cut by time; null keys and times stay, and match nothing."""
+    r = random.Random(1)
+    left = [(i, "hot" if r.random() < 0.8 else r.choice(["a", None]), None if r.random() < 0.05 else r.randrange(400)) for i in range(300)]
+    right = [(r.choice(["hot", "hot", "a", None]), None if r.random() < 0.05 else r.randrange(400), i) for i in range(120)]
+    a, b = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, u int, v int")
+    want = sorted((i, max(((u, v) for q, u, v in right if q == k and u is not None and u <= t), default=(0, None))[1] if k is not None and t is not None else None) for i, k, t in left)
+    for rows in (10**6, 20):
+        monkeypatch.setattr(joins, "HOT_ROWS", rows)
+        assert sorted((x.id, x.v) for x in joins.asof_join(a, b, by=["k"], left_on="t", right_on="u", take=["v"]).collect()) == want
+
+
+def test_range_join_of_long_ranges(spark):
+    points = spark.createDataFrame([(i, float(i * 37 % 1000)) for i in range(200)], "p int, x double")
+    ranges = spark.createDataFrame([(1, 0.0, 1e9), (2, 5.0, 6.0), (3, 10.0, 10.0), (4, None, 5.0), (5, 100.0, 333.3), (6, -50.0, 3.0)], "r int, lo double, hi double")
+    got = joins.range_join(points, ranges, point="x", start="lo", end="hi", width=2.0)
+    want = sorted((p, r) for p in range(200) for r, lo, hi in ((1, 0, 1e9), (2, 5, 6), (5, 100, 333.3), (6, -50, 3)) if lo <= p * 37 % 1000 < hi)
+    assert sorted((x.p, x.r) for x in got.collect()) == want
+
+
+def test_statistics_of_many_columns_and_no_rows(spark):
+    df = spark.createDataFrame([("a", None), ("", "x"), ("a", "x")], "p string, q string")
+    got = {r.column_name: tuple(r)[1:] for r in profile.column_statistics(df).collect()}
+    assert got == {"p": (3, 2, 1, 1), "q": (3, 2, 1, 1)}
+    assert {tuple(r)[1:] for r in profile.column_statistics(df.limit(0)).collect()} == {(0, 0, 0, 0)}
