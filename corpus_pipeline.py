@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridsift.llm.bpe import with_tokens
-from gridsift.llm.common import stored
+from gridsift.llm.common import release, stored, written
 from gridsift.llm.line_dedup import drop_shared_lines
 from gridsift.llm.mixing import sample_mixture
 from gridsift.llm.ngram_join import keep_one
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over documents. Each one's result is written, and what it and those before it wrote besides is deleted."""
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage")
+        release(spark, begin, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 #: Settings of the session's SQL: quoted identifiers as analysts write them, one time zone, adaptive plans.
@@ -27,9 +29,11 @@ def session(app: str = "gridsift", master: str | None = None, **settings: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate files that all of a cluster's machines see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder for intermediate files that all of a cluster's machines see: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints/gridsift"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
