@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,25 +23,34 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints/gridsift"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-#: Where stored() and others have written in this process.
+#: Where stored() and others have written in this process, in order.
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes what stored() has written in this process, once results that rest on it are no longer needed. Returns how many tables that were."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    return n
+def written() -> int:
+    """How many tables have been written in this process: where release() may begin."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Deletes what stored() and others have written in this process since then (but the last of it, if keep_last), once results that rest on it are no longer needed. Returns how many tables that were."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep_last]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.remove(name)
+    return len(gone)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -121,10 +121,14 @@ def test_stages_take_any_table(spark, name, stage):
 
 
 def test_stored_tables_can_be_deleted(spark):
-    from gridsift.llm.common import release, stored
-
-    path = stored(spark.range(3), "t").inputFiles()[0].rpartition("/")[0].removeprefix("file://")
-    assert os.path.isdir(path) and release(spark) > 0 and not os.path.isdir(path)
+    from gridsift.llm.common import release, stored, written
+
+    place = lambda df: df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    before = place(stored(spark.range(3), "t"))
+    begin = written()
+    paths = [place(stored(spark.range(3), "t")) for _ in range(3)]
+    assert release(spark, begin, keep_last=True) == 2 and [os.path.isdir(p) for p in [before, *paths]] == [True, False, False, True]
+    assert release(spark) > 0 and not any(map(os.path.isdir, [before, *paths]))
 
 
 def test_every_operator_has_a_query():
