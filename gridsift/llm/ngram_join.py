@@ -35,7 +35,7 @@ from .components import connected_components
 from .wordhash import WordHashes, mixed, windows
 
 #: Counters of shingles: one for so many bytes of text, within these bounds, and their parts that tasks exchange.
-BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, PART = 256, 1 << 20, 1 << 25, 1 << 18
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, PART = 128, 1 << 20, 1 << 25, 1 << 18
 #: Sets of fewer shingles have single-shingle signatures alone.
 PAIRS_FROM = 16
 BITMAP_WORDS = 8
@@ -154,7 +154,7 @@ def _frequent(texts: DataFrame, size: int) -> bytes:
         for part, total in sums.items():
             # A part's mean is the corpus's, as hashes deal the shingles out.
             mean = total.mean()
-            bits = np.packbits(total > mean + 8 * mean**0.5 + 16, bitorder="little").tobytes()
+            bits = np.packbits(total > mean + 4 * mean**0.5 + 12, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
 
     parts = width // PART

@@ -335,4 +335,4 @@ def test_documents_of_a_template_do_not_meet(spark):
 
 
 def test_counters_grow_with_the_text():
-    assert [ngram_join.counters_for(x) for x in (0, 1 << 28, 1 << 30, (1 << 30) + 256, 1 << 50)] == [1 << 20, 1 << 20, 1 << 22, 1 << 23, 1 << 25]
+    assert [ngram_join.counters_for(x) for x in (0, 1 << 27, 1 << 30, (1 << 30) + 128, 1 << 50)] == [1 << 20, 1 << 20, 1 << 23, 1 << 24, 1 << 25]
