@@ -336,3 +336,21 @@ def test_documents_of_a_template_do_not_meet(spark):
 
 def test_counters_grow_with_the_text():
     assert [ngram_join.counters_for(x) for x in (0, 1 << 27, 1 << 30, (1 << 30) + 128, 1 << 50)] == [1 << 20, 1 << 20, 1 << 23, 1 << 24, 1 << 25]
+
+
+def test_op7_query(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = [(x.doc_id, x.n_shingles, x.component_id) for x in queries.op7_ngram_join(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(brute_groups(rows, 3, 90, 100)) and any(d != c for d, _, c in got)
+
+
+def test_searches_with_thresholds_of_rounds(spark, monkeypatch):
+    """Clusters far apart, so that cells are left out, and a hot vector that fills shards of its own."""
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 30)
+    monkeypatch.setattr(kdtree, "LEAF_ROWS", 4)
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(12, 5)) * 9
+    rows = [(i, (centres[i % 12] + r.normal(size=5)).round(2).tolist()) for i in range(500)] + [(1000 + i, centres[0].round(1).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 50 == 0, k=5).collect())
+    assert got == brute_top(rows, 5)
