@@ -73,6 +73,7 @@ class Catalog:
         self.paths: dict[str, str] = {}
         self.temps: dict[str, Sheet] = {}
         self.warnings: list[str] = []
+        self._parsed: dict[str, DataFrame] = {}
         self._count = 0
 
     # Loading
@@ -109,9 +110,15 @@ class Catalog:
                 df = rows.select(F.col("row").alias(ROW), *[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)])
                 by_file.setdefault(f"{base}::{s.entry}" if s.entry else base, []).append((s.sheet, df, tuple(s.widths or ())))
         out = []
-        for name, items in by_file.items():
-            out += self._put(name, path, items, (found or "") in READ_ONLY)
-        return out if by_file else self._put(base, path, [], False)
+        for name, items in by_file.items() if by_file else [(base, [])]:
+            out += self._put(name, path, items, bool(by_file) and (found or "") in READ_ONLY)
+        self._forget(path)
+        self._parsed[path] = parsed
+        return out
+
+    def _forget(self, path: str) -> None:
+        if (old := self._parsed.pop(path, None)) is not None:
+            old.unpersist()
 
     def _load_split(self, path: str, base: str) -> list[Sheet]:
         """Parts .001, .002, ... put together; they are read on the driver, as a ZIP file's directory is at its end."""
@@ -283,6 +290,11 @@ class Catalog:
         for s in self.files.pop(file, []):
             for view in (s.view, self.alias(s)):
                 self.spark.catalog.dropTempView(quoted(view)) or self.spark.catalog.dropTempView(view)
+            if s.state == "materialized":
+                s.df.unpersist()
+        path = self.paths.pop(file, None)
+        if path is not None and path not in self.paths.values():
+            self._forget(path)
 
     def clear(self) -> None:
         for file in list(self.files):

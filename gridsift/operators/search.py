@@ -90,8 +90,11 @@ def search_table(df: DataFrame, query: SearchQuery) -> DataFrame:
     found, cells = predicate(df, query)
     if query.invert or not cells:
         matched = F.array().cast("array<string>")
+    elif len(cells) == 1:
+        matched = F.array(F.lit(cells[0][0]))
     else:
-        matched = F.filter(F.array(*[F.when(m, F.lit(c)) for c, m in cells]), lambda x: x.isNotNull())
+        # At least one column matches. As text and back, which is compiled, where a function over arrays is not.
+        matched = F.split(F.concat_ws("\x01", *[F.when(m, F.lit(c)) for c, m in cells]), "\x01")
     out = df.filter(found).withColumn("matched_columns", matched)
     if query.limit is None:
         return out

@@ -39,7 +39,7 @@ def test_statements(spark):
 
 def test_the_gate_lets_no_code_or_path_through(spark):
     spark.range(3).createOrReplaceTempView("t3")
-    for sql in ("SELECT java_method('java.lang.System', 'setProperty', 'jx', 'y')", "SELECT `reflect`('java.lang.Math', 'random')", "SELECT try_reflect('java.lang.Math', 'random')", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM `text`.`/etc/passwd`", "EXECUTE IMMEDIATE 'SELECT 1'", "INSERT INTO t3 VALUES (1)", ""):
+    for sql in ("SELECT java_method('java.lang.System', 'setProperty', 'jx', 'y')", "SELECT `reflect`('java.lang.Math', 'random')", "SELECT try_reflect('java.lang.Math', 'random')", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM `text`.`/etc/passwd`", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM t3", "FROM t3 MAP id USING 'cat' AS x", "INSERT INTO t3 VALUES (1)", ""):
         with pytest.raises(ValueError):
             run_sql(spark, sql)
     assert spark._jvm.java.lang.System.getProperty("jx") is None
