@@ -2,7 +2,9 @@
 
 import pytest
 
+from gridsift.model import Table
 from gridsift.sources.html import html_tables
+from gridsift.sources.pages import merged
 from gridsift.sources.text import text_tables
 
 HTML = {
@@ -60,3 +62,10 @@ def test_reports():
     got = [(t.name, t.headers, t.rows) for t in text_tables(text, False)]
     assert got == [("Stock", ["item", "kg", "note"], [["rope", "4", "dry"], ["tar", "12", ""]]), ("Next", ["day", "wet", "dry"], [["mon", "1", "2"], ["tue", "3", "4"]])]
     assert text_tables("", False) == [] == text_tables("~~~\n", False)
+
+
+def test_tables_over_pages():
+    page = lambda number, headers, *rows: (number, Table("", headers, [list(r) for r in rows]))
+    got = merged([page(1, ["k", "v"], ("a", "1")), page(2, ["k", "v"], ("b", "2"), ("c", "3")), page(3, ["d", "4"]), page(3, ["e", "5"]), page(4, ["one"], ("x",)), page(6, ["one"])])
+    assert [(t.name, t.headers, t.rows) for t in got] == [("Table_1", ["k", "v"], [["a", "1"], ["b", "2"], ["c", "3"], ["d", "4"]]), ("Table_2", ["e", "5"], []), ("Table_3", ["one"], [["x"]]), ("Table_4", ["one"], [])]
+    assert merged([]) == []
