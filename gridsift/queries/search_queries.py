@@ -131,7 +131,7 @@ ORACLE_SQL = {
     "search_typed_columns": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE contains(CAST(l_partkey AS VARCHAR), '17')",
     "search_missing_column": "SELECT o_orderkey FROM orders WHERE false",
     "search_multi_table": " UNION ALL ".join(
-        f"SELECT '{t}' AS sheet, {key} AS row_index, '{name}' AS matched FROM {t} WHERE contains(lower({name}), '_1')"
+        f"SELECT '{t}' AS sheet, CAST({key} AS BIGINT) AS row_index, '{name}' AS matched FROM {t} WHERE contains(lower({name}), '_1')"
         for t, key, name in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))
     ),
     "search_matched_columns": "SELECT doc_id, concat_ws(',', CASE WHEN contains(CAST(doc_id AS VARCHAR), 'en') THEN 'doc_id' END, CASE WHEN contains(lower(text), 'en') THEN 'text' END, CASE WHEN contains(lang, 'en') THEN 'lang' END, CASE WHEN contains(source, 'en') THEN 'source' END) AS matched FROM documents WHERE contains(lower(text), 'en') OR contains(lang, 'en') OR contains(source, 'en')",
