@@ -4,7 +4,8 @@ Plan: lines long enough to count are exploded, normalised and hashed to 128 bits
 counted per hash; what reaches the threshold is a table of its own (16 bytes of hash, the keeping document). The lines
 then meet that table: its most frequent hashes, 1,000 at most, are broadcast, so that no hash left for the shuffle join can
 hold more than a thousandth of the lines. Only (document, positions) return to the documents, whose lines are put
-together again by position.
+together again by position. A bitmap of bounded size is broadcast, by which documents that lose nothing stay where they are: only texts that
+lose lines (and some that share their bits) are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, BROADCAST_ROWS, ascii_lower, hidden, position, restored, stored
 
 HOT_KEYS = 1000
+#: Bits of the bitmap: eight for each document that loses lines, within these bounds. In 64-bit words it has 1,048,576 rows at most.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
 def _key(line: Column) -> Column:
@@ -49,15 +52,21 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
         )
         found = found.join(rest, ["cold", "k1", "h2"], "left").withColumn("keeper", F.coalesce("keeper", "keeper2"))
         found = found.filter(F.col("keeper").isNotNull())
-    drops = (
-        found.filter(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("id", "t")
-        .agg(F.collect_list("pos").alias("drops"))
-        .withColumnsRenamed({"id": "drop_id", "t": "drop_t"})
-    )
+    drops = found.filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id", "t").agg(F.collect_list("pos").alias("drops"))
+    drops = stored(drops.withColumnsRenamed({"id": "drop_id", "t": "drop_t"}), "drops")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * drops.count()).bit_length()))
+    place = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(bits))
+    at = drops.select(place("drop_id", "drop_t").alias("at"))
+    bitmap = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("flags"))
+    placed = src.withColumn("t", F.xxhash64(text)).withColumn("at", place(doc_id, F.col("t")))
+    marked = placed.join(F.broadcast(bitmap), F.floor(F.col("at") / 64) == F.col("word"), "left")
+    marked = marked.withColumn("moves", F.coalesce(F.expr("shiftright(flags, cast(at % 64 as int)) & 1L") == 1, F.lit(False)))
     # The lines are split below the join, which keeps them one array: an expression above it would be split anew for each line.
-    whole = src.withColumns({"lines": split, "t": F.xxhash64(text)})
-    both = whole.join(drops, doc_id.eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left")
+    columns = [*src.columns, "t"]
+    quiet = marked.filter("NOT moves").select(*columns, F.lit(None).cast("array<int>").alias("drops")).withColumn("lines", split)
+    moved = marked.filter("moves").select(*columns).withColumn("lines", split)
+    moved = moved.join(drops, doc_id.eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left").drop("drop_id", "drop_t")
+    both = quiet.unionByName(moved)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     kept = F.array_join(F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("lines"), i))), "\n")
     n = F.size("lines").cast("long")

@@ -54,6 +54,7 @@ def test_line_dedup(spark, monkeypatch, hot):
     if hot:  # the way for very many shared lines
         monkeypatch.setattr("gridsift.llm.line_dedup.BROADCAST_ROWS", 0)
         monkeypatch.setattr("gridsift.llm.line_dedup.HOT_KEYS", 2)
+        monkeypatch.setattr("gridsift.llm.line_dedup.LEAST_BITS", 64)
     r = random.Random(3)
     lines = ["shared line number one here", "  Shared LINE number one here\r", "éÉ shared in another alphabet", "short", "", "\t", "the third one that is shared"]
     rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.8 else f"own line of {i} {k}" for k in range(r.randrange(8)))) for i in range(60)]
@@ -68,6 +69,9 @@ def test_line_dedup_keeps_columns(spark):
     got = {r.doc_id: tuple(r) for r in out.collect()}
     assert out.columns == ["doc_id", "text", "n_chars", "keeper"] and got[0] == (0, "own", 3, "s0") and got[5] == (5, "x" * 50 + "\nown", 54, "s5") and got[9] == (9, None, None, None)
     assert line_report(docs_of(spark, [])).count() == 0
+    long = "\n".join(f"line number {i % 900} of a very long text, long enough" for i in range(60_000))
+    got = line_report(docs_of(spark, [(i, long) for i in range(5)])).collect()
+    assert sorted((x.doc_id, x.n_lines, x.n_dropped, len(x.kept)) for x in got) == [(i, 60_000, 60_000, 0) for i in range(4)] + [(4, 60_000, 0, len(long))]
 
 
 def brute_quality(text):
