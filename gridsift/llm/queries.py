@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .mixing import BINS, FORMS, LENGTHS, SPILL, mixture
 from .ngram_join import similar_groups
 from .pii import find_pii
 from .quality import quality_report
+from .runs import find_runs
 from .token_counts import section_tokens
 from .warc import round_trip
 
@@ -189,6 +192,34 @@ FROM f
 """
 
 
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The rule of op12 by which every tenth document repeats a part of itself to its end; a null id counts as none of them."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(table(spark, sf_dir, "documents"), min_words=12, alter=looped)
+    # The greatest length; of equals the smallest start, then the smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("-(1000 * longest.length div longest.period)").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kdtree_top_k": op2_kdtree_top_k,
@@ -200,6 +231,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
