@@ -42,9 +42,9 @@ def written() -> int:
     return len(_WRITTEN)
 
 
-def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
-    """Deletes what stored() and others have written in this process since then (but the last of it, if keep_last), once results that rest on it are no longer needed. Returns how many tables that were."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep_last]
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False, only: str | None = None) -> int:
+    """Deletes what stored() and others have written in this process since then (but the last of it, if keep_last), once results that rest on it are no longer needed; or that place only. Returns how many tables that were."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep_last] if only is None else [only]
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -59,12 +59,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, keeps column pruning."""
+#: Spark's setting by which a query's shuffle files go once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, keep_shuffle: bool = True) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, keeps column pruning.
+
+    keep_shuffle=False: the shuffle files of the write are deleted at its end, and not only when the driver collects its garbage.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, before if keep_shuffle else "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what stored() has written for df, of which nothing will be read again."""
+    release(df.sparkSession, only=df.stored_at)
 
 
 def hidden(df: DataFrame) -> DataFrame:

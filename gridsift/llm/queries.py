@@ -16,6 +16,7 @@ from .ngram_join import similar_groups
 from .pii import find_pii
 from .quality import quality_report
 from .runs import find_runs
+from .substrings import drop_repeats
 from .token_counts import section_tokens
 from .warc import round_trip
 
@@ -220,6 +221,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(table(spark, sf_dir, "documents"), words=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"), "longest")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kdtree_top_k": op2_kdtree_top_k,
@@ -232,6 +238,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
