@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_bytes
+from .collocations import collocations
 from .hilbert import hilbert_shards
 from .kdtree import top_k
 from .line_dedup import line_report
@@ -193,6 +194,36 @@ FROM f
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), {_UPPER}), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents),
+found AS (
+  SELECT lang, m AS words, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 5) t(m))),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS f FROM found GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2),
+cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.words, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.words = c.k AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+       JOIN f y ON y.lang = c.lang AND y.words = c.words - c.k AND y.phrase = array_to_string(c.w[c.k + 1:c.words], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, words - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < words) GROUP BY ALL),
+stay AS (SELECT s.* FROM lowest s LEFT JOIN inner_ i USING (lang, phrase) WHERE i.around IS NULL OR 100 * i.around < 80 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM stay JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The rule of op12 by which every tenth document repeats a part of itself to its end; a null id counts as none of them."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -226,6 +257,29 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"), "longest")
 
 
+def _op13_sql(words: int, levels: int) -> str:
+    """The levels double as the operator's do: a window of twice the length is known by its halves."""
+    steps = [f"w0 AS MATERIALIZED (SELECT doc_id, i AS start, md5(array_to_string(w[i:i + {words - 1}], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - {words} + 2)) AS i FROM d))"]
+    for k in range(1, levels):
+        steps.append(f"w{k} AS MATERIALIZED (SELECT a.doc_id, a.start, md5(a.key || b.key) AS key FROM w{k - 1} a JOIN w{k - 1} b ON a.doc_id = b.doc_id AND b.start = a.start + {words << (k - 1)})")
+    common = " UNION ALL ".join(f"SELECT doc_id, {words << k} AS longest FROM w{k} WHERE key IN (SELECT key FROM w{k} GROUP BY key HAVING count(DISTINCT doc_id) > 1)" for k in range(levels))
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+{", ".join(steps)},
+first AS (SELECT key, min(doc_id) AS first FROM w0 GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, start + k AS at FROM w0 JOIN first USING (key), range({words}) t(k) WHERE first < doc_id),
+stay AS (SELECT doc_id, i AS at, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS kept FROM stay ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT follows) AS n_spans FROM (SELECT doc_id, coalesce(lag(at) OVER (PARTITION BY doc_id ORDER BY at) = at - 1, false) AS follows FROM gone) GROUP BY doc_id),
+long AS (SELECT doc_id, max(longest) AS longest FROM ({common}) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN long USING (doc_id)
+"""
+
+
+OP13_SQL = _op13_sql(13, 12)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_kdtree_top_k": op2_kdtree_top_k,
@@ -237,8 +291,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_kdtree_top_k": OP2_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL, "op11_collocations": OP11_SQL, "op13_substring_dedup": OP13_SQL}
