@@ -267,10 +267,10 @@ def _op13_sql(words: int, levels: int) -> str:
 WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 {", ".join(steps)},
 first AS (SELECT key, min(doc_id) AS first FROM w0 GROUP BY key),
-gone AS (SELECT DISTINCT doc_id, start + k AS at FROM w0 JOIN first USING (key), range({words}) t(k) WHERE first < doc_id),
-stay AS (SELECT doc_id, i AS at, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS kept FROM stay ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id),
-spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT follows) AS n_spans FROM (SELECT doc_id, coalesce(lag(at) OVER (PARTITION BY doc_id ORDER BY at) = at - 1, false) AS follows FROM gone) GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, start + k AS pos FROM w0 JOIN first USING (key), range({words}) t(k) WHERE first < doc_id),
+stay AS (SELECT doc_id, i AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM stay ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT follows) AS n_spans FROM (SELECT doc_id, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) = pos - 1, false) AS follows FROM gone) GROUP BY doc_id),
 long AS (SELECT doc_id, max(longest) AS longest FROM ({common}) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans, CAST(coalesce(longest, 0) AS BIGINT) AS longest
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN long USING (doc_id)
