@@ -30,6 +30,8 @@ class Sheet:
     widths: tuple[float, ...] = ()
     read_only: bool = False
     state: str = "virtual"
+    #: The number of rows, where reading has told it.
+    rows: int | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -78,18 +80,21 @@ class Catalog:
 
     # Loading
 
-    def load(self, path: str, kind: str | None = None, repair: bool = False) -> list[Sheet]:
+    def load(self, path: str, kind: str | None = None, repair: bool = False, widen: bool = False) -> list[Sheet]:
         """The tables of a file of any format. Delimited text and Parquet are read by Spark in parallel and stay lazy; documents and archives are parsed by executors.
 
+        widen: rows of delimited text that are wider than their header add columns; else the cells beyond it are cut, and warnings tell in how many rows.
         repair: of damaged workbooks, whatever can be read: files without a directory, sheets that are cut short, cells whose text is lost.
         """
         base = path.rstrip("/").rpartition("/")[2]
         found = kind or detect(base)
         stem = base.rpartition(".")[0] or base
         if not (archives.archive_kind(base) and not kind):
-            if found in ("csv", "tsv") and (encoding := delimited.file_encoding(self.spark, path)).lower() in delimited.CHARSETS:
-                df = delimited.read_delimited(self.spark, path, "\t" if found == "tsv" else ",", encoding=encoding)
-                return self._put(base, path, [(stem, df, ())] if df is not None else [], False)
+            if found in ("csv", "tsv"):
+                got = delimited.read_counted(self.spark, path, "\t" if found == "tsv" else ",", widen=widen)
+                if got and got.wide and not widen:
+                    self.warnings.append(f"{base}: {got.wide} rows have more cells than the header, and lose them")
+                return self._put(base, path, [(stem, got.df, (), got.rows)] if got else [], False)
             if found == "parquet":
                 df = self.spark.read.parquet(path)
                 df = df.withColumn(ROW, F.col("_metadata.row_index")).select(ROW, *[F.col(f"`{c}`") for c in df.columns])
@@ -168,7 +173,7 @@ class Catalog:
     def _put(self, file: str, path: str, items: list, read_only: bool) -> list[Sheet]:
         self.drop(file)
         self._count += 1
-        sheets = [Sheet(file, name, f"sheet_{self._count}_{k}", df, widths, read_only) for k, (name, df, widths) in enumerate(items)]
+        sheets = [Sheet(file, name, f"sheet_{self._count}_{k}", df, widths, read_only, rows=rows[0] if rows else None) for k, (name, df, widths, *rows) in enumerate(items)]
         self.files[file], self.paths[file] = sheets, path
         for s in sheets:
             self._show(s)
@@ -202,7 +207,8 @@ class Catalog:
         return self.spark.createDataFrame(rows, "file string, sheet string, table_name string, alias string, columns array<string>, read_only boolean, state string")
 
     def metadata(self, file: str) -> list[dict]:
-        return [{"sheet": s.name, "columns": s.columns, "rows": s.df.count(), "widths": list(s.widths)} for s in self.sheets(file)]
+        """What is known of a file's sheets. Rows of delimited text were counted as it was opened; those of Parquet are in its footers, and a count reads no column."""
+        return [{"sheet": s.name, "columns": s.columns, "rows": s.df.count() if s.rows is None else s.rows, "widths": list(s.widths)} for s in self.sheets(file)]
 
     def relations(self) -> dict[str, str]:
         """Two-part names, in lower case, and their views."""
@@ -216,7 +222,7 @@ class Catalog:
     def _replace(self, old: Sheet, df: DataFrame) -> Sheet:
         if old.read_only:
             raise ValueError(f"{old.file} cannot be edited")
-        new = replace(old, df=df)
+        new = replace(old, df=df, rows=None)
         self.files[old.file] = [new if s is old else s for s in self.files[old.file]]
         self._show(new)
         return new

@@ -10,6 +10,15 @@ FALLBACKS = ("gbk", "gb18030", "big5", "shift_jis", "euc-jp", "euc-kr", "windows
 _DECLARED = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 
 
+# Byte-order marks. That of UTF-32 begins as that of UTF-16 does.
+MARKS = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+
+
+def marked(data: bytes) -> str | None:
+    """The encoding that a byte-order mark of more than eight bits tells."""
+    return next((name for mark, name in MARKS.items() if data.startswith(mark)), None)
+
+
 def candidates(data: bytes) -> list[str]:
     """Encodings to try, in order, for a file that begins with data."""
     declared = _DECLARED.search(data[:4096])
@@ -32,6 +41,4 @@ def encoding_of(data: bytes) -> str:
 def decoded(data: bytes) -> str:
     if data.startswith(b"\xef\xbb\xbf"):
         data = data[3:]
-    if data.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return data.decode("utf-16", "replace")
-    return data.decode(encoding_of(data), "replace")
+    return data.decode(marked(data) or encoding_of(data), "replace")

@@ -1,6 +1,8 @@
+import csv
 import gzip
 import io
 import json
+import random
 import tarfile
 import zipfile
 
@@ -97,14 +99,15 @@ def test_row_numbers_over_many_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     spark.conf.set("spark.sql.files.openCostInBytes", "1k")
     try:
-        df = read_delimited(spark, str(tmp_path / "long.csv"), whole=False)
+        df = read_delimited(spark, str(tmp_path / "long.csv"))
         assert df.filter(f"cast(i as bigint) <> {ROW}").count() == 0 and df.count() == 20_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_delimited_rows_do_not_depend_on_size(spark, tmp_path, monkeypatch):
+def test_delimited_rows_do_not_depend_on_size(spark, tmp_path):
+    """Many small blocks, and one, give the rows of a plain parser of the whole text."""
     from gridsift.sources import delimited
 
     texts = {
@@ -114,6 +117,12 @@ def test_delimited_rows_do_not_depend_on_size(spark, tmp_path, monkeypatch):
         "blanks": "i,t\n1,a\n  \n2,b\n",
         "returns": "i,t\n1,a\rb\n2,b\n",
         "mixed": "i,t\n1,a\r\n2,b\r\n3,c\r\n",
+        "old": "i,t\r1,a\r2,\"b\rc\"\r3,d",
+        "wide": "i,t\n" + "".join(f"{k},{k}{',x' * (k % 4)}\n" for k in range(2000)),
+        "wide and quoted": "i,t\n1\n\n" + "".join(f'{k},"{k}\n"{",x" * (k % 4)}\n' for k in range(900)),
+        "long": "i,t\n" + f'1,"{"line of a long cell" + chr(10) * 2}{("word " * 9 + chr(10)) * 4000}"\n2,{"x" * 300_000}\n3,"end"',
+        "open": 'i,t\n1,a\n2,"never shut\n3,b\n' * 1,
+        "odd": "i,t,u\n" + "".join(random.Random(k).choice(['a,b,c', '"a",b', 'a,"b""', 'c"",d', '"x', 'y",z', '""', '"', ',"",', "e\rf", '"g"h,i', "", "\r"]) + random.Random(-k).choice(["\n", "\n", "\r\n"]) for k in range(6000)),
         "plain": "i,t\r\n" + "".join(f'{k},"a ""b"", c"\r\n{k},""\r\n' for k in range(3000)),
     }
     old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
@@ -124,19 +133,50 @@ def test_delimited_rows_do_not_depend_on_size(spark, tmp_path, monkeypatch):
             path = str(tmp_path / f"{name}.csv")
             with open(path, "wb") as f:
                 f.write(text.encode())
-            rows = []
-            for bound in (1 << 30, 0):
-                monkeypatch.setattr(delimited, "WHOLE_BYTES", bound)
-                df = delimited.read_delimited(spark, path)
-                rows.append(sorted(tuple(r) for r in df.collect()))
-            assert rows[0] == rows[1], name
-            assert name != "quoted" or (len(rows[1]) == 3000 and rows[1][7] == (7, "7", 'first\nsecond "7", x'))
-            assert name != "plain" or df.rdd.getNumPartitions() > 1 and delimited.lines_are_records(spark, path, ",", text[:100].encode())
+            parts = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+            width = max(map(len, parts))
+            want = [(k, *(r + [""] * (width - len(r)))) for k, r in enumerate(parts[1:])]
+            if name == "open":  # whether the file's last line has an end is not told by a scan of lines
+                want[-1] = tuple(x.rstrip("\n") if isinstance(x, str) else x for x in want[-1])
+            for size in ("4k", "64m"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                made = delimited.read_counted(spark, path, widen=True)
+                df, n = made.df, made.rows
+                got = sorted(tuple(r) for r in df.collect())
+                assert made.wide == sum(len(r) > len(parts[0]) for r in parts)
+                narrow = delimited.read_delimited(spark, path)
+                assert narrow.columns[1:] == df.columns[1 : len(parts[0]) + 1] and sorted(map(tuple, narrow.collect()))[:-1] == [r[: len(parts[0]) + 1] for r in want[:-1]]
+                if name == "open":
+                    got[-1] = tuple(x.rstrip("\n") if isinstance(x, str) else x for x in got[-1])
+                assert got == want and n in (None, len(want)), (name, size)
+                if size == "4k" and name in ("quoted", "plain", "long", "odd"):
+                    assert df.rdd.getNumPartitions() > 3
+            assert (delimited.plain_records(spark, path, ",", text[:100].encode()) is not None) == (name in ("plain", "wide")), name
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
+def test_delimited_encodings_and_long_cells(catalog, tmp_path):
+    rows = [["姓名", "注"], *[[f"张{k}", "长" * 10 + "\n北京"] for k in range(400)], ["x", "很" * 200_000]]
+    text = "\n".join(",".join(f'"{c}"' for c in r) for r in rows) + "\n"
+    for name, code in (("a", "gbk"), ("b", "utf-16"), ("c", "utf-8-sig"), ("d", "utf-32"), ("e", "gb18030")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(code))
+        (sheet,) = catalog.load(str(tmp_path / f"{name}.csv"))
+        got = sheet.df.orderBy(ROW).collect()
+        assert sheet.columns == rows[0] and [list(r)[1:] for r in got] == rows[1:] and [r[0] for r in got] == list(range(401)), code
+        assert catalog.metadata(f"{name}.csv")[0]["rows"] == 401
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in.csv", "k,v\n1,2,3\n4," + "x" * 200_000 + "\n")
+    (sheet,) = catalog.load(str(tmp_path / "z.zip"))
+    assert [len(c) for c in sheet.df.orderBy(ROW).collect()[1][1:]] == [1, 200_000, 0]
+    (tmp_path / "w.csv").write_text("k,v\n1,2,3\n4,5\n")
+    catalog.load(str(tmp_path / "w.csv"))
+    assert catalog.warnings[-1] == "w.csv: 1 rows have more cells than the header, and lose them"
+    (sheet,) = catalog.load(str(tmp_path / "w.csv"), widen=True)
+    assert sorted(map(tuple, sheet.df.collect())) == [(0, "1", "2", "3"), (1, "4", "5", "")]
+
+
 def test_encoding_of_late_bytes(catalog, tmp_path):
     plain = "k,v\n" + "".join(f"{k},plain text\n" for k in range(6000))
     for name, text in {"gbk": "北京数据", "shift_jis": "データの表ｱｲｳ", "windows-1252": "naïve “quote” €", "utf-8": "é北"}.items():
