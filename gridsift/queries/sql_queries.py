@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.inequality import inequality_aggregate, inequality_join, interval_join
 from ..operators.joins import asof_join, positional_join, range_join
 from ..plans.gate import run_sql
 from .tables import numbered, table, views
@@ -128,6 +129,37 @@ def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(sizes, bands, point="p_retailprice", start="lo", end="hi", width=7.0).select("p_partkey", "s_suppkey")
 
 
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases, open for value hours, and errors of the same or another user, open for an hour."""
+    events = table(spark, sf_dir, "events")
+    span = lambda kind, names, hours: events.filter(F.col("event_type") == kind).select(F.col("event_id").alias(names[0]), F.col("user_id").alias(names[1]), F.col("ts").alias(names[2]), F.expr(f"ts + make_interval(0, 0, 0, 0, {hours})").alias(names[3]))
+    a = span("purchase", ("buy_id", "buyer", "a_from", "a_to"), "CAST(floor(value) AS INT)")
+    b = span("error", ("error_id", "user_id", "b_from", "b_to"), "1")
+    return interval_join(a, b, left_on=("a_from", "a_to"), right_on=("b_from", "b_to")).select("buy_id", "error_id", (F.col("buyer") == F.col("user_id")).alias("same"))
+
+
+def _self_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with each other, by user: those of two days that overlap."""
+    events = table(spark, sf_dir, "events")
+    side = lambda x: events.select(F.col("event_id").alias(f"{x}_id"), F.col("user_id").alias(f"{x}_user"), F.col("ts").alias(f"{x}_from"), F.expr("ts + INTERVAL 2 DAYS").alias(f"{x}_to"))
+    met = interval_join(side("a"), side("b"), left_on=("a_from", "a_to"), right_on=("b_from", "b_to"), by=[("a_user", "b_user")])
+    return met.groupBy("a_id").agg(F.count("*").alias("n"), F.max("b_id").alias("last"))
+
+
+def _inequality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, and the lines of any order that cost more than the whole order."""
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), table(spark, sf_dir, "lineitem")
+    return inequality_aggregate(orders, lines, on=("o_totalprice", "<", "l_extendedprice"), aggs={"n": ("count", "*"), "quantity": ("sum", "l_quantity"), "first_day": ("min", "l_shipdate"), "discount": ("max", "l_discount")}).drop("o_totalprice")
+
+
+def _inequality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by two conditions of order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", (F.col("o_totalprice") + 90000).alias("price"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    met = inequality_join(orders, lines, on=[("price", "<", "l_extendedprice"), ("o_orderdate", ">=", "l_shipdate")])
+    return met.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
 def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the estimates are within a tenth of the exact numbers (their standard error is a twentieth)."""
     return _sql("SELECT o_orderstatus, abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY o_orderstatus")(spark, sf_dir)
@@ -154,6 +186,10 @@ QUERIES = {name: _sql(pair if isinstance(pair, str) else pair[0]) for name, pair
     "join_asof": _asof,
     "join_positional": _positional,
     "join_range": _range,
+    "join_interval": _interval,
+    "join_interval_self": _self_interval,
+    "join_inequality": _inequality,
+    "join_inequality_pairs": _inequality_pairs,
     "agg_approx_distinct": _approx,
     "using_sample": _sample,
     "limit_injection": _limited,
@@ -162,6 +198,10 @@ ORACLE_SQL = {name: pair if isinstance(pair, str) else pair[1] for name, pair in
     "join_asof": "SELECT b.event_id, v.event_id AS seen_id FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts",
     "join_positional": "SELECT n_name, r_name FROM (SELECT * FROM nation ORDER BY n_nationkey) POSITIONAL JOIN (SELECT * FROM region ORDER BY r_regionkey)",
     "join_range": "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_suppkey * 17 + 900 AND p_retailprice < s_suppkey * 17 + 930 + s_suppkey % 5 * 100",
+    "join_interval": "WITH a AS (SELECT event_id AS buy_id, user_id AS buyer, ts AS s, ts + to_hours(CAST(floor(value) AS INTEGER)) AS e FROM events WHERE event_type = 'purchase'), b AS (SELECT event_id AS error_id, user_id, ts AS s, ts + INTERVAL 1 HOUR AS e FROM events WHERE event_type = 'error') SELECT buy_id, error_id, buyer = user_id AS same FROM a JOIN b ON a.s < b.e AND b.s < a.e AND a.s < a.e",
+    "join_interval_self": "SELECT a.event_id AS a_id, count(*) AS n, max(b.event_id) AS last FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts < b.ts + INTERVAL 2 DAY AND b.ts < a.ts + INTERVAL 2 DAY GROUP BY a.event_id",
+    "join_inequality": "SELECT o_orderkey, count(l_orderkey) AS n, sum(l_quantity) AS quantity, min(l_shipdate) AS first_day, max(l_discount) AS discount FROM orders LEFT JOIN lineitem ON o_totalprice < l_extendedprice GROUP BY o_orderkey",
+    "join_inequality_pairs": "SELECT o_orderkey, o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_totalprice + 90000 < l_extendedprice AND o_orderdate >= l_shipdate GROUP BY o_orderkey, o_orderpriority",
     "agg_approx_distinct": "SELECT o_orderstatus, true AS near FROM orders GROUP BY o_orderstatus",
     "using_sample": "SELECT CAST(40 AS BIGINT) AS rows, CAST(40 AS BIGINT) AS keys, true AS near",
     "limit_injection": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100",

@@ -84,6 +84,19 @@ def test_asof_join_of_hot_and_null_keys(spark, monkeypatch):
         assert sorted((x.id, x.v) for x in joins.asof_join(a, b, by=["k"], left_on="t", right_on="u", take=["v"]).collect()) == want
 
 
+def test_asof_join_of_crowded_times(spark, monkeypatch):
+    """Nearly all rows of a key at one time, and bursts: parts are quantiles, not equal widths."""
+    r = random.Random(4)
+    for times in ([5] * 190 + [1, 4, 6, 9, 1000], [r.choice([0, 1, 2, 10**9]) for _ in range(150)], [7] * 100):
+        left = [(i, "k", t) for i, t in enumerate(times)]
+        right = [("k", r.choice(times) - r.choice([0, 0, 1]), i) for i in range(90)]
+        a, b = spark.createDataFrame(left, "id int, k string, t long"), spark.createDataFrame(right, "k string, u long, v int")
+        want = sorted((i, max(((u, v) for _, u, v in right if u <= t), default=(0, None))[1]) for i, _, t in left)
+        for rows in (10**6, 20):
+            monkeypatch.setattr(joins, "HOT_ROWS", rows)
+            assert sorted((x.id, x.v) for x in joins.asof_join(a, b, by=["k"], left_on="t", right_on="u", take=["v"]).collect()) == want
+
+
 def test_range_join_of_long_ranges(spark):
     points = spark.createDataFrame([(i, float(i * 37 % 1000)) for i in range(200)], "p int, x double")
     ranges = spark.createDataFrame([(1, 0.0, 1e9), (2, 5.0, 6.0), (3, 10.0, 10.0), (4, None, 5.0), (5, 100.0, 333.3), (6, -50.0, 3.0)], "r int, lo double, hi double")
