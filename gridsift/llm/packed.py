@@ -37,4 +37,19 @@ def cut(data: np.ndarray, edges: np.ndarray) -> pa.Array:
 
 def joined(values: pa.Array | pa.ChunkedArray, dtype: str) -> np.ndarray:
     """The other way: all binary values as one array."""
-    return np.frombuffer(b"".join(values.to_pylist()), dtype)
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    values = values.cast(pa.large_binary())
+    edges = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    if not len(edges) or edges[0] == edges[-1]:
+        return np.zeros(0, dtype)
+    return np.frombuffer(values.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(dtype)
+
+
+def byte_planes(x: np.ndarray) -> bytes:
+    """As planes(), for 64 bits."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_byte_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()

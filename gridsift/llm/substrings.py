@@ -8,8 +8,8 @@ are dealt and judged in the same way, and so on until none survive. A text is re
 The first level tells what is cut; the others how long the common passages are. Windows are 64-bit hashes of sequences of 64-bit word
 hashes: two different ones of n windows are taken for one another with a chance of about n**2 / 2**65.
 
-A bucket holds BUCKET_WINDOWS windows or so; one that is common in all documents has an entry for each of its occurrences, which are as
-many as its documents have words at most, in 9 or 10 bytes. What a task holds beside it is a unit of UNIT_WINDOWS windows, and one text.
+A bucket holds BUCKET_WINDOWS windows or so, in 10 to 20 bytes each, and one that is common in all documents as often as it is there. What a task
+holds beside it is a unit of MOST_UNIT windows at most, and one text.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, stored, utf8
-from .packed import cut, dealt, from_planes, joined, planes
+from .packed import byte_planes, cut, dealt, from_byte_planes, from_planes, joined, planes
 from .wordhash import WordHashes, mixed, windows
 
-BUCKET_WINDOWS = 3_000_000
-UNIT_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 2_000_000
+#: A unit has WINDOWS_A_BUCKET windows for each bucket on average, within these bounds: what is sent to a bucket at once then keeps some size.
+LEAST_UNIT, MOST_UNIT, WINDOWS_A_BUCKET = 700_000, 2_500_000, 400
 #: Bytes of text for a word, on average; it only steers the number of buckets.
 WORD_BYTES = 6
 LEAST_BUCKETS = 24
@@ -40,7 +41,7 @@ class _Unit:
     """Windows of some documents, until there are enough of them to be dealt."""
 
     def __init__(self, buckets: int):
-        self.buckets = buckets
+        self.buckets, self.most = buckets, min(MOST_UNIT, max(LEAST_UNIT, WINDOWS_A_BUCKET * buckets))
         self._clear()
 
     def _clear(self) -> None:
@@ -48,11 +49,11 @@ class _Unit:
 
     def add(self, ids: np.ndarray, tags: np.ndarray, docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Windows by document (an index into ids and tags) and start, ascending."""
-        for x, to in ((ids, self.ids), (tags, self.tags), (docs + self.n, self.docs), (starts, self.starts), (hashes, self.hashes)):
+        for x, to in ((ids, self.ids), (tags, self.tags), ((docs + self.n).astype(np.int32), self.docs), (starts.astype(np.uint32), self.starts), (hashes, self.hashes)):
             to.append(x)
         self.n += len(ids)
         self.size += len(hashes)
-        if self.size >= UNIT_WINDOWS:
+        if self.size >= self.most:
             yield from self.rows()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -66,7 +67,7 @@ class _Unit:
             step = np.diff(start, prepend=0)
             step[begin] = start[begin]
             counts = np.diff(np.concatenate([begin, [len(at)]]))
-            values = [ids[doc[begin]].tobytes(), tags[doc[begin]].tobytes(), planes(counts), planes(step), hashes[at].tobytes()]
+            values = [byte_planes(ids[doc[begin]]), planes(tags[doc[begin]]), planes(counts), planes(step), hashes[at].tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=["bucket", "ids", "tags", "counts", "starts", "hashes"])
 
 
@@ -136,28 +137,32 @@ def _bounded(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBa
 
 def _judged(table: pa.Table) -> pa.Table:
     """Of a bucket's windows those that start in two documents or more: rows of _FOUND. The lowest bit of a start tells that a smaller id has the window."""
-    ids, tags = joined(table.column("ids"), "<i8"), joined(table.column("tags"), "<i8")
-    counts = np.concatenate([from_planes(x) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    steps = np.concatenate([from_planes(x) for x in table.column("starts").to_pylist()]).astype(np.int64)
-    hashes = joined(table.column("hashes"), "<u8")
+    each = lambda name, back: np.concatenate([back(x.as_py()) for x in table.column(name)])
+    ids, tags, counts = each("ids", from_byte_planes), each("tags", from_planes), each("counts", from_planes).astype(np.int64)
+    starts = each("starts", from_planes).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    total = np.cumsum(steps)
-    starts = total - np.repeat(total[begin] - steps[begin], counts)
-    doc = np.repeat(np.arange(len(ids), dtype=np.int64), counts)
+    firsts = starts[begin]
+    np.cumsum(starts, out=starts)
+    starts -= np.repeat(starts[begin] - firsts, counts)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    hashes = joined(table.column("hashes"), "<u8")
     order = np.argsort(hashes)
-    same, own = hashes[order], ids[doc[order]]
+    same = hashes[order]
     group = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-    size = np.diff(np.concatenate([group, [len(same)]]))
-    least, most = np.minimum.reduceat(own, group), np.maximum.reduceat(own, group)
-    lives = np.zeros(len(same), bool)
-    lives[order] = np.repeat(least != most, size)
-    later = np.zeros(len(same), bool)
+    del same
+    size = np.diff(np.concatenate([group, [len(order)]]))
+    own = ids[doc[order]]
+    least = np.minimum.reduceat(own, group)
+    several = least != np.maximum.reduceat(own, group)
+    lives, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    lives[order] = np.repeat(several, size)
     later[order] = own > np.repeat(least, size)
+    del own, order
     at = np.flatnonzero(lives)
     doc, flagged, hashes = doc[at], (starts[at] << 1 | later[at]).astype("<u4"), hashes[at]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     edges = np.concatenate([first, [len(doc)]]).astype(np.int64)
-    return pa.table([pa.array(ids[doc[first]]), pa.array(tags[doc[first]]), pa.array(np.diff(edges).astype(np.int32)), cut(flagged, edges), cut(hashes, edges)], names=["id", "tag", "n", "starts", "hashes"])
+    return pa.table([pa.array(ids[doc[first]]), pa.array(tags[doc[first]].astype(np.int64)), pa.array(np.diff(edges).astype(np.int32)), cut(flagged, edges), cut(hashes, edges)], names=["id", "tag", "n", "starts", "hashes"])
 
 
 def _covered(words: int):
@@ -248,7 +253,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     words. Rows that share an id don't count against each other; repeated rows each give a row with the same result. Texts of any length are
     whole, and of fewer words than a window lose nothing. An empty table gives an empty result. Other columns are not read.
     """
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col)).toDF("id", "text").withColumn("tag", F.xxhash64("text"))
+    src = docs.select(F.col(id_col).cast("long"), F.col(text_col)).toDF("id", "text").withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 32)))
     passages = repeated_passages(src.select("id", "tag", "text"), words)
     both = src.join(passages, ["id", "tag"], "left").select("id", "text", "starts", "ends", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
     out = both.mapInArrow(_without, "id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>, longest long")
