@@ -1,7 +1,10 @@
-"""Read-only SQL: statements are parsed by Spark, and the parsed plan must hold nothing that changes anything."""
+"""Read-only SQL: statements are parsed by Spark, and the parsed plan must hold nothing that changes anything. The analysed plan, in which
+all names have been looked up, must rest on registered views and values alone, and call no code."""
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 
 from pyspark.errors import AnalysisException
@@ -22,6 +25,11 @@ LOOKING = {"DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "Descri
 #: Plan nodes of plain queries, as Spark's parser names them. A plan of these alone needs no closer look.
 QUERYING = {"Aggregate", "CTE", "Distinct", "Except", "Filter", "GlobalLimit", "Intersect", "Join", "LocalLimit", "Offset", "OneRowRelation", "Project", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "WithWindowDefinition"}
 
+# Leaves of analysed plans that read nothing: values, ranges, parts of the statement itself, what a looking command has found.
+LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef", "CommandResult"}
+#: Pivoted columns, at most.
+MOST_PIVOTED = 10_000
+
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
 
 
@@ -63,6 +71,70 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
             nodes += [x for x in found if is_plan(x)]
 
 
+def check_plan(out: DataFrame, sql: str) -> None:
+    """Raises ValueError unless the analysed plan of out, which sql has given, reads registered views alone and calls no code by reflection.
+
+    However a relation is named, it is a leaf, and one that no view of the session holds is refused. Reflection needs the name of such a function in the
+    statement, or IDENTIFIER(), which makes names of text: only then all expressions are looked through, as whole trees.
+    """
+    plan = out._jdf.queryExecution().analyzed()
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        name, children, inner = node.getClass().getSimpleName(), node.children(), node.innerChildren()
+        if name == "View":
+            if not node.isTempView():
+                raise ValueError("only the session's own tables can be read")
+            continue
+        size = children.size()
+        if not size and name not in LEAVES | LOOKING:
+            raise ValueError(f"only registered tables can be read, not what {name} names")
+        nodes += [children.apply(i) for i in range(size)] + [inner.apply(i) for i in range(inner.size())]
+    if re.search(r"(?i)identifier|reflect|java", sql):
+        todo = [json.loads(plan.toJSON())]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict):
+                if "Reflect" in str(x.get("class", "")).rpartition(".")[2]:
+                    raise ValueError("functions that call code are not allowed")
+                todo += x.values()
+            elif isinstance(x, list):
+                todo += x
+
+
+def _pivot(df: DataFrame, on: str, using: str, by: list[str] | None) -> DataFrame:
+    """PIVOT: a column for each combination of the values of all of `on` (or of those in its IN lists), named by these values and _; without USING counts; without GROUP BY all other columns."""
+    # An item: its text, and the values that it may be limited to.
+    keys: list[tuple[str, list[str] | None]] = []
+    for item in _items(on):
+        parts = tokens(item)
+        at = next((i for i, t in enumerate(parts) if t.word() == "IN" and t.depth == 0), len(parts))
+        keys.append((joined(parts[:at]).strip(), _items(_inside(joined(parts[at + 1 :]).strip())) if at < len(parts) else None))
+    aggs = [rewritten(a) for a in _items(using or "count(*)")]
+    columns = [F.expr(rewritten(k)).cast("string") for k, _ in keys]
+    if by is None:
+        used = {t.text.strip('`"').lower() for t in tokens(f"{on} {using}") if t.kind in ("word", "quoted")}
+        by = [c for c in df.columns if c.lower() not in used]
+    lists = []
+    for column, (_, values) in zip(columns, keys):
+        if values is None:
+            rows = df.select(column.alias("v")).filter("v IS NOT NULL").distinct().limit(MOST_PIVOTED + 1).collect()
+            lists.append(sorted(r.v for r in rows))
+        else:
+            found = df.sparkSession.range(1).select(*[F.expr(rewritten(v)).cast("string") for v in values]).first()
+            lists.append([v for v in found if v is not None])
+    names = ["_".join(x) for x in itertools.product(*lists)]
+    if len(names) > MOST_PIVOTED:
+        raise ValueError(f"PIVOT would make {len(names)} columns; {MOST_PIVOTED} are allowed")
+    # Null values have no column. Values are put together with a sign that joins no two lists of values to the same text.
+    key = F.when(F.greatest(*[F.lit(0), *[c.isNull().cast("int") for c in columns]]) == 0, F.concat_ws("\x00", *columns))
+    out = df.withColumn("_pivoted", key).groupBy(*[F.col(f"`{c}`") for c in by]).pivot("_pivoted", ["\x00".join(x) for x in itertools.product(*lists)]).agg(*[F.expr(a) for a in aggs])
+    made = out.columns[len(by) :]
+    plain = [(c.replace("\x00", "_"), aggs[i % len(aggs)]) for i, c in enumerate(made)]
+    out = out.toDF(*by, *[c for c, _ in plain])
+    return out.fillna(0, [c for c, a in plain if re.match(r"(?i)count\s*\(", a)])
+
+
 def _clauses(text: str, words: tuple[str, ...]) -> dict[str, str]:
     """The text after each of the words, where they stand outside of brackets and in this order; "" is what comes before the first."""
     out, now, begin, parts = {}, "", 0, tokens(text)
@@ -108,11 +180,13 @@ def run_sql(spark: SparkSession, sql: str, limit: int | None = None, relations:
         out = summarize(table(after))
     elif first.upper() == "PIVOT":
         parts = _clauses(after, ("ON", "USING", "GROUP"))
-        if not parts.get("ON") or not parts.get("USING"):
-            raise ValueError("PIVOT needs ON and USING")
+        if not parts.get("ON"):
+            raise ValueError("PIVOT needs ON")
         by = re.sub(r"(?i)^BY\s+", "", parts.get("GROUP", ""))
-        aggs = [F.expr(rewritten(a)) for a in _items(parts["USING"])]
-        out = table(parts[""]).groupBy(*bare(by) if by else []).pivot(bare(parts["ON"])[0]).agg(*aggs)
+        try:
+            out = _pivot(table(parts[""]), parts["ON"], parts.get("USING", ""), bare(by) if by else None)
+        except AnalysisException as e:
+            raise ValueError(str(e).splitlines()[0]) from e
     elif first.upper() == "UNPIVOT":
         parts = _clauses(after, ("ON", "INTO", "NAME", "VALUE"))
         if not all(parts.get(w) for w in ("ON", "NAME", "VALUE")):
@@ -127,4 +201,5 @@ def run_sql(spark: SparkSession, sql: str, limit: int | None = None, relations:
             out = spark.sql(text)
         except AnalysisException as e:
             raise ValueError(str(e).splitlines()[0]) from e
+    check_plan(out, sql)
     return out if limit is None else out.limit(limit)

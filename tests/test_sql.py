@@ -30,7 +30,9 @@ def test_rewrites():
 def test_statements(spark):
     spark.range(6).selectExpr("id", "id % 2 AS k").createOrReplaceTempView("six")
     assert run_sql(spark, "SUMMARIZE six").count() == 2
-    assert sorted(map(tuple, run_sql(spark, "PIVOT six ON k USING count(*)").collect())) == [(3, 3)]
+    assert sorted(map(tuple, run_sql(spark, "PIVOT (SELECT k FROM six) ON k USING count(*)").collect())) == [(3, 3)]
+    # Without GROUP BY, all columns that the statement does not use make the groups; without USING, rows are counted.
+    assert sorted(map(tuple, run_sql(spark, "PIVOT six ON k").collect())) == [(i, 1 - i % 2, i % 2) for i in range(6)]
     assert run_sql(spark, "UNPIVOT six ON id, k INTO NAME n VALUE v").count() == 12
     assert [r.id for r in run_sql(spark, "SELECT * FROM six QUALIFY row_number() OVER (PARTITION BY k ORDER BY id DESC) = 1 ORDER BY id").collect()] == [4, 5]
     assert run_sql(spark, "SELECT * FROM six ORDER BY id LIMIT 5", 3).count() == 3
@@ -46,13 +48,53 @@ def test_the_gate_lets_no_code_or_path_through(spark):
     assert run_sql(spark, "SELECT 'reflect(1)' AS a, id FROM t3 -- java_method(").count() == 3
 
 
+def test_the_gate_looks_at_what_names_mean(spark, tmp_path):
+    """Names made of text, classes of formats, paths, code in the expressions of PIVOT, and tables that are no views."""
+    spark.range(3).selectExpr("id", "id % 2 AS k", "'x' AS reflected").createOrReplaceTempView("t4")
+    (tmp_path / "secret").write_text("s")
+    path = f"{tmp_path}/secret"
+    formats = "org.apache.spark.sql.execution.datasources"
+    for sql in (
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'setProperty', 'jx2', 'y')",
+        "SELECT id FROM t4 WHERE IDENTIFIER('ref' || 'lect')('java.lang.System', 'setProperty', 'jx2', 'y') = 'z'",
+        f"SELECT * FROM IDENTIFIER('text.`{path}`')",
+        f"SELECT * FROM `{formats}.text.TextFileFormat`.`{path}`",
+        f"SELECT * FROM `{formats}.v2.text.TextDataSourceV2`.`{path}`",
+        f"SELECT * FROM t4 WHERE EXISTS (SELECT 1 FROM `{formats}.text.TextFileFormat`.`{path}`)",
+        f"WITH a AS (SELECT * FROM IDENTIFIER('text.`{path}`')) SELECT count(*) FROM a, t4",
+        "PIVOT t4 ON k USING first(java_method('java.lang.System', 'setProperty', 'jx2', 'y'))",
+        "PIVOT t4 ON k USING first(IDENTIFIER('java_method')('java.lang.System', 'setProperty', 'jx2', 'y')) GROUP BY id",
+        f"PIVOT IDENTIFIER('text.`{path}`') ON value USING count(*)",
+        f"SUMMARIZE IDENTIFIER('text.`{path}`')",
+    ):
+        with pytest.raises(ValueError):
+            run_sql(spark, sql).collect()
+    assert spark._jvm.java.lang.System.getProperty("jx2") is None
+    spark.sql("CREATE TABLE IF NOT EXISTS stored_t4 USING parquet AS SELECT 1 AS a")
+    with pytest.raises(ValueError):
+        run_sql(spark, "SELECT * FROM stored_t4")
+    spark.sql("DROP TABLE stored_t4")
+    assert run_sql(spark, "SELECT reflected, IDENTIFIER('id') AS i FROM IDENTIFIER('t4') JOIN range(2) r USING (id)").count() == 2
+    assert run_sql(spark, "WITH RECURSIVE n(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM n WHERE x < 5) SELECT x FROM n").count() == 5
+    assert run_sql(spark, "SHOW COLUMNS IN t4").count() == 3 and run_sql(spark, "DESCRIBE t4").count() == 3
+
+
+def test_pivot_on_several_columns(spark):
+    spark.createDataFrame([(1, "a", 1, 5), (1, "a", 2, 6), (2, "b", 1, 7), (2, None, 1, 8), (2, "b", None, 9)], "g int, s string, n int, v int").createOrReplaceTempView("p4")
+    got = run_sql(spark, "PIVOT p4 ON s, n USING sum(v) GROUP BY g")
+    assert got.columns == ["g", "a_1", "a_2", "b_1", "b_2"] and sorted(map(tuple, got.collect())) == [(1, 5, 6, None, None), (2, None, None, 7, None)]
+    got = run_sql(spark, "PIVOT p4 ON s IN ('b', 'zz'), n IN (1) USING count(*) AS c, max(v) AS m GROUP BY g")
+    assert got.columns == ["g", "b_1_c", "b_1_m", "zz_1_c", "zz_1_m"] and sorted(map(tuple, got.collect())) == [(1, 0, None, 0, None), (2, 1, 7, 0, None)]
+    assert run_sql(spark, "PIVOT p4 ON n + 1 USING max(v) GROUP BY g").columns == ["g", "2", "3"]
+
+
 def test_statements_with_brackets(spark):
     spark.createDataFrame([(1, 2, 5), (2, 3, 6), (3, 4, 7)], "a int, b int, c int").createOrReplaceTempView("u3")
     got = run_sql(spark, "UNPIVOT (SELECT a, b FROM u3 WHERE b IN (2, 4)) ON b INTO NAME n VALUE v").collect()
     assert sorted(map(tuple, got)) == [(1, "b", 2), (3, "b", 4)]
     assert {r.column_name: r.n for r in run_sql(spark, "SUMMARIZE SELECT a FROM u3 WHERE b IN (2, 4)").collect()} == {"a": 2}
     assert run_sql(spark, "PIVOT (SELECT a, b FROM u3 WHERE (b) IN (2, (4))) ON b USING max(a), count(*) GROUP BY a").count() == 2
-    for bad in ("PIVOT u3 ON b", "UNPIVOT u3 ON b", "SELECT COLUMNS('zz') FROM u3", "SELECT * FROM u3 JOIN u3 x USING (a) USING SAMPLE 2"):
+    for bad in ("PIVOT u3 USING max(a)", "UNPIVOT u3 ON b", "SELECT COLUMNS('zz') FROM u3", "SELECT * FROM u3 JOIN u3 x USING (a) USING SAMPLE 2"):
         with pytest.raises(ValueError):
             run_sql(spark, bad)
 
