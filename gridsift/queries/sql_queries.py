@@ -64,8 +64,9 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "win_range_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM part",
     "win_ignore_nulls": ("SELECT event_id, last_value(CASE WHEN value > 20 THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events", "SELECT event_id, last_value(CASE WHEN value > 20 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events"),
     "win_qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
-    "win_groups_frame": ("WITH d AS (SELECT p_partkey, p_brand, p_size, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM part) SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM d", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part"),
-    "win_exclude_current": ("SELECT p_partkey, (sum(p_size) OVER (PARTITION BY p_brand)) - p_size AS s FROM part", "SELECT p_partkey, CAST(coalesce(sum(p_size) OVER (PARTITION BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 0) AS BIGINT) AS s FROM part"),
+    "win_groups_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part",
+    "win_exclude_current": "SELECT p_partkey, CAST(coalesce(sum(p_size) OVER (PARTITION BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 0) AS BIGINT) AS s FROM part",
+    "win_exclude_group": "SELECT x.p_partkey, max(x.p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP) AS m, count(*) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE TIES) AS n, min(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS k FROM part x WHERE p_size > 3",
     "sort_nulls": "SELECT c_custkey, CASE WHEN c_nationkey > 5 THEN c_nationkey END AS k FROM customer ORDER BY k NULLS LAST, c_custkey LIMIT 40",
     "order_by_all": "SELECT n_regionkey, n_name FROM nation ORDER BY ALL",
     "topk": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100",

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from gridsift.plans.dialect import rewritten, strftime_pattern
@@ -88,6 +90,32 @@ def test_pivot_on_several_columns(spark):
     assert run_sql(spark, "PIVOT p4 ON n + 1 USING max(v) GROUP BY g").columns == ["g", "2", "3"]
 
 
+def test_frames_against_another_engine(spark):
+    """All units, bounds and exclusions, for all aggregates that are known, over ties and nulls."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(6)
+    rows = [(i, r.choice("ab"), r.choice([None, 1, 2, 2, 3, 5]), r.choice([None, r.randrange(50), r.randrange(50)])) for i in range(60)]
+    spark.createDataFrame(rows, "i int, p string, o int, v int").createOrReplaceTempView("f4")
+    con = duckdb.connect()
+    con.execute("SET default_null_order = 'nulls_first'")
+    con.execute("CREATE TABLE f4 (i INT, p VARCHAR, o INT, v INT)")
+    con.executemany("INSERT INTO f4 VALUES (?, ?, ?, ?)", rows)
+    bounds = ["BETWEEN 2 PRECEDING AND 1 FOLLOWING", "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING", "BETWEEN 3 PRECEDING AND 1 PRECEDING", "BETWEEN 1 FOLLOWING AND 2 FOLLOWING", "2 PRECEDING"]
+    frames = [f"GROUPS {b}{x}" for b in bounds for x in ("", " EXCLUDE NO OTHERS", " EXCLUDE CURRENT ROW", " EXCLUDE GROUP", " EXCLUDE TIES")]
+    frames += [f"RANGE {b}{x}" for b in bounds[1:3] for x in (" EXCLUDE CURRENT ROW", " EXCLUDE GROUP", " EXCLUDE TIES")]
+    items = [f"{fn} OVER (PARTITION BY p ORDER BY o {f}) AS c{k}" for k, (f, fn) in enumerate((f, fn) for f in frames for fn in ("count(*)", "sum(v)", "min(v)", "max(v)", "count(v)", "avg(v)"))]
+    items += [f"{fn} OVER (PARTITION BY p ORDER BY o, i ROWS {b} EXCLUDE CURRENT ROW) AS r{k}" for k, (b, fn) in enumerate((b, fn) for b in bounds for fn in ("count(*)", "sum(v)", "max(v)"))]
+    for n in range(0, len(items), 18):
+        sql = f"SELECT i, {', '.join(items[n : n + 18])} FROM f4 t WHERE i < 57 ORDER BY i"
+        plain = lambda x: [tuple(None if v is None else round(float(v), 6) for v in row) for row in x]
+        assert plain(run_sql(spark, sql).collect()) == plain(con.execute(sql).fetchall()), sql
+    assert run_sql(spark, "SELECT *, sum(v) OVER (ORDER BY o GROUPS 1 PRECEDING) AS s FROM f4").columns == ["i", "p", "o", "v", "s"]
+    assert run_sql(spark, "SELECT * FROM (SELECT t.i, max(v) OVER (ORDER BY o GROUPS CURRENT ROW) AS s FROM f4 AS t) WHERE s > 3").count() > 3
+    for bad in ("SELECT sum(v) OVER (GROUPS 1 PRECEDING) FROM f4", "SELECT first(v) OVER (ORDER BY o GROUPS 1 PRECEDING) FROM f4", "SELECT sum(v) OVER (ORDER BY o RANGE BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES) FROM f4", "SELECT sum(a.v) OVER (ORDER BY a.o GROUPS 1 PRECEDING) FROM f4 a JOIN f4 b USING (i)"):
+        with pytest.raises(ValueError):
+            run_sql(spark, bad)
+
+
 def test_statements_with_brackets(spark):
     spark.createDataFrame([(1, 2, 5), (2, 3, 6), (3, 4, 7)], "a int, b int, c int").createOrReplaceTempView("u3")
     got = run_sql(spark, "UNPIVOT (SELECT a, b FROM u3 WHERE b IN (2, 4)) ON b INTO NAME n VALUE v").collect()
