@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profile import summarize
+from .asof import compiled
 from .dialect import rewritten, with_columns
 from .tokens import joined, solid, tokens
 
@@ -165,7 +166,7 @@ def _items(text: str) -> list[str]:
 def run_sql(spark: SparkSession, sql: str, limit: int | None = None, relations: dict[str, str] | None = None) -> DataFrame:
     """The result of one read-only statement, with its own types; limit as DataFrame.limit, never by changing the text.
 
-    Besides Spark's SQL: SUMMARIZE, the PIVOT and UNPIVOT statements, QUALIFY, FROM first, USING SAMPLE, COLUMNS('pattern'), and what dialect.rewritten() knows.
+    Besides Spark's SQL: SUMMARIZE, the PIVOT and UNPIVOT statements, QUALIFY, FROM first, USING SAMPLE, COLUMNS('pattern'), ASOF and POSITIONAL joins, and what dialect.rewritten() knows.
     """
     text = sql.strip().rstrip(";").strip()
     first, _, after = text.partition(" ") if not re.match(r"\w+\s", text) else (re.match(r"\w+", text)[0], " ", re.sub(r"^\w+\s+", "", text))
@@ -194,6 +195,7 @@ def run_sql(spark: SparkSession, sql: str, limit: int | None = None, relations:
         df, on = table(parts[""]), bare(parts["ON"])
         out = df.unpivot([c for c in df.columns if c not in on], on, parts["NAME"], parts["VALUE"])
     else:
+        text = compiled(spark, text, lambda query: run_sql(spark, query, relations=relations))
         text = rewritten(text, relations)
         check_read_only(spark, text)
         text = with_columns(text, lambda source: spark.sql(f"SELECT * FROM {source}").columns)

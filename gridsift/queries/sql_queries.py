@@ -32,6 +32,9 @@ PAIRS: dict[str, str | tuple[str, str]] = {
     "subquery_not_in": "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     "subquery_scalar": "SELECT p_partkey FROM part WHERE p_size > (SELECT avg(p_size) FROM part)",
     "subquery_lateral": "SELECT n_nationkey, x.m FROM nation, LATERAL (SELECT max(s_suppkey) AS m FROM supplier WHERE s_nationkey = n_nationkey) x",
+    "join_asof_text": "SELECT b.event_id, v.event_id AS seen_id, v.value FROM events b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts > v.ts WHERE b.event_type = 'purchase'",
+    "join_asof_next": "SELECT a.event_id, n.event_id AS next_id FROM (SELECT * FROM events WHERE event_type = 'click') a ASOF JOIN (SELECT event_id, user_id AS who, ts AS at_ts FROM events WHERE event_type = 'purchase') n ON who = a.user_id AND at_ts >= a.ts",
+    "join_positional_text": "SELECT n_name, r_name FROM (SELECT * FROM nation ORDER BY n_nationkey) n POSITIONAL JOIN (SELECT r_name FROM region ORDER BY r_regionkey DESC) r",
     "agg_group": f"SELECT l_returnflag, l_linestatus, count(*) AS n, {MONEY.format('l_extendedprice')} AS price, round(avg(l_quantity), 4) AS avg_quantity FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_distinct": "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus",
     "agg_min_max": "SELECT event_type, min(ts) AS first_ts, max(value) AS max_value FROM events GROUP BY event_type",

@@ -90,6 +90,35 @@ def test_pivot_on_several_columns(spark):
     assert run_sql(spark, "PIVOT p4 ON n + 1 USING max(v) GROUP BY g").columns == ["g", "2", "3"]
 
 
+def test_asof_and_positional_joins_in_text(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(8)
+    left = [(i, r.choice(["x", "y", None]), r.randrange(20)) for i in range(40)]
+    right = [(100 + i, r.choice(["x", "y", None]), t) for i, t in enumerate(r.sample(range(20), 15))]
+    con = duckdb.connect()
+    for name, rows in (("la", left), ("ra", right)):
+        spark.createDataFrame(rows, f"{name}_id int, k string, t int").createOrReplaceTempView(name)
+        con.execute(f"CREATE TABLE {name} ({name}_id INT, k VARCHAR, t INT)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?, ?)", rows)
+    texts = [f"SELECT la_id, ra_id, ra.t FROM la ASOF {kind} JOIN ra ON la.k = ra.k AND la.t {op} ra.t" for kind in ("", "LEFT", "INNER") for op in (">=", ">", "<=", "<")]
+    texts += [
+        "SELECT * FROM la ASOF JOIN ra USING (k, t)",
+        "SELECT l.la_id, z.ra_id FROM la AS l ASOF JOIN ra z ON l.t >= z.t WHERE z.k = 'x' ORDER BY 1",
+        "SELECT count(*) AS n, max(m.ra_id) AS m FROM la ASOF LEFT JOIN (SELECT ra_id, k AS q, t + 1 AS u FROM ra) m ON q = k AND u <= t GROUP BY la.k",
+        "WITH j AS (SELECT a.la_id, b.ra_id FROM la a JOIN la c ON a.la_id = c.la_id ASOF JOIN ra b ON c.k = b.k AND a.t >= b.t) SELECT j.la_id, ra.ra_id, ra.t FROM j JOIN ra ON j.ra_id = ra.ra_id",
+        "SELECT la.la_id, x.ra_id, o.ra_id AS o_id FROM la ASOF JOIN ra x ON la.k = x.k AND la.t >= x.t JOIN ra o ON o.ra_id = x.ra_id",
+        "SELECT a.la_id, b.ra_id FROM (SELECT la_id FROM la ORDER BY la_id DESC) a POSITIONAL JOIN (SELECT ra_id FROM ra ORDER BY ra_id) b",
+    ]
+    for sql in texts:
+        want = con.execute(sql).fetchall()
+        got = run_sql(spark, sql)
+        assert [c.lower() for c in got.columns] == [d[0] for d in con.description], sql
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), sql
+    for bad in ("SELECT * FROM la ASOF JOIN ra", "SELECT * FROM la ASOF JOIN ra ON la.k = ra.k", "SELECT * FROM la ASOF JOIN ra ON la.t >= ra.t AND la.la_id >= ra.ra_id", "SELECT * FROM la ASOF JOIN IDENTIFIER('text.`/etc/hostname`') h ON la.k = h.value AND la.k >= h.value"):
+        with pytest.raises(ValueError):
+            run_sql(spark, bad)
+
+
 def test_frames_against_another_engine(spark):
     """All units, bounds and exclusions, for all aggregates that are known, over ties and nulls."""
     duckdb = pytest.importorskip("duckdb")
