@@ -32,6 +32,8 @@ class Sheet:
     state: str = "virtual"
     #: The number of rows, where reading has told it.
     rows: int | None = None
+    #: Whether a scan gives the rows in order of their numbers.
+    in_order: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -94,11 +96,11 @@ class Catalog:
                 got = delimited.read_counted(self.spark, path, "\t" if found == "tsv" else ",", widen=widen)
                 if got and got.wide and not widen:
                     self.warnings.append(f"{base}: {got.wide} rows have more cells than the header, and lose them")
-                return self._put(base, path, [(stem, got.df, (), got.rows)] if got else [], False)
+                return self._put(base, path, [(stem, got.df, (), got.rows, got.in_order)] if got else [], False)
             if found == "parquet":
                 df = self.spark.read.parquet(path)
                 df = df.withColumn(ROW, F.col("_metadata.row_index")).select(ROW, *[F.col(f"`{c}`") for c in df.columns])
-                return self._put(base, path, [(stem, df, ())], True)
+                return self._put(base, path, [(stem, df, (), None, len(df.inputFiles()) == 1)], True)
         if base.lower().endswith(".zip.001"):
             return self._load_split(path, base)
         parsed = self.spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse_files(kind, repair), _PARSED).persist()
@@ -173,7 +175,7 @@ class Catalog:
     def _put(self, file: str, path: str, items: list, read_only: bool) -> list[Sheet]:
         self.drop(file)
         self._count += 1
-        sheets = [Sheet(file, name, f"sheet_{self._count}_{k}", df, widths, read_only, rows=rows[0] if rows else None) for k, (name, df, widths, *rows) in enumerate(items)]
+        sheets = [Sheet(file, name, f"sheet_{self._count}_{k}", df, widths, read_only, rows=known[0] if known else None, in_order=bool(known and known[1])) for k, (name, df, widths, *known) in enumerate(items)]
         self.files[file], self.paths[file] = sheets, path
         for s in sheets:
             self._show(s)
@@ -202,6 +204,10 @@ class Catalog:
     def tables(self) -> list[tuple[str, str, DataFrame]]:
         return [(s.file, s.name, s.df) for s in self.sheets()]
 
+    def in_order(self) -> bool:
+        """Whether scans of all tables give rows in order of their numbers."""
+        return all(s.in_order for s in self.sheets())
+
     def list_files(self) -> DataFrame:
         rows = [(f, s.name, s.view, self.alias(s), s.columns, s.read_only, s.state) for f, many in self.files.items() for s in many]
         return self.spark.createDataFrame(rows, "file string, sheet string, table_name string, alias string, columns array<string>, read_only boolean, state string")
@@ -222,7 +228,7 @@ class Catalog:
     def _replace(self, old: Sheet, df: DataFrame) -> Sheet:
         if old.read_only:
             raise ValueError(f"{old.file} cannot be edited")
-        new = replace(old, df=df, rows=None)
+        new = replace(old, df=df, rows=None, in_order=False)
         self.files[old.file] = [new if s is old else s for s in self.files[old.file]]
         self._show(new)
         return new

@@ -99,7 +99,7 @@ def main(args: list[str] | None = None) -> int:
             if a.sql:
                 df = catalog.sql(a.sql, a.limit)
             else:
-                found = search(catalog.tables(), SearchQuery(a.query, a.column, a.mode, a.limit, a.sheet, a.invert, a.context, tuple(map(condition, a.where))))
+                found = search(catalog.tables(), SearchQuery(a.query, a.column, a.mode, a.limit, a.sheet, a.invert, a.context, tuple(map(condition, a.where))), catalog.in_order())
                 df = sinks.results_table(found)
                 if a.group:
                     df = value_counts(df, a.group)

@@ -116,8 +116,17 @@ def with_context(df: DataFrame, hits: DataFrame, lines: int, partition: list[str
     return out.withColumns({"before": side(lambda r: r[ROW] < F.col(ROW)), "after": side(lambda r: r[ROW] > F.col(ROW))}).drop("_rows")
 
 
-def search(tables: list[tuple[str, str, DataFrame]], query: SearchQuery) -> DataFrame:
-    """file, sheet, row_index, col_names, cells, matched_columns (and before, after: arrays of cells) over (file, sheet, table)s: one lazy union. A limit takes the first tables' first rows."""
+#: A limit up to here is met by rows that pass through the driver.
+EARLY_ROWS = 100_000
+
+
+def search(tables: list[tuple[str, str, DataFrame]], query: SearchQuery, in_order: bool = False) -> DataFrame:
+    """file, sheet, row_index, col_names, cells, matched_columns (and before, after: arrays of cells) over (file, sheet, table)s: one lazy union. A limit takes the first tables' first rows.
+
+    in_order: the tables' partitions are in order of their row numbers, as in a scan of one file. A limit up to EARLY_ROWS then looks at the first partition,
+    and at more and more of the next ones only while rows are missing; so little is read where matches are frequent. That happens at once, not
+    when the result is used. Without it, all rows are searched and the first found ones kept.
+    """
     parts = []
     for place, (file, sheet, df) in enumerate(tables):
         if query.sheet is not None and sheet != query.sheet:
@@ -133,6 +142,8 @@ def search(tables: list[tuple[str, str, DataFrame]], query: SearchQuery) -> Data
     if not parts:
         raise ValueError("no table to search")
     out = reduce(DataFrame.unionByName, parts)
+    if in_order and query.limit is not None and query.limit <= EARLY_ROWS and not query.context_lines:
+        return out.sparkSession.createDataFrame(out.drop("_place").take(query.limit), out.drop("_place").schema)
     return (out if query.limit is None else out.orderBy("_place", "row_index").limit(query.limit)).drop("_place")
 
 

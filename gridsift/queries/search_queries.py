@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ROW, Condition, SearchQuery
 from ..operators import profile
 from ..operators.search import search, search_stats, search_table, value_counts, with_context
+from ..operators.text_index import build_text_index, indexed_search
+from ..session import shared_dir
 from .tables import numbered, table
 
 
@@ -48,10 +52,18 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator's own limit: the first rows in order of row numbers, over two tables."""
     orders, nation = numbered(table(spark, sf_dir, "orders"), "o_orderkey"), numbered(table(spark, sf_dir, "nation"), "n_nationkey")
-    found = search([("orders.parquet", "orders", orders), ("nation.parquet", "nation", nation)], SearchQuery("2-HIGH", limit=25))
+    found = search([("orders.parquet", "orders", orders), ("nation.parquet", "nation", nation)], SearchQuery("2-HIGH", limit=25), in_order=True)
     return found.select("sheet", "row_index")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by an index made for them, which may leave out files."""
+    path, index = f"{sf_dir}/documents.parquet", f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+    build_text_index(spark, path, index)
+    found = indexed_search(spark, path, index, SearchQuery("licens"))
+    return found.df.select("doc_id", F.concat_ws(",", "matched_columns").alias("matched"), F.lit(found.files_read <= found.files).alias("within"))
+
+
 def _on_orders(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f(numbered(table(spark, sf_dir, "orders"), "o_orderkey", 0))
@@ -103,6 +115,7 @@ QUERIES = {
     "search_matched_columns": _matched,
     "search_context": _context,
     "search_limit_ordered": _limit,
+    "search_indexed": _indexed,
     "search_aggregate": _aggregate,
     "search_stats": _stats,
     "slice_rows": _on_orders(lambda d: profile.slice_rows(d, 100, 140, ["o_totalprice", "no_such", "o_orderkey"]).drop(ROW)),
@@ -115,6 +128,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "search_indexed": "SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text), 'licens') THEN 'text' END, CASE WHEN contains(lower(lang), 'licens') THEN 'lang' END, CASE WHEN contains(lower(source), 'licens') THEN 'source' END) AS matched, true AS within FROM documents WHERE contains(lower(text), 'licens') OR contains(lower(lang), 'licens') OR contains(lower(source), 'licens')",
     "search_fulltext_all": "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') OR contains(lower(lang), 'tion') OR contains(lower(source), 'tion') OR contains(CAST(doc_id AS VARCHAR), 'tion') OR contains(CAST(n_chars AS VARCHAR), 'tion')",
     "search_fulltext_column": "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'medium')",
     "search_fulltext_literal_percent": "SELECT doc_id FROM documents WHERE contains(text, '%%')",

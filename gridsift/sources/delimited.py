@@ -113,11 +113,12 @@ def plain_records(spark: SparkSession, path: str, sep: str, start: bytes, header
 
 @dataclass(frozen=True)
 class Delimited:
-    """A file's rows, how many there are, and how many have more cells than the header (None where reading has not told it)."""
+    """A file's rows, how many there are, and how many have more cells than the header (None where reading has not told it). in_order: a scan gives them in order of their numbers."""
 
     df: DataFrame
     rows: int | None
     wide: int | None
+    in_order: bool = False
 
 
 def read_counted(spark: SparkSession, path: str, sep: str = ",", *, encoding: str | None = None, widen: bool = False) -> Delimited | None:
@@ -152,7 +153,7 @@ def read_counted(spark: SparkSession, path: str, sep: str = ",", *, encoding: st
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", units).option("enforceSchema", True).option("escape", '"').option("maxColumns", MOST_COLUMNS + 480)
     scan = numbered(reader.csv(path))
-    return Delimited(scan.select(ROW, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]), plain and plain[0] - 1, plain and plain[1])
+    return Delimited(scan.select(ROW, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]), plain and plain[0] - 1, plain and plain[1], True)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", *, encoding: str | None = None, widen: bool = False) -> DataFrame | None:

@@ -7,6 +7,36 @@ from gridsift.model import ROW, Condition, SearchQuery
 from gridsift.operators.search import limited, search, search_stats, search_table, spans, value_counts, with_context
 
 
+def test_limits_stop_early(spark, tmp_path):
+    """Of a scan in order only the first blocks are read."""
+    spark.range(200_000).selectExpr("id AS _row_idx", "id % 50 AS k", "md5(cast(id AS string)) AS t").coalesce(1).write.option("parquet.block.size", 65536).parquet(str(tmp_path / "t"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        assert df.rdd.getNumPartitions() > 10
+        query = SearchQuery("7", column="k", mode="exact", limit=40)
+        want = search([("f", "s", df)], query).collect()
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        got = search([("f", "s", df)], query, in_order=True)
+        rows = 0
+        for i in range(before, store.executionsCount()):
+            e = store.executionsList().apply(i)
+            metrics, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+            for n in range(nodes.size()):
+                if "Scan parquet" in nodes.apply(n).name():
+                    for m in range(nodes.apply(n).metrics().size()):
+                        x = nodes.apply(n).metrics().apply(m)
+                        if x.name() == "number of output rows":
+                            rows += int(metrics.get(x.accumulatorId()).get().replace(",", ""))
+        assert got.collect() == want and len(want) == 40 and 0 < rows < 50_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
 def made(spark, rows, names=("a", "b")):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{ROW} long, " + ", ".join(f"`{n}` string" for n in names))
 
