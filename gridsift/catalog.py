@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.cells import text_of
 from .functions.names import check_table_name, column_names, quoted
 from .model import ROW, Table
-from .operators import edits
+from .operators.pieces import PieceTable
 from .plans.gate import run_sql
 from .sources import archives, delimited
 from .sources.formats import READ_ONLY, detect, parse
@@ -34,6 +34,8 @@ class Sheet:
     rows: int | None = None
     #: Whether a scan gives the rows in order of their numbers.
     in_order: bool = False
+    #: Its edits, if there are any.
+    pieces: PieceTable | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -223,43 +225,45 @@ class Catalog:
     def sql(self, text: str, limit: int | None = None) -> DataFrame:
         return run_sql(self.spark, text, limit, self.relations())
 
-    # Changing
+    # Changing: a sheet's edits are one piece table, and its DataFrame what that means.
 
-    def _replace(self, old: Sheet, df: DataFrame) -> Sheet:
-        if old.read_only:
-            raise ValueError(f"{old.file} cannot be edited")
-        new = replace(old, df=df, rows=None, in_order=False)
+    def _pieces(self, sheet: Sheet) -> PieceTable:
+        if sheet.read_only:
+            raise ValueError(f"{sheet.file} cannot be edited")
+        return sheet.pieces or PieceTable.of(sheet.df, sheet.rows)
+
+    def _replace(self, old: Sheet, pieces: PieceTable) -> None:
+        new = replace(old, df=pieces.folded(), rows=pieces.count(), in_order=False, pieces=pieces)
         self.files[old.file] = [new if s is old else s for s in self.files[old.file]]
         self._show(new)
-        return new
 
     def update_cell(self, file: str, sheet: str, row: int, column: str, value: str) -> None:
         s = self.one(file, sheet)
-        self._replace(s, edits.update_cell(s.df, row, column, value))
+        self._replace(s, self._pieces(s).update_cell(row, column, value))
 
     def update_cells(self, file: str, sheet: str, updates: list[tuple[int, str, str]]) -> int:
         s = self.one(file, sheet)
-        df, n = edits.update_cells(s.df, updates)
-        self._replace(s, df)
+        pieces, n = self._pieces(s).update_cells(updates)
+        self._replace(s, pieces)
         return n
 
     def insert_rows(self, file: str, sheet: str, start: int, rows: list[list[str]]) -> None:
         s = self.one(file, sheet)
-        self._replace(s, edits.insert_rows(s.df, start, rows))
+        self._replace(s, self._pieces(s).insert_rows(start, rows))
 
     def delete_rows(self, file: str, sheet: str, start: int, count: int) -> int:
         s = self.one(file, sheet)
-        df, n = edits.delete_rows(s.df, start, count)
-        self._replace(s, df)
+        pieces, n = self._pieces(s).delete_rows(start, count)
+        self._replace(s, pieces)
         return n
 
     def add_column(self, file: str, sheet: str, name: str, default: str = "") -> None:
         s = self.one(file, sheet)
-        self._replace(s, edits.add_column(s.df, name, default))
+        self._replace(s, self._pieces(s).add_column(name, default))
 
     def rename_column(self, file: str, sheet: str, old: str, new: str) -> None:
         s = self.one(file, sheet)
-        self._replace(s, edits.rename_column(s.df, old, new))
+        self._replace(s, self._pieces(s).rename_column(old, new))
 
     # Session tables and states
 
