@@ -38,18 +38,28 @@ def sample_random(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """column_name, value, n: every distinct text of every column, counted in parts before anything is shuffled."""
+#: Characters of a value that are counted with it, to order values that are equally frequent.
+PREFIX = 32
+BROADCAST_ROWS = 50_000
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """column_name, value and its hash of 128 bits (h1, h2) for every cell."""
     names = [c for c in df.columns if c != ROW]
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), text_of(F.col(f"`{c}`")).alias("value")) for c in names])
-    return df.select(F.explode(cells).alias("x")).select("x.*").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return df.select(F.explode(cells).alias("x")).select("x.*").withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(7), "value")})
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """column_name, h1, h2, prefix, n: every distinct text of every column by its hash, counted in parts before anything is shuffled. Of a long text no more than its first characters are."""
+    return _cells(df).groupBy("column_name", "h1", "h2").agg(F.min(F.left("value", F.lit(PREFIX))).alias("prefix"), F.count("*").alias("n"))
 
 
 def column_statistics(df: DataFrame) -> DataFrame:
     """column_name, total, non_null, nulls, distinct_count: an empty cell is a null. One pass over the table, whatever the number of columns."""
     names = [c for c in df.columns if c != ROW]
     all_columns = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column_name"))
-    full = F.col("value") != ""
+    full = F.col("prefix") != ""
     sums = _counted(df).groupBy("column_name").agg(F.sum("n").alias("total"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("non_null"), F.count_if(full).alias("distinct_count"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = all_columns.join(sums, "column_name", "left").select("column_name", *map(zero, ("total", "non_null", "distinct_count")))
@@ -58,7 +68,11 @@ def column_statistics(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, k: int) -> DataFrame:
     """column_name, value, n, rank: each column's most frequent non-empty values, ties by value. Counts are taken before anything is ranked."""
-    counts = _counted(df).filter("value <> ''")
+    by_prefix = W.Window.partitionBy("column_name").orderBy(F.desc("n"), "prefix")
+    # Those that are among the first by their first characters, ties all; then their whole texts, and their order by these.
+    first = _counted(df).filter("prefix <> ''").withColumn("r", F.rank().over(by_prefix)).filter(F.col("r") <= k).select("column_name", "h1", "h2", "n")
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    counts = _cells(df).join(first, ["column_name", "h1", "h2"]).groupBy("column_name", "h1", "h2", "n").agg(F.first("value").alias("value")).select("column_name", "value", "n")
     order = W.Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

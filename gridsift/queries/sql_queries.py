@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.inequality import inequality_aggregate, inequality_join, interval_join
 from ..operators.joins import asof_join, positional_join, range_join
 from ..plans.gate import run_sql
+from ..operators.quantiles import exact_quantiles
 from .tables import numbered, table, views
 
 MONEY = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
@@ -162,6 +163,16 @@ def _inequality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of prices by order of a line, no group being held in one task."""
+    found = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_linenumber"], "l_extendedprice", {"q1": 0.25, "m": 0.5, "q99": 0.99})
+    return found.select("l_linenumber", *[F.round(c, 6).alias(c) for c in ("q1", "m", "q99")])
+
+
+def _quantile_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_quantiles(table(spark, sf_dir, "events"), [], "value", {"m": 0.5, "low": 0.0, "high": 1.0})
+
+
 def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the estimates are within a tenth of the exact numbers (their standard error is a twentieth)."""
     return _sql("SELECT o_orderstatus, abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY o_orderstatus")(spark, sf_dir)
@@ -190,12 +201,17 @@ QUERIES = {name: _sql(pair if isinstance(pair, str) else pair[0]) for name, pair
     "join_interval": _interval,
     "join_interval_self": _self_interval,
     "join_inequality": _inequality,
+    "agg_quantile_exact": _quantiles,
+    "agg_quantile_of_all": _quantile_of_all,
     "join_inequality_pairs": _inequality_pairs,
     "agg_approx_distinct": _approx,
     "using_sample": _sample,
     "limit_injection": _limited,
 }
-ORACLE_SQL = {name: pair if isinstance(pair, str) else pair[1] for name, pair in PAIRS.items()} | {
+ORACLE_SQL = {
+    "agg_quantile_exact": "SELECT l_linenumber, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(median(l_extendedprice), 6) AS m, round(quantile_cont(l_extendedprice, 0.99), 6) AS q99 FROM lineitem GROUP BY l_linenumber",
+    "agg_quantile_of_all": "SELECT median(value) AS m, min(value) AS low, max(value) AS high FROM events",
+} | {name: pair if isinstance(pair, str) else pair[1] for name, pair in PAIRS.items()} | {
     "join_asof": "SELECT b.event_id, v.event_id AS seen_id FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts",
     "join_positional": "SELECT n_name, r_name FROM (SELECT * FROM nation ORDER BY n_nationkey) POSITIONAL JOIN (SELECT * FROM region ORDER BY r_regionkey)",
     "join_range": "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_suppkey * 17 + 900 AND p_retailprice < s_suppkey * 17 + 930 + s_suppkey % 5 * 100",

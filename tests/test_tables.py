@@ -4,7 +4,8 @@ import pytest
 
 from gridsift.functions.names import check_table_name, column_names, schema_name
 from gridsift.model import ROW
-from gridsift.operators import edits, joins, profile
+from gridsift.operators import inequality, edits, joins, profile
+from gridsift.operators.quantiles import exact_quantiles
 from gridsift.operators.joins import asof_join, positional_join, range_join
 
 
@@ -105,6 +106,43 @@ def test_range_join_of_long_ranges(spark):
     assert sorted((x.p, x.r) for x in got.collect()) == want
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 5.0, r.uniform(0, 9)])) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+
+    def quantile(values, q):
+        values = sorted(v for v in values if v is not None)
+        if not values:
+            return None
+        at = q * (len(values) - 1)
+        low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+        return round(low + (high - low) * (at - int(at)), 9)
+
+    shares = {"a0": 0.0, "q": 0.31, "m": 0.5, "a1": 1.0}
+    for tile in (10**6, 5):
+        monkeypatch.setattr(inequality, "TILE_ROWS", tile)
+        got = {x.g: [v if v is None else round(v, 9) for v in x[1:]] for x in exact_quantiles(df, ["g"], "x", shares).collect()}
+        assert got == {g: [quantile([x for h, x in rows if h == g], q) for q in shares.values()] for g in {g for g, _ in rows}}
+        assert round(exact_quantiles(df, [], "x", {"m": 0.5}).first().m, 9) == quantile([x for _, x in rows], 0.5)
+    assert exact_quantiles(df.limit(0), ["g"], "x", shares).count() == 0 and exact_quantiles(df.limit(0), [], "x", shares).first()[:] == (None,) * 4
+
+
+def test_top_values_of_long_texts(spark):
+    """Texts alike in their first characters, and all equally frequent."""
+    rows = [("p" * 40 + f"{i % 30:03}", "x" * (i % 3), f"{i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = sorted((x.column_name, x["rank"], x.value, x.n) for x in profile.top_values(df, 4).collect())
+    want = []
+    for k, name in enumerate("abc"):
+        seen = {}
+        for row in rows:
+            seen[row[k]] = seen.get(row[k], 0) + 1
+        seen.pop("", None)
+        want += [(name, i, v, n) for i, (v, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:4], 1)]
+    assert got == sorted(want)
+
+
 def test_statistics_of_many_columns_and_no_rows(spark):
     df = spark.createDataFrame([("a", None), ("", "x"), ("a", "x")], "p string, q string")
     got = {r.column_name: tuple(r)[1:] for r in profile.column_statistics(df).collect()}
