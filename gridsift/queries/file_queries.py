@@ -49,8 +49,8 @@ hour   knots   gusts
  07      13      21
 """
 HTML = "<h3>Top</h3><table><tr><th>A<th>B<tr><td>1<td>x &amp; y<tr><th>r</th><td>2</td></table><table summary='Sum'><tr><td>h<td>g<tr><td>3<td>4</table>"
-XML = "<rows><p id='1'><Name>Alice</Name><Age>30</Age></p><p><Name>Bob</Name></p><p/></rows>"
-TSV = "Col1\tCol2\n1\t\"a\tb\"\n2\n"
+XML = "<fleet><boat id='1'><Vessel>Marlin</Vessel><Berth>41</Berth></boat><boat><Vessel>Tern</Vessel></boat><boat/></fleet>"
+TSV = "Berth\tCargo\n17\t\"rope\ttar\"\n23\n"
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 A = "http://schemas.openxmlformats.org/drawingml/2006/main"
 
@@ -94,8 +94,8 @@ def xlsx_fixture() -> bytes:
 
 
 def dbf_fixture() -> bytes:
-    fields = [(b"NAME", b"C", 10, 0), (b"AGE", b"N", 8, 2), (b"OK", b"L", 1, 0), (b"DAY", b"D", 8, 0)]
-    rows = [b" Alice        30.00T20240131", b" Bob          25.50F        "]
+    fields = [(b"VESSEL", b"C", 10, 0), (b"METRES", b"N", 8, 2), (b"AFLOAT", b"L", 1, 0), (b"BUILT", b"D", 8, 0)]
+    rows = [b" Marlin       41.00T19870517", b" Tern          7.25F        "]
     size = len(rows[0])
     head = bytes([3, 124, 1, 1]) + len(rows).to_bytes(4, "little") + (32 + 32 * len(fields) + 1).to_bytes(2, "little") + size.to_bytes(2, "little") + bytes(20)
     for n, t, w, d in fields:
@@ -125,12 +125,12 @@ FIXTURES = {
     "extract_markdown": ("markdown", MARKDOWN, _grid(("Boats", ["Boat", "Berths", "Harbour", "column"], [["Petrel", "6", "Oban", ""], ["Wren", "4", "", ""], ["Gannet", "8", "Wick", "spare key"]]), ("Tides", ["hour", "metres"], [["a|b", "1.9"]]))),
     "extract_text": ("text", REPORT, _grid(("Harbour dues", ["Berth", "Crowns"], [["North quay", "118.40"], ["Long pier", "96.05"]]), ("Wind by hour", ["hour", "knots", "gusts"], [["06", "11", "17"], ["07", "13", "21"]]))),
     "extract_html": ("html", HTML, _grid(("Top", ["A", "B"], [["1", "x & y"], ["r", "2"]]), ("Sum", ["h", "g"], [["3", "4"]]))),
-    "extract_xml": ("xml", XML, _grid(("table", ["Name", "Age"], [["Alice", "30"], ["Bob", ""]]))),
-    "extract_tsv": ("tsv", TSV, _grid(("table", ["Col1", "Col2"], [["1", "a\tb"], ["2", ""]]))),
+    "extract_xml": ("xml", XML, _grid(("table", ["Vessel", "Berth"], [["Marlin", "41"], ["Tern", ""]]))),
+    "extract_tsv": ("tsv", TSV, _grid(("table", ["Berth", "Cargo"], [["17", "rope\ttar"], ["23", ""]]))),
     "extract_docx": ("docx", docx_fixture(), _grid(("Soundings", ["Quay", "Depth"], [["East", "3.2"], ["East", "4.7"], ["closed", "closed"]]))),
     "extract_pptx": ("pptx", pptx_fixture(), _grid(("Slide_1_Table_1", ["Crew", "Crew", "Days"], [["Ada", "mate", "12"], ["Ada", "cook", "9"]]), ("Slide_2_Table_1", ["Crew", "Crew", "Days"], [["Bo", "mate", "5"], ["Bo", "cook", "6"]]))),
     "extract_xlsx": ("excel", xlsx_fixture(), _grid(("Data", ["Region", "Order Date", "Amount"], [["华北", "2023-03-15", "1.5"], ["华北", "2023-03-16", "30"], ["华北", "1900-02-28", "7"]]))),
-    "extract_dbf": ("dbf", dbf_fixture(), _grid(("table", ["NAME", "AGE", "OK", "DAY"], [["Alice", "30", "TRUE", "2024-01-31"], ["Bob", "25.5", "FALSE", ""]]))),
+    "extract_dbf": ("dbf", dbf_fixture(), _grid(("table", ["VESSEL", "METRES", "AFLOAT", "BUILT"], [["Marlin", "41", "TRUE", "1987-05-17"], ["Tern", "7.25", "FALSE", ""]]))),
 }
 
 
