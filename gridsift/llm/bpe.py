@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, chunks
+from .common import CHUNK_BYTES, chunks, in_batches
 
 #: So many distinct pieces keep their tokens, in a worker's memory.
 PIECES = 200_000
@@ -291,7 +291,7 @@ def encode_bytes(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "do
                     arrays.append(pa.array(cut(bpe.decode_all(ids), np.diff(ends, prepend=0)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    out = docs.select(id_col, text_col).mapInArrow(run, schema)
+    out = in_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -336,4 +336,4 @@ def with_tokens(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32)), mask=pa.array(missing, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(counts)], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return in_batches(docs.select(*kept)).mapInArrow(run, schema)

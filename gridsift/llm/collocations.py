@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, stored, utf8
+from .common import chunks, dropped, in_batches, stored, utf8
 from .packed import dealt, from_planes, joined, planes
 from .wordhash import WordHashes, mixed
 
@@ -295,7 +295,7 @@ def _shard_counts(pairs, longer):
 
 def phrase_counts(src: DataFrame, least: int) -> DataFrame:
     """(lang, words, phrase, f) for all phrases of up to DEPTH words with f >= least, from rows (lang, text); words 0 with an empty phrase has the number of words."""
-    spark = src.sparkSession
+    spark = in_batches(src).sparkSession
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // (WORD_BYTES * BUCKET_PHRASES)))
     schema = "bucket int, hashes binary, counts binary"

@@ -85,6 +85,19 @@ def dropped(df: DataFrame) -> None:
     release(df.sparkSession, only=df.stored_at)
 
 
+#: Rows of a batch that goes to Python, where the session has Spark's own number: a batch is held several times over, by both sides.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows hold whole texts: batches of them have BATCH_ROWS rows from here on in the session, unless it has a number of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def hidden(df: DataFrame) -> DataFrame:
     """df with its columns renamed c0, c1, ...: an operator's own columns then clash with none, and duplicates do no harm."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, chunks, hidden, position, restored, utf8
+from .common import BLANKS, chunks, hidden, in_batches, position, restored, utf8
 from .wordhash import WordHashes, windows
 
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +143,7 @@ def _judged(df: DataFrame, at: int, names: list[str], bands: Bands) -> DataFrame
             more = [pa.array([r[k] for r in rows], pa.bool_() if isinstance(kind, T.BooleanType) else pa.int64()) for k, (_, kind) in enumerate(FIELDS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df).mapInArrow(run, schema)
 
 
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, utf8
+from .common import chunks, in_batches, utf8
 from .wordhash import mixed, windows
 
 #: So many words are compared one by one before hashes are.
@@ -207,5 +207,5 @@ def find_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(id_col, text_col).toDF("id", "text")
     fields = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")]))
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("runs", fields), T.StructField("collapsed", T.StringType())])
-    out = src.mapInArrow(_found(min_words, alter), schema)
+    out = in_batches(src).mapInArrow(_found(min_words, alter), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "runs", "collapsed")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, stored, utf8
+from .common import chunks, dropped, in_batches, stored, utf8
 from .packed import byte_planes, cut, dealt, from_byte_planes, from_planes, joined, planes
 from .wordhash import WordHashes, mixed, windows
 
@@ -194,7 +194,7 @@ def repeated_passages(src: DataFrame, words: int) -> DataFrame:
     starts, ends: the stretches of words that windows cover which also start in a row with a smaller id (empty, if there are none).
     longest: the greatest of words, 2 * words, 4 * words .. that is the length of a window in common.
     """
-    src = src.filter("id IS NOT NULL")
+    src = in_batches(src.filter("id IS NOT NULL"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, level, lengths = size // WORD_BYTES, words, []
     spans = state = None

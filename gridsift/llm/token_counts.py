@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import byte_bpe
-from .common import chunks
+from .common import chunks, in_batches
 
 RULES = ("start", "most", "split")
 
@@ -85,4 +85,4 @@ def section_tokens(docs: DataFrame, *, fields: list[str], by_line: set[str], ran
                 arrays = [part.column(0).take(pa.array(took, pa.int32())), pa.array(field), *[pa.array(x, pa.int64()) for x in (section, start, end)], pa.array(tokens), pa.array(crossing, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(id_col, *fields).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_batches(docs.select(id_col, *fields)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
