@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, chunks, hidden, position, restored, stored, utf8
+from .common import BROADCAST_ROWS, chunks, hidden, in_batches, position, restored, stored, utf8
 from .components import connected_components
 from .wordhash import WordHashes, mixed, windows
 
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, n
 
     one = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}"), F.col("t").alias(f"t{end}"))
     both = pairs.select("u", "v").join(one("u"), "u").join(one("v"), "v").select("u", "v", "nu", "nv", "wu", "wv", "tu", "tv")
-    pairs = stored(both.mapInArrow(near, "u long, v long, tu long, tv long"), "near-pairs")
+    pairs = stored(both.mapInArrow(near, "u long, v long, tu long, tv long"), "near-pairs", keep_shuffle=False)
     found = pairs.select(F.explode(F.array("tu", "tv")).alias("t")).groupBy((F.pmod("t", F.lit(FILTER_BITS)) / 64).cast("int").alias("w"))
     flags = np.zeros(FILTER_BITS // 64, np.int64)
     for row in found.agg(F.expr("bit_or(shiftleft(1L, cast(pmod(t, 64) as int)))").alias("bits")).collect():  # FILTER_BITS at most
@@ -232,21 +232,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, n
     whole = texts.mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
     x, y = whole.select(F.col("node").alias("u"), F.col("s").alias("x")), whole.select(F.col("node").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return stored(pairs.join(x, "u").join(y, "v").filter(both * den >= (F.size("x") + F.size("y") - both) * num).select("u", "v"), "verified")
+    return stored(pairs.join(x, "u").join(y, "v").filter(both * den >= (F.size("x") + F.size("y") - both) * num).select("u", "v"), "verified", keep_shuffle=False)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """id, t, n, node of every row of docs, and component: the smallest id that links reach."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     sets = _sets(src, size, num, den, _frequent(src.select("text"), size))
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     texts = src.select(F.xxhash64("text").alias("t"), "text")
     # Equal sets are one node from here on.
-    nodes = stored(sets.filter(F.col("node").isNotNull()).select("node", "n", "t", "sigs", "wide", *bits).dropDuplicates(["node"]), "nodes")
+    nodes = stored(sets.filter(F.col("node").isNotNull()).select("node", "n", "t", "sigs", "wide", *bits).dropDuplicates(["node"]), "nodes", keep_shuffle=False)
     facts = nodes.select("node", "n", *bits)
-    postings = nodes.select(F.explode("sigs").alias("sig"), "node")
-    ends = postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    shared = stored(postings.join(ends, "sig"), "shared-signatures")
+    postings = nodes.select(F.explode(F.array_distinct("sigs")).alias("sig"), "node")
+    # Signatures of the very same sets bring the same pairs: one of them is enough. Such are those of a template that many texts fill in.
+    marks = {"lo": F.min("node"), "hi": F.max("node"), "k": F.count("*"), "x": F.bit_xor(F.xxhash64("node")), "y": F.bit_xor(F.xxhash64(F.lit(7), "node"))}
+    ends = postings.groupBy("sig").agg(*[c.alias(n) for n, c in marks.items()]).filter("lo <> hi")
+    ends = ends.groupBy(*marks).agg(F.min("sig").alias("sig")).select("sig", "lo", "hi")
+    shared = stored(postings.join(ends, "sig"), "shared-signatures", keep_shuffle=False)
     # Of each set's pairs with the ends of its signatures, the one that the bitmaps put nearest.
     first = shared.select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end").distinct()
     a, b = facts.alias("a"), facts.alias("b")
@@ -259,20 +262,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
     labelled = shared.select("sig", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_part = labelled.groupBy("sig", "component").agg(F.count("*").alias("k"))
     main = by_part.groupBy("sig").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter("parts > 1")
-    left = stored(labelled.join(main.select("sig", "main"), "sig").join(facts, "node"), "across")
+    left = stored(labelled.join(main.select("sig", "main"), "sig").join(facts, "node"), "across", keep_shuffle=False)
     a, b = left.filter("component <> main").alias("a"), left.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     across = a.join(b, (F.col("a.sig") == F.col("b.sig")) & apart & _may_link("a", "b", num, den))
     swap = F.col("a.component") > F.col("b.component")
     ends = [F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")).alias(n) for n, x, y, c in (("u", "a", "b", "node"), ("v", "b", "a", "node"), ("cu", "a", "b", "component"), ("cv", "b", "a", "component"))]
-    across = stored(across.select(*ends, _turned("a", "b").alias("turned")).distinct(), "pairs")
+    across = stored(across.select(*ends, _turned("a", "b").alias("turned")).distinct(), "pairs", keep_shuffle=False)
     if not across.isEmpty():
-        best = stored(across.groupBy("cu", "cv").agg(F.min_by(F.struct("u", "v"), F.struct("turned", "u", "v")).alias("p")).select("p.*"), "pairs")
+        best = stored(across.groupBy("cu", "cv").agg(F.min_by(F.struct("u", "v"), F.struct("turned", "u", "v")).alias("p")).select("p.*"), "pairs", keep_shuffle=False)
         links = links.union(_verified(best, nodes, texts, size, num, den))
         labels = connected_components(links)
         now = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"l{end}"))
         rest = across.join(best, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
-        rest = stored(rest.filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"), "pairs")
+        rest = stored(rest.filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"), "pairs", keep_shuffle=False)
         if not rest.isEmpty():
             links = links.union(_verified(rest, nodes, texts, size, num, den))
             labels = connected_components(links)
@@ -302,7 +305,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     src = hidden(docs)
     doc_id, text = position(docs, id_col), position(docs, text_col)
-    rows = stored(_grouped(docs, id_col, text_col, size, num, den).filter(F.col("node").isNotNull()).withColumn("stays", F.col("id").eqNullSafe(F.col("component"))), "groups")
+    rows = stored(_grouped(docs, id_col, text_col, size, num, den).filter(F.col("node").isNotNull()).withColumn("stays", F.col("id").eqNullSafe(F.col("component"))), "groups", keep_shuffle=False)
     gone = rows.filter(~F.col("stays")).select(F.col("id").alias("gone_id"), F.col("t").alias("gone_t")).distinct()
     few = rows.filter(~F.col("stays")).count() <= BROADCAST_ROWS
     hashed = src.withColumn("t", F.xxhash64(F.col(text)))
