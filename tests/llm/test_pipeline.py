@@ -132,4 +132,4 @@ def test_stored_tables_can_be_deleted(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
