@@ -123,6 +123,10 @@ def wide_bits(n: int) -> int:
     return max(64 * BITMAP_WORDS, 1 << (n - 1).bit_length() if n else 0)
 
 
+#: Sets of a component that those sharing a signature with it meet, before they meet all that share it.
+PIVOTS = 128
+
+
 def node_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
@@ -250,18 +254,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
     ends = postings.groupBy("sig").agg(*[c.alias(n) for n, c in marks.items()]).filter("lo <> hi")
     ends = ends.groupBy(*marks).agg(F.min("sig").alias("sig")).select("sig", "lo", "hi")
     shared = stored(postings.join(ends, "sig"), "shared-signatures", keep_shuffle=False)
-    # Of each set's pairs with the ends of its signatures, the one that the bitmaps put nearest.
-    first = shared.select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end").distinct()
-    a, b = facts.alias("a"), facts.alias("b")
-    near = first.join(a, F.col("a.node") == first["node"]).join(b, F.col("b.node") == first["end"]).filter(_may_link("a", "b", num, den))
-    nearest = near.groupBy(F.col("a.node").alias("u")).agg(F.min_by("b.node", F.struct(_turned("a", "b"), F.col("b.node"))).alias("v"))
-    once = nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = _verified(once, nodes, texts, size, num, den)
-    # What is left: pairs of different components that share a signature.
+
+    def linked(ends: DataFrame) -> DataFrame:
+        """Of each set's pairs (node, end) the one that the bitmaps put nearest, if it links."""
+        a, b = facts.alias("a"), facts.alias("b")
+        near = ends.join(a, F.col("a.node") == ends["node"]).join(b, F.col("b.node") == ends["end"]).filter(_may_link("a", "b", num, den))
+        nearest = near.groupBy(F.col("a.node").alias("u")).agg(F.min_by("b.node", F.struct(_turned("a", "b"), F.col("b.node"))).alias("v"))
+        return _verified(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes, texts, size, num, den)
+
+    def labelled_by(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each signature's sets with their components, and for each signature with more than one the component that most of its sets are in."""
+        labelled = shared.select("sig", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by_part = labelled.groupBy("sig", "component").agg(F.count("*").alias("k"))
+        main = by_part.groupBy("sig").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter("parts > 1")
+        return labelled, main
+
+    # First each set meets the ends of its signatures; then those that are not in a signature's main component meet some sets of that component.
+    links = linked(shared.select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end").distinct())
+    labels = connected_components(links)
+    labelled, main = labelled_by(labels)
+    apart = labelled.join(main.select("sig", "main"), "sig").filter("component <> main").select("node", "main").distinct()
+    members = labels.join(apart.select(F.col("main").alias("component")).distinct(), "component").groupBy("component", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p"))
+    pivots = members.agg(F.min("node").alias("end")).select(F.col("component").alias("main"), "end")
+    links = links.union(linked(apart.join(pivots, "main").select("node", "end").distinct()))
     labels = connected_components(links)
-    labelled = shared.select("sig", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by_part = labelled.groupBy("sig", "component").agg(F.count("*").alias("k"))
-    main = by_part.groupBy("sig").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter("parts > 1")
+    # What is left: pairs of different components that share a signature.
+    labelled, main = labelled_by(labels)
     left = stored(labelled.join(main.select("sig", "main"), "sig").join(facts, "node"), "across", keep_shuffle=False)
     a, b = left.filter("component <> main").alias("a"), left.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
