@@ -9,6 +9,9 @@ count of all shingles of all documents in hashed counters, as many as the corpus
 only, never results. As every shingle is counted, documents that share a template but have enough words of their own get signatures of
 their own words alone, and never meet.
 
+Signatures are never stored: they go from the texts straight to the one shuffle that brings equal ones together, and only those that
+several sets have are written.
+
 Links. A signature's sets are not paired with each other. First each set meets the smallest and the largest set of its
 signatures, one such pair is verified, and the links give first components, which hold the large groups of near copies. Then only
 pairs across components are left: each set outside its signature's main component meets the rest. Of the pairs
@@ -26,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, chunks, hidden, in_batches, position, restored, stored, utf8
+from .common import BROADCAST_ROWS, chunks, dropped, hidden, in_batches, position, restored, stored, utf8
 from .components import connected_components
 from .wordhash import WordHashes, mixed, windows
 
@@ -38,6 +41,8 @@ from .wordhash import WordHashes, mixed, windows
 BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, PART = 128, 1 << 20, 1 << 25, 1 << 18
 #: Sets of fewer shingles have single-shingle signatures alone.
 PAIRS_FROM = 16
+#: Sets that a task remembers to have named.
+MEMO_SETS = 200_000
 BITMAP_WORDS = 8
 #: Bits of the filter by which a task knows the sets to be verified (2 MB).
 FILTER_BITS = 1 << 24
@@ -131,23 +136,43 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
-def _frequent(texts: DataFrame, size: int) -> bytes:
-    """Which counters are frequent, a bit each: far above what chance gives a counter at the corpus's number of shingles.
+def _facts(src: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """src (id, text) as id, t (hash of the text), n, node (hash of the set; null if empty), wide, b0...; and, in rows of their own, part and counts: what each task counted of all shingles. Stored; and the number of counters.
 
-    A task's counts are mostly zeros where counters are many, and are exchanged compressed: by the bytes of its texts, not by the counters.
+    A task's counts are mostly zeros where counters are many, and are compressed: by the bytes of its texts, not by the counters.
     """
-    width = counters_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    width, long = counters_for(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0), T.LongType()
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("t", long), T.StructField("n", long), T.StructField("node", long), T.StructField("wide", T.BinaryType()), *[T.StructField(f"b{i}", long) for i in range(BITMAP_WORDS)], T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(width, np.uint32)
-        for batch in batches:
-            for text in batch.column(0):
-                at = _counter(shingles(text.as_py(), size, hashes), width)
-                np.add.at(total, at, np.uint32(1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total, kind = WordHashes(), np.zeros(width, np.uint32), None
+        for batch in (part for whole in batches for part in chunks(whole, [2])):
+            n, node, wide, maps, kind = [], [], [], [], batch.schema.types[0]
+            for text in batch.column(2):
+                s = shingles(text.as_py(), size, hashes)
+                np.add.at(total, _counter(s, width), np.uint32(1))
+                n.append(len(s))
+                node.append(node_of(s) if len(s) else None)
+                wide.append(parity(s, wide_bits(len(s))))
+                maps.append(np.frombuffer(folded(wide[-1], 8 * BITMAP_WORDS).to_bytes(8 * BITMAP_WORDS), "<i8").tolist())
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(wide, pa.binary()), *[pa.array(m, pa.int64()) for m in zip(*maps)]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=schema.names)
         packer = zstandard.ZstdCompressor(level=1)
         for i in range(width // PART):
             if (part := total[i * PART : (i + 1) * PART]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], names=["part", "counts"])
+                arrays = [pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * BITMAP_WORDS]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([i], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], names=schema.names)
+
+    return stored(src.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema), "facts"), width
+
+
+def _frequent(texts: DataFrame, size: int) -> bytes:
+    """Which counters are frequent by the shingles of texts (text) alone."""
+    return _often(*_facts(texts.select(F.lit(0).alias("id"), "text"), size))
+
+
+def _often(facts: DataFrame, width: int) -> bytes:
+    """Which counters are frequent, a bit each: far above what chance gives a counter at the corpus's number of shingles."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -161,36 +186,41 @@ def _frequent(texts: DataFrame, size: int) -> bytes:
             bits = np.packbits(total > mean + 4 * mean**0.5 + 12, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
 
-    parts = width // PART
+    counted = facts.filter(F.col("part").isNotNull()).select("part", "counts").repartition(width // PART, "part")
     flags = bytearray(width // 8)
-    for row in texts.mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, bits binary").collect():  # MOST_COUNTERS bits at most
+    for row in stored(counted.mapInArrow(add, "part int, bits binary"), "frequent", keep_shuffle=False).collect():  # MOST_COUNTERS bits at most
         flags[row.part * PART // 8 : (row.part + 1) * PART // 8] = row.bits
     return bytes(flags)
 
 
-def _sets(src: DataFrame, size: int, num: int, den: int, frequent: bytes) -> DataFrame:
-    """src (id, text) as id, t (hash of the text), n, node (hash of the set; null if empty), sigs, b0...: stored."""
-    bits = [f"b{i}" for i in range(BITMAP_WORDS)]
-    long = T.LongType()
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("t", long), T.StructField("n", long), T.StructField("node", long), T.StructField("sigs", T.ArrayType(long)), T.StructField("wide", T.BinaryType()), *[T.StructField(b, long) for b in bits]])
+def _shared(src: DataFrame, size: int, num: int, den: int, frequent: bytes) -> DataFrame:
+    """sig, node: the signatures that several sets have, with those sets. Stored.
+
+    All other signatures, nearly all of them, cross one shuffle and no disk besides: they go to it straight from the texts. A task names a
+    set once, so copies add no more than a row for each task and signature.
+    """
     shared = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, signatures = WordHashes(), Signatures(num, den, shared.value)
-        for batch in (part for whole in batches for part in chunks(whole, [2])):
-            n, node, sigs, wide, maps = [], [], [], [], []
-            for text in batch.column(2):
+        hashes, signatures, seen = WordHashes(), Signatures(num, den, shared.value), set()
+        for batch in (part for whole in batches for part in chunks(whole, [0])):
+            sigs, nodes = [], []
+            for text in batch.column(0):
                 s = shingles(text.as_py(), size, hashes)
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-                sigs.append(signatures.of(s).view(np.int64) if len(s) else None)
-                wide.append(parity(s, wide_bits(len(s))))
-                maps.append(np.frombuffer(folded(wide[-1], 8 * BITMAP_WORDS).to_bytes(8 * BITMAP_WORDS), "<i8").tolist())
-            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(wide, pa.binary()), *[pa.array(m, pa.int64()) for m in zip(*maps)]]
-            if n:
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return stored(src.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema), "sets")
+                if not len(s) or (node := node_of(s)) in seen:
+                    continue
+                if len(seen) >= MEMO_SETS:
+                    seen.clear()
+                seen.add(node)
+                sigs.append(signatures.of(s).view(np.int64))
+                nodes.append(node)
+            if nodes:
+                arrays = [pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["sig", "node"])
+
+    of_sig = Window.partitionBy("sig")
+    ends = src.select("text").mapInArrow(run, "sig long, node long").select("sig", "node", F.min("node").over(of_sig).alias("lo"), F.max("node").over(of_sig).alias("hi"))
+    return stored(ends.filter("lo <> hi").select("sig", "node").distinct(), "shared-signatures", keep_shuffle=False)
 
 
 def _turned(a: str, b: str):
@@ -242,18 +272,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, n
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """id, t, n, node of every row of docs, and component: the smallest id that links reach."""
     src = in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    sets = _sets(src, size, num, den, _frequent(src.select("text"), size))
     bits = [f"b{i}" for i in range(BITMAP_WORDS)]
     texts = src.select(F.xxhash64("text").alias("t"), "text")
-    # Equal sets are one node from here on.
-    nodes = stored(sets.filter(F.col("node").isNotNull()).select("node", "n", "t", "sigs", "wide", *bits).dropDuplicates(["node"]), "nodes", keep_shuffle=False)
+    first, width = _facts(src, size)
+    frequent = _often(first, width)
+    # What is kept of each row is short; equal sets are one node from here on.
+    rows = first.filter(F.col("part").isNull())
+    sets = stored(rows.select("id", "t", "n", "node"), "sets")
+    nodes = stored(rows.filter(F.col("node").isNotNull()).select("node", "n", "t", "wide", *bits).dropDuplicates(["node"]), "nodes", keep_shuffle=False)
+    dropped(first)
     facts = nodes.select("node", "n", *bits)
-    postings = nodes.select(F.explode(F.array_distinct("sigs")).alias("sig"), "node")
+    postings = _shared(src, size, num, den, frequent)
     # Signatures of the very same sets bring the same pairs: one of them is enough. Such are those of a template that many texts fill in.
     marks = {"lo": F.min("node"), "hi": F.max("node"), "k": F.count("*"), "x": F.bit_xor(F.xxhash64("node")), "y": F.bit_xor(F.xxhash64(F.lit(7), "node"))}
-    ends = postings.groupBy("sig").agg(*[c.alias(n) for n, c in marks.items()]).filter("lo <> hi")
+    ends = postings.groupBy("sig").agg(*[c.alias(n) for n, c in marks.items()])
     ends = ends.groupBy(*marks).agg(F.min("sig").alias("sig")).select("sig", "lo", "hi")
     shared = stored(postings.join(ends, "sig"), "shared-signatures", keep_shuffle=False)
+    dropped(postings)
 
     def linked(ends: DataFrame) -> DataFrame:
         """Of each set's pairs (node, end) the one that the bitmaps put nearest, if it links."""

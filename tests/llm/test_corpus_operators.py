@@ -6,13 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridsift.llm import kdtree, ngram_join, queries
+from gridsift.llm import common, kdtree, ngram_join, queries
 from gridsift.llm.components import connected_components
 from gridsift.llm.hilbert import curve, hilbert_shards, write_shards
 from gridsift.llm.kdtree import top_k
@@ -338,6 +339,27 @@ def test_counters_grow_with_the_text():
     assert [ngram_join.counters_for(x) for x in (0, 1 << 27, 1 << 30, (1 << 30) + 128, 1 << 50)] == [1 << 20, 1 << 20, 1 << 23, 1 << 24, 1 << 25]
 
 
+def test_signatures_are_not_stored(spark):
+    """Of texts that share nothing, what is written is far less than their signatures: 200 or more of 8 bytes for each text."""
+    r = random.Random(3)
+    rows = [(d, " ".join(f"w{r.randrange(10**9)}" for _ in range(402))) for d in range(600)]
+    begin = common.written()
+    got = similar_groups(docs_of(spark, rows), size=3, num=50, den=100).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == [(d, 400, d) for d, _ in rows]
+    left = [f for p in common._WRITTEN[begin:] for f in Path(p.removeprefix("file://")).rglob("*.parquet")]
+    assert left and sum(f.stat().st_size for f in left) < 600 * 200 * 8 / 2
+
+
+def test_copies_in_many_tasks_share_each_signature_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(d, text) for d in range(40)] + [(40, text + " more"), (41, "other words stand here"), (42, ""), (43, None)]
+    src = docs_of(spark, rows).selectExpr("doc_id AS id", "text").repartition(8)
+    assert src.rdd.getNumPartitions() == 8
+    got = [tuple(x) for x in ngram_join._shared(src, 3, 90, 100, bytes(1 << 17)).collect()]
+    assert len(got) == len(set(got)) and all(k == 2 for k in Counter(s for s, _ in got).values()) and len({n for _, n in got}) == 2
+    assert {x.doc_id: x.component_id for x in similar_groups(src.withColumnRenamed("id", "doc_id")).collect()} == {d: 0 if d <= 40 else d for d, _ in rows}
+
+
 def test_op7_query(spark):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = [(x.doc_id, x.n_shingles, x.component_id) for x in queries.op7_ngram_join(spark, "/root/testdata/sf0.001").collect()]
