@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -145,6 +146,29 @@ def test_frames_against_another_engine(spark):
             run_sql(spark, bad)
 
 
+def test_frames_to_the_end_run_backwards(spark):
+    """No frame from a row to the end of its partition, through which Spark would go for each row; rows that an ORDER BY leaves open are in one order for all pieces."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(9)
+    rows = [(i, r.choice("ab"), r.choice([None, 1, 2, 2, 3, 5]), r.choice([None, r.randrange(50), r.randrange(50)])) for i in range(60)]
+    spark.createDataFrame(rows, "i int, p string, o int, v int").repartition(3).createOrReplaceTempView("f5")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f5 (i INT, p VARCHAR, o INT, v INT)")
+    con.executemany("INSERT INTO f5 VALUES (?, ?, ?, ?)", rows)
+    whole, end = "BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", "BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING"
+    by = "PARTITION BY p ORDER BY o NULLS FIRST"
+    items = [f"{fn}({a}) OVER ({w}) AS {fn}{k}" for k, w in enumerate((f"PARTITION BY p ROWS {whole} EXCLUDE CURRENT ROW", f"ROWS {whole} EXCLUDE CURRENT ROW", f"{by} ROWS {whole} EXCLUDE CURRENT ROW", f"PARTITION BY p ORDER BY o % 2 DESC NULLS FIRST, coalesce(o, 4) ASC NULLS LAST, i ROWS {end} EXCLUDE CURRENT ROW", f"{by} GROUPS {end}", f"{by} GROUPS {end} EXCLUDE CURRENT ROW", f"{by} RANGE {whole} EXCLUDE CURRENT ROW", f"PARTITION BY p RANGE {whole} EXCLUDE CURRENT ROW")) for fn, a in (("sum", "v"), ("count", "*"), ("min", "v"), ("avg", "v"))]
+    texts = [f"SELECT i, {', '.join(items[n : n + 8])} FROM f5 WHERE i <> 7" for n in range(0, len(items), 8)]
+    # Of joins and groups too, which take no subquery.
+    texts += [f"SELECT a.i, sum(b.v) OVER (PARTITION BY a.p ROWS {whole} EXCLUDE CURRENT ROW) AS s FROM f5 a JOIN f5 b ON a.i = b.i", f"SELECT o, sum(count(*)) OVER (ORDER BY o DESC NULLS LAST ROWS {end} EXCLUDE CURRENT ROW) AS s FROM f5 GROUP BY o"]
+    plain = lambda x: sorted((tuple(None if v is None else round(float(v), 6) for v in row) for row in x), key=repr)
+    for sql in texts:
+        got = run_sql(spark, sql)
+        assert plain(got.collect()) == plain(con.execute(sql).fetchall()), sql
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "specifiedwindowframe" in plan and not re.search(r"specifiedwindowframe\(\w+, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan), sql
+
+
 def test_statements_with_brackets(spark):
     spark.createDataFrame([(1, 2, 5), (2, 3, 6), (3, 4, 7)], "a int, b int, c int").createOrReplaceTempView("u3")
     got = run_sql(spark, "UNPIVOT (SELECT a, b FROM u3 WHERE b IN (2, 4)) ON b INTO NAME n VALUE v").collect()
